@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import checkpointed, id_and_text
 from .quality import TRAIN_ROWS, held_out, sampled_labels
 from .wordhash import LETTERS, LOWERED, Words, mix, rolling
 from .wordhash import _LETTER as LETTER_HASH
 
 BUCKETS = 1 << 20
 GRADES = 3
+#: Ranges of buckets by which features are counted.
+RANGES = 64
 #: Features that are learned from: those commoner in toxic texts by this likelihood ratio (G squared) at least.
 ASSOCIATION = 30.0
 
@@ -41,14 +43,6 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return text, (bucket >> np.uint64(44)).astype(np.int64), before.astype(np.int64), np.diff(words.first_word)
 
 
-def distinct(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Distinct buckets of each text, the word before the first of each, and the words of each text."""
-    text, bucket, before, n = features(texts)
-    pair, first = np.unique(text * BUCKETS + bucket, return_index=True)
-    cuts = np.searchsorted(pair // BUCKETS, np.arange(1, len(texts)))
-    return np.split(pair % BUCKETS, cuts), np.split(before[first], cuts), n
-
-
 class CumulativeLink:
     """Ordinal regression with shared weights and ordered thresholds, fitted by Adam on the full likelihood."""
 
@@ -81,35 +75,31 @@ class CumulativeLink:
 class Toxicity:
     """Weights by bucket, and thresholds."""
 
-    def fit(self, samples: list[tuple[np.ndarray, np.ndarray, int, int]]) -> Toxicity:
-        """From (distinct buckets, the word before the first of each, words, toxic) of each training text.
+    def choose(self, texts: np.ndarray, with_toxic: np.ndarray) -> Toxicity:
+        """The features to learn from, by how often each bucket stands after a different word, in all and in toxic texts.
 
         What a feature says is counted once for each different word before it, not once for each text: a text with
         many copies or near copies would else make all its words look toxic, or clean.
         """
-        toxic = np.array([t for *_, t in samples], np.int64)
-        row = np.repeat(np.arange(len(samples)), [len(s[0]) for s in samples])
-        bucket = np.concatenate([s[0] for s in samples]) if samples else np.empty(0, np.int64)
-        before = np.concatenate([s[1] for s in samples]) if samples else bucket
-        places = np.unique(bucket << 33 | before << 1 | toxic[row])
-        texts = np.bincount(places >> 33, minlength=BUCKETS)
-        with_toxic = np.bincount(places >> 33, places & 1, BUCKETS)
-        n, bad = max(len(places), 1), int((places & 1).sum())
+        n, bad = max(int(texts.sum()), 1), int(with_toxic.sum())
         rate, share_toxic = bad / n, with_toxic / np.maximum(texts, 1)
         clean = texts - with_toxic
         ratio = with_toxic * np.log(np.maximum(share_toxic, 1e-12) / max(rate, 1e-12)) + clean * np.log(np.maximum(1 - share_toxic, 1e-12) / max(1 - rate, 1e-12))
-        chosen = np.flatnonzero((2 * ratio >= ASSOCIATION) & (share_toxic > rate))
-        sign = np.zeros(BUCKETS, bool)
-        sign[chosen[share_toxic[chosen] > 0.5]] = True
-        signs = np.bincount(row, sign[bucket], len(samples))
+        self.chosen = np.flatnonzero((2 * ratio >= ASSOCIATION) & (share_toxic > rate))
+        self.sign = share_toxic[self.chosen] > 0.5
+        return self
+
+    def fit(self, samples: list[tuple[np.ndarray, int]]) -> Toxicity:
+        """From (distinct chosen buckets, toxic) of each training text."""
+        toxic = np.array([t for _, t in samples], np.int64)
+        row = np.repeat(np.arange(len(samples)), [len(s[0]) for s in samples])
+        column = np.searchsorted(self.chosen, np.concatenate([s[0] for s in samples])) if samples else np.empty(0, np.int64)
+        signs = np.bincount(row, self.sign[column], len(samples))
         median = np.median(signs[toxic == 1]) if toxic.any() else 0.0
         grade = np.where(toxic == 1, np.where(signs > median, 2, 1), 0)
-        place = np.full(BUCKETS, -1)
-        place[chosen] = np.arange(len(chosen))
-        used = place[bucket] >= 0
-        model = CumulativeLink().fit(row[used], place[bucket[used]], len(chosen), grade)
+        model = CumulativeLink().fit(row, column, len(self.chosen), grade)
         self.weights = np.zeros(BUCKETS, np.float32)
-        self.weights[chosen] = model.weights
+        self.weights[self.chosen] = model.weights
         self.thresholds = model.thresholds
         return self
 
@@ -126,19 +116,56 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _places(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket, the different words before it in all texts and those of them in toxic texts.
+
+    Tasks send their distinct (bucket, word before, toxic) by ranges of buckets; what comes back is two counts for
+    each bucket, a table of fixed size.
+    """
+    width = BUCKETS // RANGES
+
+    def gather(batches):
+        for batch in batches:
+            text, bucket, before, _ = features(batch.column(1))
+            places = np.unique(bucket << 33 | before << 1 | batch.column(2).to_numpy()[text])
+            cuts = np.searchsorted(places >> 33, np.arange(1, RANGES) * width)
+            parts = [(r, p.astype("<i8").tobytes()) for r, p in enumerate(np.split(places, cuts)) if len(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["part", "places"])
+
+    def count(table: pa.Table) -> pa.Table:
+        places = np.unique(np.concatenate([np.frombuffer(p.as_py(), "<i8") for p in table["places"]]))
+        bucket, toxic = (places >> 33) - table["part"][0].as_py() * width, places & 1
+        counts = [np.bincount(bucket, w, width).astype("<i4").tobytes() for w in (None, toxic)]
+        return pa.table({"part": table["part"].slice(0, 1), "texts": pa.array(counts[:1], pa.binary()), "with_toxic": pa.array(counts[1:], pa.binary())})
+
+    found = sample.mapInArrow(gather, "part int, places binary").groupBy("part").applyInArrow(count, "part int, texts binary, with_toxic binary").collect()
+    out = np.zeros((2, RANGES, width), np.int64)
+    for part, *counts in found:
+        for k in range(2):
+            out[k, part] = np.frombuffer(counts[k], "<i4")
+    return out[0].ravel(), out[1].ravel()
+
+
 def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Toxicity:
-    """A model from at most ``train_rows`` labelled documents, none held out; a bounded sample, broadcast by its bound."""
+    """A model from at most ``train_rows`` labelled documents, none held out; a bounded sample, broadcast by its bound.
+
+    The sample is read from the corpus once and kept in the shared folder. Features are counted there; the driver
+    gets the chosen ones of each text alone.
+    """
     marked = F.broadcast(sampled_labels(labels, label, train_rows))
-    sample = docs.join(marked, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
+    sample = checkpointed(docs.join(marked, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y"))
+    model = Toxicity().choose(*_places(sample))
+    chosen = model.chosen
 
-    def gather(batches):
+    def pick(batches):
         for batch in batches:
-            buckets, before, n = distinct(batch.column(1))
-            columns = [batch.column(0), *(pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()) for parts in (buckets, before)), pa.array(n, pa.int64()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "buckets", "before", "n", "y"])
+            text, bucket, _, _ = features(batch.column(1))
+            pair = np.unique((text * BUCKETS + bucket)[np.isin(bucket, chosen)])
+            parts = np.split(pair % BUCKETS, np.searchsorted(pair // BUCKETS, np.arange(1, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()), batch.column(2)], names=["doc_id", "buckets", "y"])
 
-    found = sorted(tuple(r) for r in sample.mapInArrow(gather, "doc_id bigint, buckets binary, before binary, n bigint, y int").collect())
-    return Toxicity().fit([(*(np.frombuffer(x, "<u4").astype(np.int64) for x in (b, w)), n, y) for _, b, w, n, y in found])
+    found = sorted(tuple(r) for r in sample.mapInArrow(pick, "doc_id bigint, buckets binary, y int").collect())
+    return model.fit([(np.frombuffer(b, "<u4").astype(np.int64), y) for _, b, y in found])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
