@@ -15,6 +15,8 @@ from .units import unit_ids
 
 #: Sequences that are filled together; what is held at once is this many sequences of ids.
 POOL = 256
+#: Distinct units of text whose ids a worker keeps: fewer than usual, as a worker may serve other stages beside.
+UNITS = 100_000
 
 
 def attention_cost(n: int, linear: float, quadratic: float) -> float:
@@ -110,7 +112,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         raise ValueError("the capacity must be a power of two")
 
     def run(batches):
-        encoder, end = unit_ids(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = unit_ids(tokenizer, UNITS), end_id.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 36
 
         def stream():

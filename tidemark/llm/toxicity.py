@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, id_and_text
 from .quality import TRAIN_ROWS, held_out, sampled_labels
-from .wordhash import LETTERS, LOWERED, Words, mix, rolling
+from .wordhash import LETTERS, LOWERED, Words, byte_hashes, mix
 from .wordhash import _LETTER as LETTER_HASH
 
 BUCKETS = 1 << 20
 GRADES = 3
 #: Ranges of buckets by which features are counted.
 RANGES = 64
+#: Texts whose features are held at once.
+SLICE = 200
 #: Features that are learned from: those commoner in toxic texts by this likelihood ratio (G squared) at least.
 ASSOCIATION = 30.0
 
@@ -30,7 +32,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """Text and bucket of all features, repeats included, 32 bits that tell the word before, and each text's words."""
     words = Words(texts, LETTERS, LOWERED)
     text, n = words.text_of_word(), words.ends - words.starts
-    raw = LETTER_HASH[LOWERED[words.raw]]
+    letters = LETTER_HASH[LOWERED]
     before = np.zeros(len(n), np.uint64)
     before[1:] = words.hash[:-1] >> np.uint64(32)
     before[words.first_word[:-1][words.first_word[:-1] < len(n)]] = 0
@@ -38,7 +40,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     for size in (4, 5):
         long = n >= size + 1
         start = words.starts[long]
-        found.append((text[long], mix(rolling(raw, start, start + size) + np.uint64(size << 40)), before[long]))
+        found.append((text[long], mix(byte_hashes(words.raw, letters, start, start + size) + np.uint64(size << 40)), before[long]))
     text, bucket, before = (np.concatenate(x) for x in zip(*found, strict=True))
     return text, (bucket >> np.uint64(44)).astype(np.int64), before.astype(np.int64), np.diff(words.first_word)
 
@@ -182,8 +184,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label:
 
     def score(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
                 over = shared.value.over(part.column(1))
                 chance = np.stack([1 - over[:, 0], over[:, 0] - over[:, 1], over[:, 1]])
                 aside = [held_out(i) for i in part.column(0).to_pylist()]
@@ -202,8 +204,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label
     def keep(batches):
         for batch in batches:
             texts = batch.column(names.index(text_col)).cast(pa.string()).fill_null("")
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                yield part.filter(pa.array(shared.value.over(texts.slice(start, 1000))[:, 0] < threshold))
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield part.filter(pa.array(shared.value.over(texts.slice(start, SLICE))[:, 0] < threshold))
 
     return docs.mapInArrow(keep, docs.schema)

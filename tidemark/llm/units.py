@@ -178,8 +178,9 @@ class UnitIds:
 _OPEN: dict[str, UnitIds] = {}
 
 
-def unit_ids(path: str) -> UnitIds:
-    """One encoder per Python worker and vocabulary file."""
+def unit_ids(path: str, limit: int = 400_000) -> UnitIds:
+    """One encoder per Python worker and vocabulary file; it holds at most about twice ``limit`` units."""
     if path not in _OPEN:
         _OPEN[path] = UnitIds(path)
+    _OPEN[path].limit = limit
     return _OPEN[path]
