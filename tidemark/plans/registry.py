@@ -1,5 +1,8 @@
-"""Named queries and their SQL."""
+"""All named queries of the engine, and the SQL that gives the same rows where SQL can."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from . import forecasts, market, news, views
+
+PARTS = (market, forecasts, news, views)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
+FLAGSHIP = "wf_fold_metrics"
