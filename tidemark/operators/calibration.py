@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import CLASSES, clip, likeliest, logit, percent, ratio, sigmoid, softmax, valid_probabilities
+from .models import bounded
 
 P = ("p_up", "p_flat", "p_down")
-EVERY = "__all__"
 
 
 def _logits(p: np.ndarray) -> np.ndarray:
@@ -39,21 +39,25 @@ def temperature(p: np.ndarray, y: np.ndarray, iterations: int, rate: float) -> f
     return float(np.exp(at))
 
 
-def fit(rows: DataFrame, keys: list[str], iterations: int = 500, rate: float = 0.05, penalty: float = 0.0, with_temperature: bool = True) -> DataFrame:
+def fit(rows: DataFrame, keys: list[str], iterations: int = 500, rate: float = 0.05, penalty: float = 0.0, with_temperature: bool = True, max_rows: int = 1_000_000) -> DataFrame:
     """A calibrator for each key (such as fold and horizon) from rows (p_up, p_flat, p_down, actual).
 
-    Rows are first counted by equal (probabilities, class), and the fit weighs them, so what a task holds is a key's
-    distinct probability vectors rounded to 6 places. Rows with invalid vectors are left out.
+    Rows with invalid vectors or classes are left out; a key without valid rows has no calibrator. They are told apart
+    inside the fit: as a filter, the test would be pushed below the model's scores and compute them many times over. A
+    key with more than ``max_rows`` rows is fitted on a sample, as in ``models.bounded``.
     """
     if rate <= 0 or penalty < 0:
         raise ValueError("the rate must be positive and the penalty not negative")
-    ok = valid_probabilities(*[F.col(c) for c in P]) & F.col("actual").isin(*CLASSES)
-    held = rows.where(ok).select(*keys, *P, "actual")
+    held = bounded(rows.select(*keys, *P, "actual"), keys, [*P, "actual"], max_rows)
     code = {c: i for i, c in enumerate(CLASSES)}
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*P, "actual"])
+        whole = pdf[list(P)].astype(float)
+        ok = ((whole >= 0) & (whole <= 1)).all(axis=1) & ((whole.sum(axis=1) - 1).abs() <= 1e-9) & pdf["actual"].isin(CLASSES)
+        pdf = pdf[ok].sort_values([*P, "actual"])
+        if pdf.empty:
+            return pd.DataFrame({**{k: pdf[k] for k in keys}, "slopes": [], "shifts": [], "temperature": [], "fitted_rows": []})
         p, y = pdf[list(P)].to_numpy(), pdf["actual"].map(code).to_numpy()
         x = _logits(p)
         curves = [curve(x[:, k], (y == k).astype(float), iterations, rate, penalty) for k in range(len(CLASSES))]

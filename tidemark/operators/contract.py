@@ -32,7 +32,7 @@ def _given(value: Column) -> Column:
 
 
 def _null(value: Column) -> Column:
-    return F.coalesce(F.is_variant_null(value), F.lit(True))
+    return value.isNull() | F.is_variant_null(value)
 
 
 def _is(value: Column, kind: str) -> Column:

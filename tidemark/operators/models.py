@@ -97,18 +97,26 @@ def descend(x: np.ndarray, y: np.ndarray, penalty: float, iterations: int, rate:
     return w, b
 
 
+def bounded(rows: DataFrame, keys: list[str], names: list[str], max_rows: int) -> DataFrame:
+    """``rows``, but of keys with more than about ``max_rows`` rows those with the least hash of ``names``.
+
+    For iterative fits only, so that one task's rows fit in memory; smaller keys keep every row.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    share = F.pmod(F.xxhash64(*names), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(float(max_rows)) / F.col("_n")
+    return rows.join(F.broadcast(counts), keys, "left").where(F.col("_n").isNull() | share).drop("_n")
+
+
 def logistic(train: DataFrame, names: list[str], key: str = "fold", penalty: float = 0.01, iterations: int = 500, rate: float = 0.1, max_rows: int = 1_000_000) -> DataFrame:
     """Multinomial logistic models by key, on standardised features.
 
-    A key with more than ``max_rows`` train rows is fitted on those with the least hash of their id, a documented bound
-    that keeps one task's rows in memory; the bound is reached only by groups larger than it.
+    A key with more than ``max_rows`` train rows is fitted on a sample, as in ``bounded``.
     """
     if rate <= 0 or penalty < 0:
         raise ValueError("the rate must be positive and the penalty not negative")
     rows = train.withColumn("x", vector(names)).where(F.col("x").isNotNull() & F.col("actual").isin(*CLASSES))
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(float(max_rows)) / F.col("n")
-    sample = rows.join(F.broadcast(counts), key).where((F.col("n") <= max_rows) | share).select(key, "as_of", F.col("id").cast("string").alias("id"), "x", "actual")
+    rows = rows.select(key, "as_of", F.col("id").cast("string").alias("id"), "x", "actual")
+    sample = bounded(rows, [key], ["id"], max_rows)
     code = {c: i for i, c in enumerate(CLASSES)}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
