@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, id_and_text
 from .components import connected_components
+from .near_copies import near_copy_links
 
 _SPACES = "\x09\x0a\x0b\x0c\x0d"
 #: A cell with more fingerprints than this is not joined pair by pair.
@@ -120,11 +121,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the documents that are not the smallest id of their component.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without the documents that are not the smallest id of their group of near copies.
 
-    Texts without words are not each other's near copies here: they stay.
+    Groups join what SimHash links within 2 bits and what ``near_copies`` links at ``similarity``, which lies beyond
+    those bits. Texts without words are not each other's near copies here: they stay, and so do null ids.
     """
-    found = near_duplicates(docs, shingle, id_col, text_col)
-    gone = found.where((F.col("doc_id") != F.col("component_id")) & (F.col("fingerprint") != "0" * 16)).select(F.col("doc_id").alias("_gone_id")).distinct()
+    found = checkpointed(near_duplicates(docs, shingle, id_col, text_col).where(F.col("fingerprint") != "0" * 16).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    links = found.union(near_copy_links(id_and_text(docs, id_col, text_col), similarity, shingle))
+    gone = connected_components(links).where("key <> root").select(F.col("key").alias("_gone_id"))
     return docs.join(gone, docs[id_col].cast("bigint") == gone["_gone_id"], "left_anti")
