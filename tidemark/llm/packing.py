@@ -16,7 +16,7 @@ from .units import unit_ids
 #: Sequences that are filled together; what is held at once is this many sequences of ids.
 POOL = 256
 #: Distinct units of text whose ids a worker keeps: fewer than usual, as a worker may serve other stages beside.
-UNITS = 100_000
+UNITS = 40_000
 
 
 def attention_cost(n: int, linear: float, quadratic: float) -> float:

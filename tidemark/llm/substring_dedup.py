@@ -27,7 +27,7 @@ from .exchange import SENT, answered, answers, sent_blobs
 from .wordhash import Words
 
 #: UTF-8 bytes of text that a block holds, about.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 
 
 def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
