@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import zlib
 from collections import defaultdict
 
@@ -53,6 +54,20 @@ def test_token_counts(spark, tiny, byte_ids, which):
     assert collected(token_counts(docs, BYTE), "doc_id", "n_bytes", "n_tokens", "over_limit") == ordered(expect)
 
 
+def test_special_tokens_and_white_space_as_the_library(byte_ids, word_ids):
+    rng = random.Random(4)
+    bits = ["a", "Bc", " ", "  ", "\n", "\n\n", "\t", "\r\n", "<|endoftext|>", "<|startoftext|>", "it's", "12", "é", "\u3000", "!!", "<|", "|>"]
+    mixed = ["a\n\n<|endoftext|>b", "a \n<|endoftext|>", *("".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(3000))]
+    for path, ids in ((BYTE, byte_ids), (WORD, word_ids)):
+        got = [np.frombuffer(b, "<u4").tolist() for b in UnitIds(path).encode(mixed)]
+        assert got == [ids(t) for t in mixed]
+    bpe, whole = WordBpe(WORD), Tokenizer.from_file(WORD)
+    for text in mixed:
+        ids = word_ids(text)
+        assert bpe.encode(text) == ids
+        assert bpe.decode(ids) == whole.decode(ids, skip_special_tokens=False)
+
+
 def test_unit_ids_as_the_library(tiny, byte_ids, word_ids):
     every = [t or "" for t in texts()] + [t or "" for _, t in id_texts(tiny)]
     for path, ids in ((BYTE, byte_ids), (WORD, word_ids)):
