@@ -1,6 +1,7 @@
 """Exact, substring and near-duplicate removal and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ from tidemark.llm import simhash
 from tidemark.llm.components import connected_components
 from tidemark.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from tidemark.llm.exchange import golomb_decode, golomb_encode
+from tidemark.llm.near_copies import near_copy_links
 from tidemark.llm.oph import BINS, PROBES, fingerprint_documents
 from tidemark.llm.simhash import drop_near_duplicates, near_duplicates, near_links
 from tidemark.llm.substring_dedup import drop_repeated_passages, remove_repeated_passages
@@ -291,3 +293,22 @@ def test_empty_tables(spark):
     assert fingerprint_documents(empty(spark)).count() == 0
     for stage in (drop_exact_duplicates, drop_repeated_passages, drop_near_duplicates):
         assert stage(empty(spark)).count() == 0
+
+
+def test_no_link_is_lost_in_full_buckets_of_mixed_texts(spark):
+    """60 texts share most of a text and differ pair by pair: their buckets are full, and no leader is like all."""
+    base, rng = passage(12, 300).split(), random.Random(9)
+    known = []
+    for i in range(60):
+        words = list(base)
+        for k in range(rng.randrange(1, 12) if i % 3 else 2):
+            words[rng.randrange(300)] = f"own{i if i % 3 else i // 6}x{k}"
+        known.append((i, " ".join(words)))
+    links = near_copy_links(spark.createDataFrame(known, "doc_id bigint, text string").repartition(4))
+    root = {r["key"]: r["root"] for r in connected_components(links).collect()}
+    found = {(r["a"], r["b"]) for r in links.collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in known]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(60) for j in range(i)}
+    assert min(alike.values()) < 0.6 and sum(s >= 0.8 for s in alike.values()) > 100
+    assert all(root[i] == root[j] for (i, j), s in alike.items() if s >= 0.8)
+    assert all(s > 0.6 for (i, j), s in alike.items() if (i, j) in found or (j, i) in found)
