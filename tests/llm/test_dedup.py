@@ -312,3 +312,25 @@ def test_no_link_is_lost_in_full_buckets_of_mixed_texts(spark):
     assert min(alike.values()) < 0.6 and sum(s >= 0.8 for s in alike.values()) > 100
     assert all(root[i] == root[j] for (i, j), s in alike.items() if s >= 0.8)
     assert all(s > 0.6 for (i, j), s in alike.items() if (i, j) in found or (j, i) in found)
+
+
+def _variants(n, others):
+    """A text, and texts with every so many words changed in places of their own: alike to it, and to each other less so."""
+    rng, base = random.Random(5), passage(77, n).split()
+    out = [(0, " ".join(base))]
+    for i in range(1, others + 1):
+        words, spots = list(base), list(range(2, n - 2, 5))
+        for p in sorted(rng.sample(spots, (n - 4) // 9 // 5)):
+            words[p] = f"own{i}x{p}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_variants_that_are_like_one_text_only_are_its_group(spark):
+    """Full buckets in which all are like the original and no two variants like each other: leaders lose many of them."""
+    known = _variants(400, 250)
+    near = [jaccard(known[0][1], t) for _, t in known[1:]]
+    assert 0.8 <= min(near) <= max(near) < 0.84 and max(jaccard(known[i][1], known[j][1]) for i in range(1, 40) for j in range(1, i)) < 0.8
+    links = near_copy_links(spark.createDataFrame([(1000 - i, t) for i, t in known], "doc_id bigint, text string").repartition(4))
+    root = {r["key"]: r["root"] for r in connected_components(links).collect()}
+    assert {root.get(1000 - i) for i, _ in known} == {750}

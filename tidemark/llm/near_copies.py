@@ -1,34 +1,35 @@
 """Links between texts whose word shingles are alike, beyond the reach of a few SimHash bits.
 
-At a Jaccard similarity of 0.8, 64-bit SimHashes of 5-word shingles differ in 4 to 14 bits, where a grid of popcounts no
-longer tells anything apart. Candidates come from bands of MinHash values instead, and are verified by the share of
-equal values in the whole signature.
+An exact set-similarity join. Shingles have one order for all texts, the rare ones first. Two sets whose Jaccard
+similarity reaches t share a shingle among the first n - ceil(t n) + 1 of each, n its size. Texts that do so meet, and
+what meets is verified by the whole sets of shingle hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .components import connected_components
 from .wordhash import BY_SPACE, LOWERED, Words, mix, rolling
 
-#: Values of a signature, and bands of so many values: two texts at 0.8 share a band with probability 0.9999.
-VALUES, BANDS, ROWS = 128, 25, 5
-#: Estimates this far below the wanted similarity still link: two standard deviations of the estimate near 0.8.
-MARGIN = 0.06
-#: Values of longer bands, and how many: for texts of full buckets, and for those whose longer bands are full again. Two
-#: texts at 0.74 share one with probability 0.9998 and 0.984, two at 0.8 with 1 - 1e-6 or more.
-FINER = ((9, 128), (16, 512))
-#: Texts of a bucket that are compared pair by pair; fuller buckets compare with leaders.
-PAIRS, SLICE = 16, 100
-_SEEDS = np.random.default_rng(31).integers(1 << 62, size=VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts that tell which shingles are common, and shingles that count as such. They order shingles and decide no link.
+SAMPLE, COMMON = 10_000, 200_000
+#: Texts that share a shingle and are compared pair by pair; of more, pairs that leaders have already joined are spared.
+PAIRS, LEADERS = 16, 3
+#: Texts hashed at once, bytes of sets on one side of a task of comparisons, and rows of a common shingle in one salt.
+SLICE, TILE_BYTES, SALT_ROWS = 100, 4 << 20, 256
+#: Filters keep what is this near to their limit, so that rounding drops nothing.
+SLACK = 1e-6
 
 
-def signatures(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash values (texts with words x VALUES) of lower-cased word shingles, and which texts these are."""
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of lower-cased word shingles, ascending in each text; where each text with words ends; which these are."""
     words = Words(texts, BY_SPACE, LOWERED)
     at, h, _ = words.windows(shingle)
     n = np.diff(words.first_word)
@@ -36,110 +37,154 @@ def signatures(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     a, b = words.first_word[:-1][short], words.first_word[1:][short]
     text = np.concatenate([np.searchsorted(words.first_word, at, side="right") - 1, short])
     values = np.concatenate([h, mix(rolling(words.hash, a, b))])
-    order = np.argsort(text, kind="stable")
+    order = np.lexsort((values, text))
     text, values = text[order], values[order]
-    full, starts = np.unique(text, return_index=True)
-    out = np.empty((len(full), VALUES), np.uint64)
-    for k, seed in enumerate(_SEEDS if len(full) else ()):
-        out[:, k] = np.minimum.reduceat(mix(values * seed), starts)
-    return out, full
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (values[1:] != values[:-1])
+    full, sizes = np.unique(text[new], return_counts=True)
+    return values[new], np.cumsum(sizes), full
 
 
-def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, bands, sig) of each text with words: hashes of its bands, and the low byte of each value."""
+def _by_slice(rows: DataFrame, shingle: int, make, schema: str) -> DataFrame:
+    """``make`` of the sets of each slice of ``rows`` (doc_id, text), as rows of ``schema``."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                found, full = signatures(part.column(1), shingle)
-                bands = np.zeros((len(full), BANDS), np.uint64)
-                for j in range(ROWS):
-                    bands = mix(bands + found[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-                bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-                sigs = pa.array([r.tobytes() for r in found.astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), lists, sigs], names=["id", "bands", "sig"])
+                values, ends, full = shingle_sets(part.column(1), shingle)
+                yield make(part.column(0).take(pa.array(full)), values, ends)
 
-    return rows.mapInArrow(run, "id bigint, bands array<bigint>, sig binary")
+    return rows.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _compared(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``alike``: whether the estimated similarity is at least ``least``."""
-    two = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    names = pairs.columns
-    schema = ", ".join(f"{n} bigint" for n in names) + ", alike boolean"
+def _nodes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A 64-bit digest of each set."""
+    digests = [hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in np.split(values, ends[:-1])] if len(ends) else []
+    return pa.array(np.frombuffer(b"".join(digests), np.int64))
 
-    def run(batches):
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, VALUES) for c in ("sa", "sb"))
-            share = ((sa == sb).mean(1) - 1 / 256) / (1 - 1 / 256)
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(share >= least)], names=[*names, "alike"])
 
-    return two.select(*names, "sa", "sb").mapInArrow(run, schema)
+def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, ascending, that occur in more than one of about ``SAMPLE`` texts, and in how many: the most frequent."""
+    share = min(1.0, SAMPLE / max(rows.count(), 1))
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    each = _by_slice(some, shingle, lambda ids, values, ends: pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["h"]), "h bigint")
+    found = each.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, count = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order]
 
 
-def _longer_bands(sigs: DataFrame, values: int, count: int) -> DataFrame:
-    """(id, band): hashes of ``count`` bands of so many values each, from their low bytes."""
-    places = np.random.default_rng(32 + values).random((count, VALUES)).argsort(1)[:, :values]
+def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, node, n, first): digest and size of each text's set, and the first of its shingles that one alike must share."""
+    held = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+
+    def make(ids, values, ends):
+        h, count = held.value
+        rank = np.zeros(len(values), np.int64)
+        if len(h):
+            at = np.minimum(np.searchsorted(h, values), len(h) - 1)
+            rank = np.where(h[at] == values, count[at], 0)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.empty(0, np.int64)
+        n = ends - starts
+        order = np.lexsort((values, rank, np.repeat(np.arange(len(n)), n)))
+        most = n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1
+        first = np.arange(len(values)) - np.repeat(starts, n) < np.repeat(most, n)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(most, n))]).astype(np.int32)), pa.array(values[order][first].view(np.int64)))
+        return pa.RecordBatch.from_arrays([ids, _nodes(values, ends), pa.array(n.astype(np.int64)), lists], names=["id", "node", "n", "first"])
+
+    return _by_slice(rows, shingle, make, "id bigint, node bigint, n bigint, first array<bigint>")
 
-    def run(batches):
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
-            bands = np.zeros((len(sig), count), np.uint64)
-            for j in range(values):
-                bands = mix(bands + sig[:, places[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
-            bands = mix(bands + np.arange(count, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), count)), pa.array(bands.ravel().view(np.int64))], names=["id", "band"])
 
-    return sigs.select("id", "sig").mapInArrow(run, "id bigint, band bigint")
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, held): each distinct set of ``rows`` with the bytes of its hashes."""
 
+    def make(ids, values, ends):
+        sets = pa.array([s.tobytes() for s in np.split(values, ends[:-1])] if len(ends) else [], pa.binary())
+        return pa.RecordBatch.from_arrays([_nodes(values, ends), sets], names=["node", "held"])
 
-def _met(spread: DataFrame) -> DataFrame:
-    """(band, id, held) of buckets with more than one text."""
-    full = spread.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return checkpointed(spread.join(full, "band").select("band", "id", "held"))
+    return _by_slice(rows, shingle, make, "node bigint, held binary").dropDuplicates(["node"])
 
 
-def _in_pairs(met: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) within buckets of up to ``PAIRS`` texts, pair by pair."""
-    few = met.where(F.col("held") <= PAIRS)
-    pairs = few.select("band", F.col("id").alias("a")).join(few.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b").distinct()
-    return _compared(pairs, sigs, least).where("alike").select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose Jaccard similarity is at least ``similarity``.
+
+    Nodes are dealt to chunks, and each pair of chunks is one task with the sets that its pairs need.
+    """
+    chunks = F.lit(1 + (sets.agg(F.sum(F.length("held"))).first()[0] or 0) // TILE_BYTES)
+    dealt = checkpointed(pairs.select("a", "b").distinct().select("a", "b", F.pmod("a", chunks).alias("ca"), F.pmod("b", chunks).alias("cb")))
+    needed = dealt.select(F.col("ca").alias("da"), F.col("cb").alias("db"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+
+    def check(two: pa.Table, held: pa.Table) -> pa.Table:
+        known = {k: np.frombuffer(v, np.uint64) for k, v in zip(held["node"].to_pylist(), held["held"].to_pylist(), strict=True)}
+        alike = np.zeros(two.num_rows, bool)
+        for i, (a, b) in enumerate(zip(two["a"].to_pylist(), two["b"].to_pylist(), strict=True)):
+            x, y = known[a], known[b]
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            alike[i] = both / (len(x) + len(y) - both) >= similarity
+        return two.select(["a", "b"]).filter(pa.array(alike))
+
+    found = dealt.groupBy("ca", "cb").cogroup(needed.select("da", "db", "node", "held").groupBy("da", "db")).applyInArrow(check, "a bigint, b bigint")
+    return checkpointed(found)
 
 
-def _with_leaders(full: DataFrame, sigs: DataFrame, least: float, salt: int) -> DataFrame:
-    """(a, b, band, alike): each text b of a bucket and the bucket's leader a, which differs from band to band."""
-    leaders = full.groupBy("band").agg(F.min_by("id", F.xxhash64("band", "id", F.lit(salt))).alias("a"))
-    return checkpointed(_compared(full.join(leaders, "band").where("id <> a").select("a", F.col("id").alias("b"), "band"), sigs, least))
+def _can_be(similarity: float) -> Column:
+    """Whether the sets of rows x and y, which share a shingle as the first in order at these places, can be alike."""
+    n, m, left = F.col("x.n"), F.col("y.n"), F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - SLACK) & (left * (1 + similarity) >= similarity * (n + m) - SLACK)
 
 
-def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Links (a, b) between ids of ``rows`` (doc_id, text) whose estimated similarity reaches ``similarity`` less ``MARGIN``.
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
-    Texts that share a band meet in its bucket. Buckets of up to ``PAIRS`` texts are compared pair by pair. In a fuller
-    one, which a large group of copies makes, all are compared with a leader. Where all are like it, they are one
-    group. All texts of other full buckets are dealt again by longer bands, which texts less alike rarely share, and
-    where these are full and mixed, by longer ones still. What is full then is compared with leaders until no more than
-    ``PAIRS`` texts of a bucket are left that no leader is like. Null ids and texts without words have no links.
+
+def _across(full: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``full`` that share a shingle, can be alike and are not in one component of ``links`` yet.
+
+    Of two such texts, one at least is outside the component that most of the shingle's texts belong to.
+    """
+    roots = checkpointed(connected_components(links))
+    rooted = checkpointed(full.join(roots, full["node"] == roots["key"], "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("root")))
+    each = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = each.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+    rooted = checkpointed(rooted.join(mixed, "token").withColumn("salts", F.ceil(F.col("others") / SALT_ROWS)))
+    x = rooted.where("root <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+    y = rooted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root"))
+    return _pairs(x.alias("x").join(y.alias("y"), met & _can_be(similarity)))
+
+
+def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5, proposed: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between ids of ``rows`` (doc_id, text) whose components are those of all pairs at ``similarity``.
+
+    Every link has that Jaccard similarity of its sets of shingles, or equal sets. Where up to ``PAIRS`` sets share one
+    of their first shingles, all pairs that can be alike are compared. Where more do, which a large group of copies
+    makes, they are first compared with a few leaders, then all pairs that are not in one component by then. Pairs (a,
+    b) of ids in ``proposed`` are compared too; they save later comparisons. Sets are told apart by 64-bit hashes. Null
+    ids and texts without words have no links.
     """
-    least = similarity - MARGIN
-    sketches = checkpointed(_sketches(rows.where("doc_id is not null").select("doc_id", "text"), shingle))
-    sigs = sketches.select("id", "sig")
-    met = _met(sketches.select("id", F.explode("bands").alias("band")))
-    links = _in_pairs(met, sigs, least)
-    for values, count in FINER:
-        full = met.where(F.col("held") > PAIRS)
-        if full.isEmpty():
-            return links.distinct()
-        done = _with_leaders(full, sigs, least, values)
-        again = full.join(done.where("not alike").select("band").distinct(), "band").select("id").distinct()
-        met = _met(_longer_bands(sigs.join(again, "id", "left_semi"), values, count))
-        links = links.union(done.where("alike").select("a", "b")).union(_in_pairs(met, sigs, least))
-    salt = 0
-    while not (full := met.where(F.col("held") > PAIRS)).isEmpty():
-        salt += 1
-        done = _with_leaders(full, sigs, least, salt)
-        met = _met(done.where("not alike").select(F.col("b").alias("id"), "band"))
-        links = links.union(done.where("alike").select("a", "b")).union(_in_pairs(met, sigs, least))
-    return links.distinct()
+    rows = rows.where("doc_id is not null")
+    prefixes = checkpointed(_prefixes(rows, shingle, similarity))
+    members = prefixes.select("id", "node").distinct()
+    least = checkpointed(members.groupBy("node").agg(F.min("id").alias("least")))
+    spread = prefixes.dropDuplicates(["node"]).select("node", "n", F.posexplode("first").alias("at", "token"))
+    often = spread.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = checkpointed(spread.join(often, "token").select("token", "node", "n", "at", "held"))
+    few, full = met.where(F.col("held") <= PAIRS), met.where(F.col("held") > PAIRS)
+    pairs = _pairs(few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _can_be(similarity)))
+    if proposed is not None:
+        a, b = (members.select(F.col("id").alias(c), F.col("node").alias(f"n{c}")) for c in "ab")
+        pairs = pairs.union(proposed.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")))
+    for salt in range(LEADERS):
+        leader = full.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(salt))).alias("to"))
+        led = full.join(leader, "token").where((F.col("node") != F.col("to.node")) & (F.least("n", "to.n") >= similarity * F.greatest("n", "to.n") - SLACK))
+        pairs = pairs.union(led.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")))
+    pairs = checkpointed(pairs.distinct())
+    wanted = full.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct().join(least, "node").select(F.col("least").alias("doc_id")).distinct()
+    sets = checkpointed(_sets(rows.join(wanted, "doc_id", "left_semi"), shingle))
+    links = _verified(pairs, sets, similarity)
+    if not full.isEmpty():
+        links = links.union(_verified(_across(full, links, similarity), sets, similarity))
+    a, b = (least.select(F.col("node").alias(c), F.col("least").alias(f"i{c}")) for c in "ab")
+    same = members.join(least, "node").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return links.join(a, "a").join(b, "b").where("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).union(same).distinct()
