@@ -334,3 +334,16 @@ def test_variants_that_are_like_one_text_only_are_its_group(spark):
     links = near_copy_links(spark.createDataFrame([(1000 - i, t) for i, t in known], "doc_id bigint, text string").repartition(4))
     root = {r["key"]: r["root"] for r in connected_components(links).collect()}
     assert {root.get(1000 - i) for i, _ in known} == {750}
+
+
+def test_links_are_decided_by_the_exact_similarity(spark):
+    """Pairs a little below and at the wanted similarity: whole texts of their own, each with a copy whose end differs."""
+    known = []
+    for k in range(120):
+        words = passage(5000 + k, 204).split()  # 200 shingles
+        own = 22 if k % 2 else 33  # shingles changed: 178 of 222 are shared, or 167 of 233
+        known += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-own] + passage(7000 + k, own).split()))]
+    alike = {(2 * k, 2 * k + 1): jaccard(known[2 * k][1], known[2 * k + 1][1]) for k in range(120)}
+    assert sum(0.8 <= s < 0.81 for s in alike.values()) >= 50 and sum(0.7 < s < 0.73 for s in alike.values()) >= 50
+    found = {(r["a"], r["b"]) for r in near_copy_links(spark.createDataFrame(known, "doc_id bigint, text string").repartition(4)).collect()}
+    assert found == {p for p, s in alike.items() if s >= 0.8}
