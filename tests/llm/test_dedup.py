@@ -347,3 +347,14 @@ def test_links_are_decided_by_the_exact_similarity(spark):
     assert sum(0.8 <= s < 0.81 for s in alike.values()) >= 50 and sum(0.7 < s < 0.73 for s in alike.values()) >= 50
     found = {(r["a"], r["b"]) for r in near_copy_links(spark.createDataFrame(known, "doc_id bigint, text string").repartition(4)).collect()}
     assert found == {p for p, s in alike.items() if s >= 0.8}
+
+
+def test_texts_that_share_a_repeated_line_only_stay(spark):
+    """SimHash counts repeats, so a line that fills two texts brings them within 2 bits, though little else is shared."""
+    line = passage(31, 7)
+    known = [(i, f"{(line + ' ') * 40}{passage(3000 + i, 60)}") for i in range(30)]
+    prints = [simhash_by_hand(t, 5) for _, t in known]
+    assert sum((a ^ b).bit_count() <= 2 for n, a in enumerate(prints) for b in prints[:n]) > 30
+    assert max(jaccard(a, b) for n, (_, a) in enumerate(known) for _, b in known[:n]) < 0.2
+    kept = drop_near_duplicates(spark.createDataFrame(known, "doc_id bigint, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(30))

@@ -124,10 +124,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the documents that are not the smallest id of their group of near copies.
 
-    Groups join what SimHash links within 2 bits and what ``near_copies`` links at ``similarity``, which lies beyond
-    those bits. Texts without words are not each other's near copies here: they stay, and so do null ids.
+    Groups join the pairs whose Jaccard similarity of shingle sets is at least ``similarity``. A SimHash counts repeats,
+    so what it links within 2 bits is only proposed to ``near_copies``, where all links are verified. Texts without words
+    are not each other's near copies here: they stay, and so do null ids.
     """
-    found = checkpointed(near_duplicates(docs, shingle, id_col, text_col).where(F.col("fingerprint") != "0" * 16).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-    links = found.union(near_copy_links(id_and_text(docs, id_col, text_col), similarity, shingle))
+    found = checkpointed(near_duplicates(docs, shingle, id_col, text_col).where(F.col("fingerprint") != "0" * 16).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct())
+    links = near_copy_links(id_and_text(docs, id_col, text_col), similarity, shingle, found)
     gone = connected_components(links).where("key <> root").select(F.col("key").alias("_gone_id"))
     return docs.join(gone, docs[id_col].cast("bigint") == gone["_gone_id"], "left_anti")
