@@ -7,6 +7,7 @@ what meets is verified by the whole sets of shingle hashes.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -64,6 +65,14 @@ def _nodes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array(np.frombuffer(b"".join(digests), np.int64))
 
 
+def _without_old_shuffles(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed, when the JVM has been told to collect what it no longer needs, so that shuffle files go."""
+    out = checkpointed(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes, ascending, that occur in more than one of about ``SAMPLE`` texts, and in how many: the most frequent."""
     share = min(1.0, SAMPLE / max(rows.count(), 1))
@@ -97,13 +106,13 @@ def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, held): each distinct set of ``rows`` with the bytes of its hashes."""
+    """(node, held): the set of each of ``rows`` with the bytes of its hashes."""
 
     def make(ids, values, ends):
         sets = pa.array([s.tobytes() for s in np.split(values, ends[:-1])] if len(ends) else [], pa.binary())
         return pa.RecordBatch.from_arrays([_nodes(values, ends), sets], names=["node", "held"])
 
-    return _by_slice(rows, shingle, make, "node bigint, held binary").dropDuplicates(["node"])
+    return _by_slice(rows, shingle, make, "node bigint, held binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -164,12 +173,12 @@ def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5,
     ids and texts without words have no links.
     """
     rows = rows.where("doc_id is not null")
-    prefixes = checkpointed(_prefixes(rows, shingle, similarity))
+    prefixes = _without_old_shuffles(_prefixes(rows, shingle, similarity))
     members = prefixes.select("id", "node").distinct()
     least = checkpointed(members.groupBy("node").agg(F.min("id").alias("least")))
     spread = prefixes.dropDuplicates(["node"]).select("node", "n", F.posexplode("first").alias("at", "token"))
     often = spread.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = checkpointed(spread.join(often, "token").select("token", "node", "n", "at", "held"))
+    met = _without_old_shuffles(spread.join(often, "token").select("token", "node", "n", "at", "held"))
     few, full = met.where(F.col("held") <= PAIRS), met.where(F.col("held") > PAIRS)
     pairs = _pairs(few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _can_be(similarity)))
     if proposed is not None:
@@ -181,7 +190,7 @@ def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5,
         pairs = pairs.union(led.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")))
     pairs = checkpointed(pairs.distinct())
     wanted = full.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct().join(least, "node").select(F.col("least").alias("doc_id")).distinct()
-    sets = checkpointed(_sets(rows.join(wanted, "doc_id", "left_semi"), shingle))
+    sets = _without_old_shuffles(_sets(rows.join(wanted, "doc_id", "left_semi"), shingle))
     links = _verified(pairs, sets, similarity)
     if not full.isEmpty():
         links = links.union(_verified(_across(full, links, similarity), sets, similarity))
