@@ -190,6 +190,26 @@ def test_calibration(spark):
     assert calibration.calibration_error(bins).first()[0] == pytest.approx(0, abs=1e-9)
 
 
+def test_fits_of_many_rows_are_of_all_rows(spark):
+    """Beyond max_rows: repeated vectors are weighted, many different ones are summed step by step, counts are of all."""
+    rng = np.random.default_rng(8)
+    cycle = ("UP", "FLAT", "DOWN")
+    few = [[0.7, 0.2, 0.1], [0.2, 0.5, 0.3], [0.1, 0.3, 0.6]]
+    rows = [(i, "day", *few[rng.integers(3)], cycle[rng.integers(3)]) for i in range(300)] + [(i, "week", *rng.dirichlet([2, 2, 2]).tolist(), cycle[rng.integers(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, horizon string, p_up double, p_flat double, p_down double, actual string")
+    whole = {r.horizon: r for r in calibration.fit(df, ["horizon"], iterations=6).collect()}
+    for key, most in (("day", 50), ("week", 50)):
+        r = calibration.fit(df.where(F.col("horizon") == key), ["horizon"], iterations=6, max_rows=most).first()
+        assert r.fitted_rows == 300 and np.allclose(r.slopes, whole[key].slopes) and np.allclose(r.shifts, whole[key].shifts) and r.temperature == pytest.approx(whole[key].temperature)
+        _, _, *p, actual = zip(*[x for x in rows if x[1] == key])
+        a, b = calibration.curve(calibration._logits(np.array(p[0])), np.array([x == "UP" for x in actual], float), 6, 0.05, 0.0)
+        assert r.slopes[0] == pytest.approx(a) and r.shifts[0] == pytest.approx(b)
+    x = rng.normal(size=(400, 2)) * [1, 5]
+    train = spark.createDataFrame([(0, f"i{k}", T0, float(a), float(b), cycle[k % 3]) for k, (a, b) in enumerate(x)], "fold int, id string, as_of timestamp_ntz, a double, b double, actual string")
+    m = models.logistic(train, ["a", "b"], iterations=5, max_rows=40).first()
+    assert m.row_count == 400 and np.allclose(m.means, x.mean(0)) and np.allclose(m.scales, x.std(0))
+
+
 def test_ablation_rejects_bad_experiments():
     with pytest.raises(ValueError):
         ablation.check_groups([{"name": "a", "groups": {"g": ["x"], "h": ["x"]}}])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import CLASSES, clip, likeliest, logit, percent, ratio, sigmoid, softmax, valid_probabilities
-from .models import bounded
 
 P = ("p_up", "p_flat", "p_down")
 
@@ -18,52 +18,103 @@ def _logits(p: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def curve(x: np.ndarray, y: np.ndarray, iterations: int, rate: float, penalty: float) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve by full-batch steps from slope 0 and the smoothed prevalence."""
-    slope, level = 0.0, (y.sum() + 0.5) / (len(y) + 1)
+def curve(x: np.ndarray, y: np.ndarray, iterations: int, rate: float, penalty: float, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve by full-batch steps from slope 0 and the smoothed prevalence; ``n``: rows that each entry stands for."""
+    n = np.ones(len(y)) if n is None else n
+    total = n.sum()
+    slope, level = 0.0, ((n * y).sum() + 0.5) / (total + 1)
     intercept = float(np.log(level / (1 - level)))
     for _ in range(iterations):
-        error = 0.5 * (1 + np.tanh((intercept + slope * x) / 2)) - y
-        slope, intercept = slope - rate * (float((error * x).mean()) + penalty * slope), intercept - rate * float(error.mean())
+        error = n * (0.5 * (1 + np.tanh((intercept + slope * x) / 2)) - y)
+        slope, intercept = slope - rate * (float((error * x).sum() / total) + penalty * slope), intercept - rate * float(error.sum() / total)
     return slope, intercept
 
 
-def temperature(p: np.ndarray, y: np.ndarray, iterations: int, rate: float) -> float:
-    """Temperature of the log probabilities by steps on its logarithm, kept within 0.01 and 100."""
+def temperature(p: np.ndarray, y: np.ndarray, iterations: int, rate: float, n: np.ndarray | None = None) -> float:
+    """Temperature of the log probabilities by steps on its logarithm, kept within 0.01 and 100; ``n`` as in ``curve``."""
+    n = np.ones(len(y)) if n is None else n
     z, at = np.log(np.clip(p, 1e-12, 1 - 1e-12)), 0.0
     for _ in range(iterations):
         s = z / np.exp(at)
         w = np.exp(s - s.max(1, keepdims=True))
         expected = (w / w.sum(1, keepdims=True) * z).sum(1)
-        at = float(np.clip(at - rate * ((z[np.arange(len(y)), y] - expected) / np.exp(at)).mean(), np.log(0.01), np.log(100)))
+        at = float(np.clip(at - rate * (n * (z[np.arange(len(y)), y] - expected)).sum() / n.sum() / np.exp(at), np.log(0.01), np.log(100)))
     return float(np.exp(at))
 
 
+def _fit_by_sums(weighted: DataFrame, keys: list[str], iterations: int, rate: float, penalty: float, with_temperature: bool, schema: str) -> DataFrame:
+    """``fit`` of rows with their number ``n``, by one grouped sum over all of them for each step of all keys."""
+    spark, classes = weighted.sparkSession, range(len(CLASSES))
+    kept = weighted.persist(StorageLevel.DISK_ONLY)
+    ok = valid_probabilities(*[F.col(c) for c in P]) & F.coalesce(F.col("actual").isin(*CLASSES), F.lit(False))
+    held = kept.where(ok).withColumns({f"x{k}": logit(F.col(c)) for k, c in enumerate(P)} | {f"y{k}": (F.col("actual") == c).cast("double") for k, c in enumerate(CLASSES)})
+    kinds = ", ".join(f"`_{k}` {weighted.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sums(state: dict[tuple, list[float]], made) -> dict[tuple, np.ndarray]:
+        """The sums of the columns ``made`` returns, by key, where ``s`` holds the state of the row's key."""
+        at = spark.createDataFrame([(*k, [float(v) for v in s]) for k, s in state.items()], f"{kinds}, s array<double>")
+        met = held.join(F.broadcast(at), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        found = made(met)
+        return {tuple(r)[: len(keys)]: np.array(tuple(r)[len(keys) :]) for r in found[0].groupBy(*keys).agg(*[F.sum(F.col("n") * v) for v in found[1]]).collect()}
+
+    def chances(at: Column) -> list[Column]:
+        return [sigmoid(F.get(at, F.lit(2 * k + 1)) + F.get(at, F.lit(2 * k)) * F.col(f"x{k}")) for k in classes]
+
+    def slopes_and_shifts(met: DataFrame):
+        errors = [p - F.col(f"y{k}") for k, p in enumerate(chances(F.col("s")))]
+        return met, [v for k in classes for v in (errors[k] * F.col(f"x{k}"), errors[k])]
+
+    def warmth(met: DataFrame):
+        met = met.withColumns({f"r{k}": p for k, p in enumerate(chances(F.col("s")))})
+        met = met.withColumns({f"z{k}": F.log(clip(F.col(f"r{k}") / (F.col("r0") + F.col("r1") + F.col("r2")))) for k in classes})
+        w = softmax(*[F.col(f"z{k}") / F.exp(F.get("s", F.lit(6))) for k in classes])
+        met = met.withColumns({f"w{k}": v for k, v in enumerate(w)})
+        return met, [sum((F.col(f"y{k}") - F.col(f"w{k}")) * F.col(f"z{k}") for k in classes)]
+
+    counts = {tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in held.groupBy(*keys).agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f"y{k}")) for k in classes]).collect()}
+    state = {key: [v for y in ys for v in (0.0, float(np.log((y + 0.5) / (n - y + 0.5))))] for key, (n, *ys) in counts.items()}
+    for _ in range(iterations if state else 0):
+        for key, g in sums(state, slopes_and_shifts).items():
+            n, s = counts[key][0], state[key]
+            state[key] = [v - rate * (g[i] / n + (0.0 if i % 2 else penalty * v)) for i, v in enumerate(s)]
+    state = {key: [*s, 0.0] for key, s in state.items()}
+    for _ in range(iterations if state and with_temperature else 0):
+        for key, g in sums(state, warmth).items():
+            at = state[key][6]
+            state[key][6] = float(np.clip(at - rate * g[0] / counts[key][0] / np.exp(at), np.log(0.01), np.log(100)))
+    kept.unpersist()
+    return spark.createDataFrame([(*key, [float(v) for v in s[0:6:2]], [float(v) for v in s[1:6:2]], float(np.exp(s[6])), counts[key][0]) for key, s in state.items()], schema)
+
+
 def fit(rows: DataFrame, keys: list[str], iterations: int = 500, rate: float = 0.05, penalty: float = 0.0, with_temperature: bool = True, max_rows: int = 1_000_000) -> DataFrame:
     """A calibrator for each key (such as fold and horizon) from rows (p_up, p_flat, p_down, actual).
 
     Rows with invalid vectors or classes are left out; a key without valid rows has no calibrator. They are told apart
-    inside the fit: as a filter, the test would be pushed below the model's scores and compute them many times over. A
-    key with more than ``max_rows`` rows is fitted on a sample, as in ``models.bounded``.
+    inside the fit: as a filter, the test would be pushed below the model's scores and compute them many times over.
+    Equal rows are one row with their number. Where a key has more than ``max_rows`` different ones, which one task
+    should not hold, each step is a grouped sum over all rows instead.
     """
     if rate <= 0 or penalty < 0:
         raise ValueError("the rate must be positive and the penalty not negative")
-    held = bounded(rows.select(*keys, *P, "actual"), keys, [*P, "actual"], max_rows)
+    held = rows.groupBy(*keys, *P, "actual").agg(F.count(F.lit(1)).alias("n"))
     code = {c: i for i, c in enumerate(CLASSES)}
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
+    if not held.groupBy(*keys).agg(F.count(F.lit(1)).alias("vectors")).where(F.col("vectors") > max_rows).isEmpty():
+        return _fit_by_sums(held, keys, iterations, rate, penalty, with_temperature, f"{kinds}, slopes array<double>, shifts array<double>, temperature double, fitted_rows bigint")
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = pdf[list(P)].astype(float)
         ok = ((whole >= 0) & (whole <= 1)).all(axis=1) & ((whole.sum(axis=1) - 1).abs() <= 1e-9) & pdf["actual"].isin(CLASSES)
         pdf = pdf[ok].sort_values([*P, "actual"])
         if pdf.empty:
             return pd.DataFrame({**{k: pdf[k] for k in keys}, "slopes": [], "shifts": [], "temperature": [], "fitted_rows": []})
-        p, y = pdf[list(P)].to_numpy(), pdf["actual"].map(code).to_numpy()
+        p, y, n = pdf[list(P)].to_numpy(), pdf["actual"].map(code).to_numpy(), pdf["n"].to_numpy(float)
         x = _logits(p)
-        curves = [curve(x[:, k], (y == k).astype(float), iterations, rate, penalty) for k in range(len(CLASSES))]
+        curves = [curve(x[:, k], (y == k).astype(float), iterations, rate, penalty, n) for k in range(len(CLASSES))]
         raw = np.stack([0.5 * (1 + np.tanh((b + a * x[:, k]) / 2)) for k, (a, b) in enumerate(curves)], 1)
-        t = temperature(raw / raw.sum(1, keepdims=True), y, iterations, rate) if with_temperature else 1.0
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "slopes": [[a for a, _ in curves]], "shifts": [[b for _, b in curves]], "temperature": [t], "fitted_rows": [len(y)]})
+        t = temperature(raw / raw.sum(1, keepdims=True), y, iterations, rate, n) if with_temperature else 1.0
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "slopes": [[a for a, _ in curves]], "shifts": [[b for _, b in curves]], "temperature": [t], "fitted_rows": [int(n.sum())]})
 
     return held.groupBy(*keys).applyInPandas(one, f"{kinds}, slopes array<double>, shifts array<double>, temperature double, fitted_rows bigint")
 

@@ -110,22 +110,26 @@ def bounded(rows: DataFrame, keys: list[str], names: list[str], max_rows: int) -
 def logistic(train: DataFrame, names: list[str], key: str = "fold", penalty: float = 0.01, iterations: int = 500, rate: float = 0.1, max_rows: int = 1_000_000) -> DataFrame:
     """Multinomial logistic models by key, on standardised features.
 
-    A key with more than ``max_rows`` train rows is fitted on a sample, as in ``bounded``.
+    Means, scales and row_count are of all train rows. The steps of a key with more than ``max_rows`` train rows go over
+    a sample, as in ``bounded``.
     """
     if rate <= 0 or penalty < 0:
         raise ValueError("the rate must be positive and the penalty not negative")
     rows = train.withColumn("x", vector(names)).where(F.col("x").isNotNull() & F.col("actual").isin(*CLASSES))
     rows = rows.select(key, "as_of", F.col("id").cast("string").alias("id"), "x", "actual")
+    parts = [F.get("x", F.lit(i)) for i in range(len(names))]
+    whole = rows.groupBy(F.col(key).alias("_key")).agg(F.array(*[F.avg(v) for v in parts]).alias("_mean"), F.array(*[F.stddev_pop(v) for v in parts]).alias("_sd"), F.count(F.lit(1)).alias("_rows"))
     sample = bounded(rows, [key], ["id"], max_rows)
+    sample = sample.join(F.broadcast(whole), sample[key].eqNullSafe(whole["_key"])).drop("_key")
     code = {c: i for i, c in enumerate(CLASSES)}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["as_of", "id"])
         x = np.stack(pdf["x"].to_numpy())
-        mean, sd = x.mean(0), x.std(0)
+        mean, sd = np.array(pdf["_mean"].iloc[0]), np.array(pdf["_sd"].iloc[0])
         scale = np.where(sd > 0, sd, 1.0)
         w, b = descend((x - mean) / scale, pdf["actual"].map(code).to_numpy(), penalty, iterations, rate)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "means": [mean.tolist()], "scales": [scale.tolist()], "coefficients": [w.tolist()], "intercepts": [b.tolist()], "row_count": [len(x)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "means": [mean.tolist()], "scales": [scale.tolist()], "coefficients": [w.tolist()], "intercepts": [b.tolist()], "row_count": [pdf["_rows"].iloc[0]]})
 
     kind = train.schema[key].dataType.simpleString()
     return sample.groupBy(key).applyInPandas(fit, f"{key} {kind}, means array<double>, scales array<double>, coefficients array<array<double>>, intercepts array<double>, row_count bigint")
