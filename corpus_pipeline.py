@@ -29,7 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash and verified as near copies, the one with the smallest id stays."""
+    """Of documents linked as near copies, by the exact similarity of their word shingles, the one with the smallest id stays."""
     return drop_near_duplicates(docs)
 
 
