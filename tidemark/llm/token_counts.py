@@ -19,7 +19,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     Each task keeps a dictionary from pre-token to its number of pieces (of bounded size, kept between tasks of a
     worker). A block of documents becomes two columns, the distinct pre-tokens of each document and how often each
-    occurs; the dictionary is joined to the first, and the products are summed by document. No ids are made.
+    occurs; the dictionary is joined to the first, and the products are summed by document. The dictionary learns
+    a pre-token by its ids, so ids are made once per distinct pre-token, worker and dictionary; none per document.
     A pre-token here carries its trailing punctuation, which the library splits itself when it first meets it.
 
     Null or empty text: 0 bytes, 0 tokens. Rows that repeat are each counted. A null id stays null. Empty table:
