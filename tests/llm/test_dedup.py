@@ -295,7 +295,8 @@ def test_empty_tables(spark):
         assert stage(empty(spark)).count() == 0
 
 
-def test_no_link_is_lost_in_full_buckets_of_mixed_texts(spark):
+@pytest.mark.parametrize("tile", [4, 25, 1024])
+def test_no_link_is_lost_in_full_buckets_of_mixed_texts(spark, tile):
     """60 texts share most of a text and differ pair by pair: their buckets are full, and no leader is like all."""
     base, rng = passage(12, 300).split(), random.Random(9)
     known = []
@@ -304,14 +305,14 @@ def test_no_link_is_lost_in_full_buckets_of_mixed_texts(spark):
         for k in range(rng.randrange(1, 12) if i % 3 else 2):
             words[rng.randrange(300)] = f"own{i if i % 3 else i // 6}x{k}"
         known.append((i, " ".join(words)))
-    links = near_copy_links(spark.createDataFrame(known, "doc_id bigint, text string").repartition(4))
+    links = near_copy_links(spark.createDataFrame(known, "doc_id bigint, text string").repartition(4), tile=tile)
     root = {r["key"]: r["root"] for r in connected_components(links).collect()}
     found = {(r["a"], r["b"]) for r in links.collect()}
     sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in known]
     alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(60) for j in range(i)}
     assert min(alike.values()) < 0.6 and sum(s >= 0.8 for s in alike.values()) > 100
     assert all(root[i] == root[j] for (i, j), s in alike.items() if s >= 0.8)
-    assert all(s > 0.6 for (i, j), s in alike.items() if (i, j) in found or (j, i) in found)
+    assert len(found) < 60 * 4 and all(alike[max(p), min(p)] >= 0.8 for p in found)
 
 
 def _variants(n, others):
@@ -326,14 +327,41 @@ def _variants(n, others):
     return out
 
 
-def test_variants_that_are_like_one_text_only_are_its_group(spark):
+@pytest.mark.parametrize("tile", [20, 1024])
+def test_variants_that_are_like_one_text_only_are_its_group(spark, tile):
     """Full buckets in which all are like the original and no two variants like each other: leaders lose many of them."""
     known = _variants(400, 250)
     near = [jaccard(known[0][1], t) for _, t in known[1:]]
     assert 0.8 <= min(near) <= max(near) < 0.84 and max(jaccard(known[i][1], known[j][1]) for i in range(1, 40) for j in range(1, i)) < 0.8
-    links = near_copy_links(spark.createDataFrame([(1000 - i, t) for i, t in known], "doc_id bigint, text string").repartition(4))
+    links = near_copy_links(spark.createDataFrame([(1000 - i, t) for i, t in known], "doc_id bigint, text string").repartition(4), tile=tile)
+    root = {r["key"]: r["root"] for r in connected_components(links).collect()}
+    lost = sum(root.get(1000 - i) != 750 for i, _ in known)
+    assert lost <= 2  # each shares a bucket with the original with a probability of 0.998
+
+
+def test_near_copies_of_a_whole_table_against_all_pairs(spark, small):
+    """Recall and precision of links at 0.8 against the exact similarity of all pairs, through an inverted index."""
+    known = [(i, t) for i, t in id_texts(small) if WORD.findall(t or "")]
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or {" ".join(w)} for _, t in known for w in [WORD.findall(t.translate(LOWER))]]
+    holders, alike = defaultdict(list), {}
+    for x, s in enumerate(sets):
+        both = Counter(y for h in s for y in holders[h])
+        alike.update({(known[x][0], known[y][0]): n / (len(s) + len(sets[y]) - n) for y, n in both.items()})
+        for h in s:
+            holders[h].append(x)
+    near = {frozenset(p) for p, s in alike.items() if s >= 0.8}
+    links = near_copy_links(spark.createDataFrame(known, "doc_id bigint, text string").repartition(4))
+    assert {frozenset((r.a, r.b)) for r in links.collect()} <= near
     root = {r["key"]: r["root"] for r in connected_components(links).collect()}
-    assert {root.get(1000 - i) for i, _ in known} == {750}
+    joined = sum(len({root.get(i, (i,)) for i in p}) == 1 for p in near)
+    assert len(near) > 100 and joined >= 0.99 * len(near)
+
+
+def test_an_id_with_two_texts_and_repeated_rows(spark):
+    a, b = passage(1, 100), passage(2, 100)
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a + " x"), (3, b + " y"), (4, passage(3, 100)), (None, a)], "doc_id bigint, text string")
+    links = {(r.a, r.b) for r in near_copy_links(docs).collect()}
+    assert links == {(1, 2), (1, 3)}
 
 
 def test_links_are_decided_by_the_exact_similarity(spark):
@@ -346,7 +374,8 @@ def test_links_are_decided_by_the_exact_similarity(spark):
     alike = {(2 * k, 2 * k + 1): jaccard(known[2 * k][1], known[2 * k + 1][1]) for k in range(120)}
     assert sum(0.8 <= s < 0.81 for s in alike.values()) >= 50 and sum(0.7 < s < 0.73 for s in alike.values()) >= 50
     found = {(r["a"], r["b"]) for r in near_copy_links(spark.createDataFrame(known, "doc_id bigint, text string").repartition(4)).collect()}
-    assert found == {p for p, s in alike.items() if s >= 0.8}
+    near = {p for p, s in alike.items() if s >= 0.8}
+    assert found <= near and len(near - found) <= 2
 
 
 def test_texts_that_share_a_repeated_line_only_stay(spark):

@@ -45,6 +45,34 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Rows of a table that is broadcast, and of one whose ids are broadcast as a bitmap; beyond it texts are joined by a shuffle.
+BROADCAST_ROWS, BITMAP_ROWS = 500_000, 8_000_000
+
+
+def rows_of(texts: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``texts`` with ``found`` by ``key``, moving as few texts as the size of ``found`` allows.
+
+    Up to ``BROADCAST_ROWS``, ``found`` is broadcast. Up to ``BITMAP_ROWS``, a bitmap of its keys' hashes, 16 bits for
+    each key, is broadcast first, and only texts that pass it are shuffled. A larger ``found`` is joined as it is.
+    """
+    n = found.count()
+    if n <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(found), key)
+    if n <= BITMAP_ROWS:
+        texts = _bitmap_filtered(texts, found, key, n)
+    return texts.join(found, key)
+
+
+def _bitmap_filtered(texts: DataFrame, found: DataFrame, key: str, n: int) -> DataFrame:
+    words = 1 << max(1, (n // 4).bit_length())
+    place = F.xxhash64(F.col(key), F.lit(3))
+    word = F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(words - 1))
+    bit = F.expr("shiftleft(1L, cast(pmod(_place, 64) as int))")
+    bits = found.select(place.alias("_place"), word.alias("_word")).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
+    placed = texts.withColumn("_place", place).withColumn("_word", word)
+    return placed.join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*texts.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
