@@ -10,13 +10,14 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import common, simhash
 from tidemark.llm.components import connected_components
 from tidemark.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from tidemark.llm.exchange import golomb_decode, golomb_encode
 from tidemark.llm.near_copies import near_copy_links
-from tidemark.llm.oph import BINS, PROBES, fingerprint_documents
+from tidemark.llm.oph import BINS, PROBES, fingerprint_documents, with_next
 from tidemark.llm.simhash import drop_near_duplicates, near_duplicates, near_links
 from tidemark.llm.substring_dedup import drop_repeated_passages, remove_repeated_passages
 
@@ -65,10 +66,30 @@ def test_drop_exact_duplicates_keeps_columns_and_clean_rows(spark, tiny, which):
         best[n] = max(best.get(n, -1 << 62), -1 << 62 if i is None else i)
     out = drop_exact_duplicates(docs)
     assert out.schema == docs.schema
-    expect = [(i,) for i, t in known if (-1 << 62 if i is None else i) == best[(t or "").translate(LOWER)]]
+    expect = {(i, (t or "").translate(LOWER)) for i, t in known if (-1 << 62 if i is None else i) == best[(t or "").translate(LOWER)]}
+    expect = [(i,) for i, _ in expect]
     assert collected(out, "doc_id") == ordered(expect)
 
 
+def test_rows_that_repeat_or_have_no_id_are_kept_once(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (1, "A", 2), (1, "b", 3), (None, "c", 4), (None, "C", 5), (None, "d", 6), (2, "d", 7), (3, None, 8), (3, "", 9)], "doc_id bigint, text string, n int")
+    out = drop_exact_duplicates(docs)
+    assert out.schema == docs.schema
+    got = [(r.doc_id, (r.text or "").lower()) for r in out.collect()]
+    assert ordered(got) == ordered([(1, "a"), (1, "b"), (None, "c"), (2, "d"), (3, "")])
+
+
+@pytest.mark.parametrize("most", [(0, 1 << 40), (0, 0), (1 << 40, 0)])
+def test_joins_of_texts_by_broadcast_bitmap_and_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most[0])
+    monkeypatch.setattr(common, "BITMAP_ROWS", most[1])
+    texts = spark.range(3000).select("id", F.format_string("t%d", "id").alias("text")).union(spark.createDataFrame([(None, "none")], "id bigint, text string"))
+    found = spark.range(0, 6000, 7).select("id", (F.col("id") * 2).alias("n"))
+    assert common.rows_of(texts, found, "id").count() == 429
+    rest = common.rows_without(texts, found.select("id"), "id")
+    assert rest.columns == texts.columns and rest.count() == 3001 - 429 and rest.where("id is null or id % 7 = 0").count() == 1
+
+
 def removed_by_hand(known, window):
     words = [WORD.findall(t or "") for _, t in known]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -130,6 +151,15 @@ def test_near_duplicates(spark, tiny, which):
     assert collected(near_duplicates(docs), "doc_id", "fingerprint", "component_id") == ordered(components_by_hand(known, 3))
 
 
+@pytest.mark.parametrize("width", simhash.WIDTHS)
+def test_segment_counts(spark, width):
+    prints = [0, -1, 1, -(2**63), *[int(x) for x in np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 50)]]
+    frame = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    mask = (1 << width) - 1
+    for fp, at in frame.select("fp", simhash.segment_counts(F.col("fp"), width)).collect():
+        assert [at >> i & mask for i in range(0, 64, width)] == [(fp >> i & mask).bit_count() for i in range(0, 64, width)]
+
+
 def test_full_cells_give_the_same_components(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
@@ -143,10 +173,22 @@ def test_full_cells_give_the_same_components(spark, monkeypatch):
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
     frame = spark.createDataFrame(signed, "fp bigint")
     found = []
-    for most in (1, 24, 10_000):
+    for most in (1, 5, 24, 10_000):
         monkeypatch.setattr(simhash, "CELL_PAIRS", most)
         found.append(collected(connected_components(near_links(frame)), "key", "root"))
-    assert found[0] == found[1] == found[2]
+    assert all(f == found[0] for f in found)
+
+
+def test_full_cells_are_cut_by_the_next_grid(spark):
+    """Fingerprints with equal counts in all segments of the first grid: pairs are found by the second one."""
+    rng = np.random.default_rng(8)
+    prints = {sum(1 << (4 * i + int(rng.integers(4))) for i in range(16)) for _ in range(300)}
+    prints |= {p ^ 3 << 4 * int(rng.integers(16)) for p in list(prints)[:100]}
+    links = near_links(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp bigint"))
+    each = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    near = {(a, b) for n, b in enumerate(each) for a in each[:n] if (a ^ b).bit_count() <= 2}
+    assert {(r.a, r.b) for r in links.collect()} == near and near
+    assert "least" not in links._jdf.queryExecution().analyzed().toString()
 
 
 def jaccard(a, b, k=5):
@@ -270,6 +312,15 @@ def test_fingerprints(spark, tiny, which):
     assert ordered(got) == ordered(expect)
 
 
+@pytest.mark.parametrize("ids", [[*range(200), 10**15], [7] * 90 + [8, None, None, 3], [5], [None], [-(2**63), 0, 2**63 - 1, 1, 1, 2]])
+def test_next_rows_over_ranges_of_ids(spark, ids):
+    known = [(i, f"t{n}") for n, i in enumerate(ids)]
+    rows = spark.createDataFrame(known, "doc_id bigint, text string").repartition(3).withColumn("fp", F.array(F.lit(1).cast("tinyint")))
+    order = sorted(known, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    expect = [(*r, order[(n + 1) % len(order)][1]) for n, r in enumerate(order)]
+    assert collected(with_next(rows, bucket_rows=9), "doc_id", "text", "next_text") == ordered(expect)
+
+
 def test_fingerprints_stay_in_the_jvm(spark, tiny):
     plan = fingerprint_documents(spark.read.parquet(f"{tiny}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -11,20 +11,25 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch between Spark and Python; texts may be long.
-BATCH_ROWS = 500
+#: A column beside those of the documents.
+KEY = "_tidemark_key"
+#: Rows and bytes of an Arrow batch between Spark and Python.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger: a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` where they are larger.
+
+    A batch is held several times over, and texts may be long. Jobs call this once; operators leave the session alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+    return spark
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` as bigint and ``text`` with null as empty; every other column, clashing names included, is left out."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
@@ -63,20 +68,40 @@ def rows_of(texts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return texts.join(found, key)
 
 
+def rows_without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` whose ``key`` is not in ``gone`` (key), null keys included; moves texts as sparingly as ``rows_of``."""
+    n = gone.count()
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(gone), key, "left_anti")
+    if n > BITMAP_ROWS:
+        return docs.join(gone, key, "left_anti")
+    placed, met = _placed(docs, gone, key, n)
+    clear = placed.where(~met).select(*docs.columns)
+    return clear.unionByName(placed.where(met).select(*docs.columns).join(gone, key, "left_anti"))
+
+
 def _bitmap_filtered(texts: DataFrame, found: DataFrame, key: str, n: int) -> DataFrame:
+    placed, met = _placed(texts, found, key, n)
+    return placed.where(met).select(*texts.columns)
+
+
+def _placed(texts: DataFrame, found: DataFrame, key: str, n: int) -> tuple[DataFrame, Column]:
+    """``texts`` beside their words of a bitmap of ``found``'s keys, and whether a row's bit is set."""
     words = 1 << max(1, (n // 4).bit_length())
     place = F.xxhash64(F.col(key), F.lit(3))
     word = F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(words - 1))
     bit = F.expr("shiftleft(1L, cast(pmod(_place, 64) as int))")
     bits = found.select(place.alias("_place"), word.alias("_word")).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
     placed = texts.withColumn("_place", place).withColumn("_word", word)
-    return placed.join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*texts.columns)
+    return placed.join(F.broadcast(bits), "_word", "left"), F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode (tests) a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)

@@ -7,28 +7,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, id_and_text
+from .common import KEY, ascii_lower, checkpointed, id_and_text, rows_of, rows_without
 from .exchange import ANSWER, SENT, answered, answers, sent_blobs
 
 #: Fingerprints a partition of the exchange holds, about.
 PART_ROWS = 250_000
 
 
-def exact_duplicates(docs: DataFrame, part_rows: int = PART_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts that are identical after lower-casing A-Z; the row with the largest doc_id stays.
-
-    Fingerprints (64 bits) and digests of all texts are read once and kept in the shared folder. Partitions and owners
-    exchange them as in ``exchange``; what comes back are suspects. Their texts, and no others, are then grouped by
-    all their bytes, with partial sums before the shuffle, so a very large group arrives as one row per task.
-
-    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty and
-    forms a group with empty texts. Rows that repeat a doc_id within a group all count in group_size and all are kept
-    if theirs is the largest. A null doc_id is the smallest. An empty table gives no rows; other columns are ignored.
-    """
+def _marked(docs: DataFrame, part_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, k (a hash of id and text), sha, and keep_id and group_size where it has copies."""
     norm = id_and_text(docs, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("norm"))
-    rows = checkpointed(norm.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
+    digests = norm.select("doc_id", F.xxhash64("norm").alias("h"), F.xxhash64("doc_id", "norm").alias("k"), F.unhex(F.sha2("norm", 256)).alias("sha"))
+    rows = checkpointed(digests)
     parts = max(1, -(-rows.count() // part_rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    prints = rows.select("doc_id", "h", F.pmod(F.xxhash64("doc_id", "h", F.lit(7)), F.lit(parts)).cast("int").alias("part"))
+    prints = rows.select("h", F.pmod(F.xxhash64("doc_id", "h", F.lit(7)), F.lit(parts)).cast("int").alias("part"))
 
     def send(table: pa.Table) -> pa.Table:
         values = np.unique(table["h"].to_numpy().astype(np.uint64))
@@ -36,17 +28,32 @@ def exact_duplicates(docs: DataFrame, part_rows: int = PART_ROWS, id_col: str =
 
     def suspects(table: pa.Table, back: pa.Table) -> pa.Table:
         h = table["h"].to_numpy().astype(np.uint64)
-        values, place, times = np.unique(h, return_inverse=True, return_counts=True)
-        seen = (answered(back, len(values)) | (times > 1))[place]
-        return table.filter(pa.array(seen)).select(["doc_id"])
+        values, times = np.unique(h, return_counts=True)
+        seen = answered(back, len(values)) | (times > 1)
+        return pa.table({"h": pa.array(values[seen].view(np.int64))})
 
-    back = answers(prints.select("h", "part").groupBy("part").applyInArrow(send, SENT)).select(*[c.split()[0] for c in ANSWER.split(", ")])
-    suspect = prints.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(suspects, "doc_id bigint").withColumnRenamed("doc_id", "suspect_id").distinct()
-    texts = norm.join(suspect, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
+    back = answers(prints.groupBy("part").applyInArrow(send, SENT)).select(*[c.split()[0] for c in ANSWER.split(", ")])
+    suspect = checkpointed(prints.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(suspects, "h bigint").distinct())
+    texts = rows_of(norm.withColumn("h", F.xxhash64("norm")), suspect, "h")
     groups = texts.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = groups.select(F.unhex(F.sha2("norm", 256)).alias("group_sha"), "keep_id", "group_size")
-    out = rows.join(groups, rows["sha"] == groups["group_sha"], "left")
-    keep = F.when(F.col("group_sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    groups = groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+    return rows.drop("h").join(groups, "sha", "left")
+
+
+def exact_duplicates(docs: DataFrame, part_rows: int = PART_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts that are identical after lower-casing A-Z; the row with the largest doc_id stays.
+
+    Fingerprints (64 bits) and digests of all texts are read once and kept in the shared folder. Partitions and owners
+    exchange them as in ``exchange``; what comes back are suspected fingerprints. Texts that have one, and no others (see
+    ``rows_of``), are then grouped by all their bytes, with partial sums before the shuffle, so a very large group
+    arrives as one row per task.
+
+    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty and
+    forms a group with empty texts. Rows that repeat a doc_id within a group all count in group_size and all are kept
+    if theirs is the largest. A null doc_id is the smallest. An empty table gives no rows; other columns are ignored.
+    """
+    out = _marked(docs, part_rows, id_col, text_col)
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id",
         keep.alias("keep_id"),
@@ -57,7 +64,18 @@ def exact_duplicates(docs: DataFrame, part_rows: int = PART_ROWS, id_col: str =
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that ``exact_duplicates`` does not keep."""
-    gone = exact_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256)
-    return docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    """``docs`` with all its columns, and of each group of equal texts the row with the largest id alone.
+
+    Of rows that repeat that id with that text, or of copies that all have a null id, the one with the least hash of
+    all its columns stays. Null text counts as empty. An empty table gives no rows.
+    """
+    copies = checkpointed(_marked(docs, PART_ROWS, id_col, text_col).where("group_size is not null").select("doc_id", "keep_id", F.col("k").alias(KEY)))
+    gone = copies.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(KEY)
+    again = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(KEY).count().where("count > 1").select(KEY)
+    keyed = docs.withColumn(KEY, F.xxhash64(docs[id_col].cast("bigint"), ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))))
+    rest = rows_without(keyed, checkpointed(gone.union(again).distinct()), KEY).drop(KEY)
+    if again.isEmpty():
+        return rest
+    columns = [docs[c] for c in docs.columns]
+    one = rows_of(keyed, again, KEY).groupBy(KEY).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return rest.union(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

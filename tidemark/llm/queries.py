@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
-from .common import documents, labels, shared_path
+from .common import documents, labels, shared_path, small_batches
 from .exact_dedup import exact_duplicates
 from .oph import fingerprint_documents
 from .packing import pack_documents
@@ -71,8 +71,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` in a session whose Arrow batches are small."""
+    return lambda spark, sf_dir: query(small_batches(spark), sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: with_small_batches(f)
     for f in (op1_token_counts, op2_quality, op3_toxicity, op4_exact_dedup, op5_packing, op6_fingerprints, op7_bpe, op8_substring_dedup, op9_simhash, op10_token_files, pipeline)
 }
 
