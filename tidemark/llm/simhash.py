@@ -4,6 +4,10 @@ The 64 bits are 16 segments of 4; a fingerprint's counts of set bits are a point
 changes one count by one, so the Manhattan distance of two points is never more than the Hamming distance of their
 fingerprints. Points within distance 2 share a grid cell within distance 1 of both: each distinct fingerprint enters
 its own cell and the 32 beside it, cells are joined, and what meets is verified by its exact Hamming distance.
+
+With more fingerprints cells grow fuller. A full cell is cut by the grid of 2-bit segments, and what is full there, as in
+a very large group of near copies, by the grid of single bits, whose cells are fingerprints. All that meet in one of
+those are within 2 bits of each other, so they need no pairs.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text
+from .common import KEY, checkpointed, id_and_text, rows_without
 from .components import connected_components
 from .near_copies import near_copy_links
 
 _SPACES = "\x09\x0a\x0b\x0c\x0d"
 #: A cell with more fingerprints than this is not joined pair by pair.
 CELL_PAIRS = 24
+#: Bits of a segment in each grid.
+WIDTHS = (4, 2, 1)
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -65,41 +71,59 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def segment_counts(fp: Column) -> Column:
-    """Set bits of each 4-bit segment, each in its own 4 bits of a bigint."""
+def segment_counts(fp: Column, width: int) -> Column:
+    """Set bits of each segment of ``width`` bits (1, 2 or 4), each count in the segment's own bits of a bigint."""
+    if width == 1:
+        return fp
+    pairs = F.lit(0x5555555555555555)
+    low, high = fp.bitwiseAND(pairs), F.shiftrightunsigned(fp, 1).bitwiseAND(pairs)
+    if width == 2:
+        return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
     ones = F.lit(0x1111111111111111)
-    one, two, three, four = (F.shiftrightunsigned(fp, i).bitwiseAND(ones) for i in range(4))
-    return one + two + three + four
+    return low.bitwiseAND(ones) + high.bitwiseAND(ones) + F.shiftrightunsigned(low, 2).bitwiseAND(ones) + F.shiftrightunsigned(high, 2).bitwiseAND(ones)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _cells(at: Column, width: int) -> Column:
+    """The grid cell of a point and those beside it."""
+    if width == 1:
+        return F.array(at, *[at.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
+    beside = []
+    for i in range(0, 64, width):
+        count = F.shiftrightunsigned(at, i).bitwiseAND(F.lit((1 << width) - 1))
+        for step, able in ((1, count < width), (-1, count > 0)):
+            beside.append(F.when(able, at.bitwiseXOR(F.shiftleft(count.bitwiseXOR(count + step), i))))
+    return F.array_compact(F.array(at, *beside))
+
+
 def near_links(prints: DataFrame) -> DataFrame:
     """(a, b) over distinct fingerprints (column fp): links whose components are those of all pairs at 2 or fewer bits.
 
-    Cells of up to ``CELL_PAIRS`` fingerprints are joined and verified pair by pair. In a fuller cell, which only a
-    very large group of near copies makes, each member instead names its fingerprint and the 64 that differ by a
-    bit; two members name one in common exactly if they differ by at most two bits, and each name ties its members to
-    the smallest. That is exact, and grows with the members, not with their pairs.
+    Cells of up to ``CELL_PAIRS`` fingerprints are joined and verified pair by pair. Those of fuller cells enter the next
+    grid. In the last one, of single bits, two fingerprints share a cell exactly if they differ by at most two bits, and
+    each cell ties its members to the smallest. That is exact, and grows with the members, not with their pairs.
     """
-    one = [F.lit(_signed(1 << (4 * i))) for i in range(16)]
-    count = [F.shiftrightunsigned(F.col("at"), 4 * i).bitwiseAND(F.lit(15)) for i in range(16)]
-    beside = [F.when(count[i] < 4, F.col("at") + one[i]) for i in range(16)] + [F.when(count[i] > 0, F.col("at") - one[i]) for i in range(16)]
-    points = prints.select("fp", segment_counts(F.col("fp")).alias("at"))
-    cells = points.select("fp", "at", F.explode(F.array_compact(F.array("at", *beside))).alias("cell"))
-    full = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = checkpointed(cells.join(full, "cell"))
-    few = met.where(F.col("held") <= CELL_PAIRS)
-    other = few.select("cell", F.col("fp").alias("fp2"), F.col("at").alias("at2"))
-    pairs = few.join(other, "cell").where((F.col("fp") < F.col("fp2")) & ((F.col("at") != F.col("at2")) | (F.col("cell") == F.col("at"))))
-    verified = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    names = met.where(F.col("held") > CELL_PAIRS).select("fp").distinct().select("fp", F.explode(flips).alias("name"))
-    least = names.groupBy("name").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "least")
-    tied = names.join(least, "name").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return verified.union(tied).distinct()
+    inside, links = prints.select("fp"), None
+    for width in WIDTHS[:-1]:
+        points = inside.withColumn("at", segment_counts(F.col("fp"), width))
+        dealt = points.select("fp", "at", F.explode(_cells(F.col("at"), width)).alias("cell"))
+        often = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        met = checkpointed(dealt.join(often, "cell"))
+        few = met.where(F.col("held") <= CELL_PAIRS)
+        other = few.select("cell", F.col("fp").alias("fp2"), F.col("at").alias("at2"))
+        pairs = few.join(other, "cell").where((F.col("fp") < F.col("fp2")) & ((F.col("at") != F.col("at2")) | (F.col("cell") == F.col("at"))))
+        near = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+        links = near if links is None else links.union(near)
+        inside = met.where(F.col("held") > CELL_PAIRS).select("fp").distinct()
+        if inside.isEmpty():
+            return links.distinct()
+    names = inside.select("fp", F.explode(_cells(F.col("fp"), 1)).alias("cell"))
+    least = names.groupBy("cell").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").select("cell", "least")
+    tied = names.join(least, "cell").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    return links.union(tied).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,14 +145,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_pairs(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): documents whose fingerprints differ by 1 or 2 bits, one pair for each two fingerprints, as ``near_links`` ties them.
+
+    Texts without words and null ids are left out.
+    """
+    prints = fingerprints(docs, shingle, id_col, text_col).where("fp <> 0 and doc_id is not null")
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    a, b = (nodes.select(F.col("fp").alias(c), F.col("least_id").alias(f"id_{c}")) for c in "ab")
+    return near_links(nodes.select("fp")).join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, without the documents that are not the smallest id of their group of near copies.
 
-    Groups join the pairs whose Jaccard similarity of shingle sets is at least ``similarity``. A SimHash counts repeats,
-    so what it links within 2 bits is only proposed to ``near_copies``, where all links are verified. Texts without words
-    are not each other's near copies here: they stay, and so do null ids.
+    Groups join the pairs whose Jaccard similarity of shingle sets is at least ``similarity``. The grid proposes what is
+    within 2 SimHash bits; at this similarity most fingerprints differ by about 10 bits, where no grid prunes, so MinHash
+    buckets propose the rest. All proposals are verified in ``near_copies``: a SimHash counts repeats, so texts within 2
+    bits may share little. Texts without words are not each other's near copies here: they stay, and so do null ids and
+    rows that repeat an id that stays. An empty table gives no rows.
     """
-    found = checkpointed(near_duplicates(docs, shingle, id_col, text_col).where(F.col("fingerprint") != "0" * 16).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct())
-    links = near_copy_links(id_and_text(docs, id_col, text_col), similarity, shingle, found)
-    gone = connected_components(links).where("key <> root").select(F.col("key").alias("_gone_id"))
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["_gone_id"], "left_anti")
+    links = near_copy_links(id_and_text(docs, id_col, text_col), similarity, shingle, near_pairs(docs, shingle, id_col, text_col))
+    gone = connected_components(links).where("key <> root").select(F.col("key").alias(KEY))
+    return rows_without(docs.withColumn(KEY, docs[id_col].cast("bigint")), checkpointed(gone), KEY).drop(KEY)
