@@ -2,48 +2,115 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import checkpointed, id_and_text
 from .units import unit_ids
 
+#: Pre-tokens whose counts every worker holds, and characters of the longest of them; and how many a task gathers at once.
+HEAD, HEAD_CHARS, GATHERED = 200_000, 40, 200_000
+#: Rows that are split at once.
+SLICE = 500
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_HEADS: dict[str, dict[str, int]] = {}
+
+
+def _vocabulary(texts: DataFrame, tokenizer: str) -> DataFrame:
+    """(unit, times, pieces): each distinct pre-token of all texts, how often it occurs, and its number of pieces.
+
+    Tasks send their distinct pre-tokens with sums, so a very frequent one arrives as one row for each ``GATHERED``.
+    """
+
+    def gather(batches):
+        split, times = unit_ids(tokenizer).split, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                times.update(split(text))
+                if len(times) >= GATHERED:
+                    yield _columns(["unit", "times"], [list(times), list(times.values())], [pa.string(), pa.int64()])
+                    times = Counter()
+        yield _columns(["unit", "times"], [list(times), list(times.values())], [pa.string(), pa.int64()])
+
+    def count(batches):
+        encoder = unit_ids(tokenizer)
+        for batch in batches:
+            units = batch.column(0).to_pylist()
+            pieces = {u: len(ids) for u, ids in encoder.encoded(set(units))}
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pieces[u] for u in units], pa.int64())], names=["unit", "times", "pieces"])
+
+    distinct = texts.mapInArrow(gather, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
+    return checkpointed(distinct.mapInArrow(count, "unit string, times bigint, pieces bigint"))
+
+
+def _columns(names: list[str], values: list, kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text, as the tokenizers library counts them without added tokens.
 
-    Each task keeps a dictionary from pre-token to its number of pieces (of bounded size, kept between tasks of a
-    worker). A block of documents becomes two columns, the distinct pre-tokens of each document and how often each
-    occurs; the dictionary is joined to the first, and the products are summed by document. The dictionary learns
-    a pre-token by its ids, so ids are made once per distinct pre-token, worker and dictionary; none per document.
-    A pre-token here carries its trailing punctuation, which the library splits itself when it first meets it.
+    1. The distinct pre-tokens of all texts are grouped, and each one's pieces are counted once; its ids exist only in
+       that call, and are neither kept nor sent.
+    2. Each document becomes its distinct pre-tokens and how often each occurs. The counts of the ``head`` most frequent
+       pre-tokens, of at most ``HEAD_CHARS`` characters each, are broadcast and joined at once; what else occurs is
+       joined by a shuffle of (document, pre-token, times). The products are summed by document.
+
+    A pre-token here is a stretch of text that the library encodes independently of its surroundings (``units``).
 
     Null or empty text: 0 bytes, 0 tokens. Rows that repeat are each counted. A null id stays null. Empty table:
     no rows. Other columns are ignored.
     """
-    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint"
+    rows = id_and_text(docs, id_col, text_col)
+    vocabulary = _vocabulary(rows.select("text"), tokenizer)
+    short = vocabulary.where(F.length("unit") <= HEAD_CHARS)
+    top = short.orderBy(F.desc("times"), "unit").limit(head).select("unit", "pieces").toArrow()
+    name, known = uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast((top["unit"].combine_chunks(), top["pieces"].combine_chunks()))
+    names, kinds = ["row", "doc_id", "n_bytes", "n_tokens", "unit", "times"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
-    def count(batches):
-        known = unit_ids(tokenizer)
+    def join(batches):
+        split, of_head = unit_ids(tokenizer).split, _head(name, known)
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                freqs = [Counter(known.split(t)) for t in part.column(1).to_pylist()]
-                ids = known.learn({u for f in freqs for u in f})
-                sizes = np.array([len(f) for f in freqs], np.int64)
-                pieces = np.fromiter((len(ids[u]) >> 2 for f in freqs for u in f), np.int64, int(sizes.sum()))
-                times = np.fromiter((n for f in freqs for n in f.values()), np.int64, len(pieces))
-                sums = np.concatenate([[0], np.cumsum(pieces * times)])
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pc.binary_length(part.column(1).cast(pa.binary())).cast(pa.int64()), pa.array(sums[ends] - sums[ends - sizes])],
-                    names=["doc_id", "n_bytes", "n_tokens"],
-                )
-
-    out = id_and_text(docs, id_col, text_col).mapInArrow(count, schema)
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                sums, rest = [], ([], [], [])
+                for text in part.column(1).to_pylist():
+                    total = 0
+                    for unit, times in Counter(split(text)).items():
+                        pieces = of_head.get(unit)
+                        if pieces is None:
+                            for column, value in zip(rest, (row, unit, times), strict=True):
+                                column.append(value)
+                        else:
+                            total += pieces * times
+                    sums.append(total)
+                    row += 1
+                n = len(sums)
+                size = pc.binary_length(part.column(1).cast(pa.binary())).to_pylist()
+                yield _columns(names, [range(row - n, row), part.column(0).to_pylist(), size, sums, [None] * n, [None] * n], kinds)
+                if rest[0]:
+                    none = [None] * len(rest[0])
+                    yield _columns(names, [rest[0], none, none, none, rest[1], rest[2]], kinds)
+
+    met = checkpointed(rows.mapInArrow(join, "row bigint, doc_id bigint, n_bytes bigint, n_tokens bigint, unit string, times bigint"))
+    tail = met.where("unit is not null").select("row", "unit", "times").join(vocabulary.select("unit", "pieces"), "unit")
+    more = tail.groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    n_tokens = (F.col("n_tokens") + F.coalesce("more", F.lit(0))).cast("bigint")
+    out = met.where("unit is null").join(more, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _head(name: str, known) -> dict[str, int]:
+    """The broadcast counts as a dictionary, made once per worker."""
+    if name not in _HEADS:
+        _HEADS.clear()
+        units, pieces = known.value
+        _HEADS[name] = dict(zip(units.to_pylist(), pieces.to_pylist(), strict=True))
+    return _HEADS[name]

@@ -27,11 +27,11 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _RUN = re.compile(r"(\s{2,}(?=\s))")
 _THREE = re.compile(r"\s{3}")
 
@@ -163,18 +163,22 @@ class UnitIds:
             for u in known:
                 new[u] = old[u]
             missing -= known
+        new.update((u, array("I", ids).tobytes()) for u, ids in self.encoded(missing))
+        return new
+
+    def encoded(self, units: set[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each unit and its ids, in any order; nothing is kept."""
         if self.loop:
             loop, library = self.loop, self.by_library.search
-            held = {u for u in missing if library(u)} if library("\n".join(missing)) else set()
-            for u in missing - held if held else missing:
-                new[u] = array("I", loop(u)).tobytes()
-            missing = held
-        ask = list(missing)
+            held = {u for u in units if library(u)} if library("\n".join(units)) else set()
+            for u in units - held if held else units:
+                yield u, loop(u)
+            units = held
+        ask = list(units)
         for i in range(0, len(ask), 20_000):
             part = ask[i : i + 20_000]
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[u] = np.array(e.ids, "<u4").tobytes()
-        return new
+                yield u, e.ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
