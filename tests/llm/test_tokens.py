@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import SHORT, WordBpe, bpe_round_trip
-from tidemark.llm.packing import pack_documents, pack_pool
+from tidemark.llm.packing import Packer, attention_cost, pack_documents
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_store import EliasFano, read_token_files, write_token_files
 from tidemark.llm.units import UnitIds
@@ -47,11 +47,11 @@ def all_rows(tiny):
     return [(r[0], r[1]) for r in rows()], id_texts(tiny)
 
 
-@pytest.mark.parametrize("which", [0, 1])
-def test_token_counts(spark, tiny, byte_ids, which):
+@pytest.mark.parametrize(("which", "head"), [(0, 200_000), (1, 200_000), (0, 5), (1, 300)])
+def test_token_counts(spark, tiny, byte_ids, which, head):
     docs = nasty(spark) if which == 0 else spark.read.parquet(f"{tiny}/documents.parquet")
     expect = [(i, len((t or "").encode()), n, n > 1024) for i, t in all_rows(tiny)[which] for n in [len(byte_ids(t))]]
-    assert collected(token_counts(docs, BYTE), "doc_id", "n_bytes", "n_tokens", "over_limit") == ordered(expect)
+    assert collected(token_counts(docs, BYTE, head=head), "doc_id", "n_bytes", "n_tokens", "over_limit") == ordered(expect)
 
 
 def test_special_tokens_and_white_space_as_the_library(byte_ids, word_ids):
@@ -117,18 +117,50 @@ def test_packing_gives_every_id_once(spark, tiny, byte_ids, which):
             assert sum(r.length for r in pieces[i]) == sum(map(len, texts_of))
 
 
-def test_pack_pool_is_balanced_and_complete():
+@pytest.mark.parametrize(("n", "pool"), [(0, 8), (1, 8), (5, 8), (400, 8), (3000, 64)])
+def test_packer_cuts_few_documents_and_leaves_little_padding(n, pool):
     rng = np.random.default_rng(1)
-    for n in (0, 1, 5, 400):
-        sizes = rng.integers(1, 2048, n).tolist()
-        held = list(pack_pool(sizes, 2048))
-        got = defaultdict(int)
-        for pieces in held:
-            assert sum(k for *_, k in pieces) <= 2048
-            for doc, _, k in pieces:
-                got[doc] += k
-        assert [got[i] for i in range(n)] == sizes
-        assert all((s := sum(k for *_, k in p)) & (s - 1) == 0 for p in held)
+    sizes = np.minimum(rng.lognormal(5.5, 1.2, n).astype(int) + 1, 2048).tolist()
+    packer = Packer(2048, pool, 1.0, 1 / 1024)
+    done = [s for d, size in enumerate(sizes) for s in packer.add(size, (d,))]
+    most = len(packer.open) + len(packer.waiting)
+    done += packer.finish()
+    got, pieces = defaultdict(list), 0
+    for held in done:
+        assert 0 < sum(k for *_, k in held) <= 2048
+        for (doc,), start, k in held:
+            got[doc].append((start, k))
+            pieces += 1
+    for doc, size in enumerate(sizes):
+        at = 0
+        for start, k in sorted(got[doc]):
+            assert start == at
+            at += k
+        assert at == size
+    cut = sum(len(p) > 1 for p in got.values())
+    assert cut <= 2 * pool and (n < 3000 or cut <= 0.02 * n)
+    assert sum(2048 - sum(k for *_, k in held) for held in done) <= 2048 + 16 * len(done)
+    assert most <= 3000 and sum(sum(k for *_, k in held) < 256 for held in done) <= 1
+
+
+@pytest.mark.parametrize("size", [1100, 2040, 2048, 1, 683])
+def test_packer_holds_a_bounded_number_of_documents(size):
+    packer = Packer(2048, 16, 1.0, 1 / 1024)
+    done, most = [], 0
+    for d in range(2000):
+        done += packer.add(size, (d,))
+        most = max(most, len(packer.open) + packer.tokens // 2048)
+    done += packer.finish()
+    assert most <= 16 * 4 and sum(k for held in done for *_, k in held) == 2000 * size
+    assert sum(2048 - sum(k for *_, k in held) for held in done) <= 2048 + 16 * len(done)
+
+
+def test_packer_balances_the_cost_of_attention():
+    rng = np.random.default_rng(2)
+    packer = Packer(2048, 64, 1.0, 1 / 1024)
+    done = [s for d, size in enumerate(rng.integers(20, 1000, 4000).tolist()) for s in packer.add(size, (d,))]
+    cost = np.array([sum(attention_cost(k, 1.0, 1 / 1024) for *_, k in held) for held in done])
+    assert len(done) > 500 and cost.std() < 0.12 * cost.mean()
 
 
 @pytest.mark.parametrize("which", [0, 1])
@@ -171,8 +203,27 @@ def test_elias_fano_selects():
     for n, top in ((1, 1), (70, 5), (500, 1 << 20), (2000, 3000)):
         values = np.sort(rng.integers(0, top, n))
         ef = EliasFano.build(values)
-        assert ef.all().tolist() == values.tolist()
         assert [ef.select(j) for j in range(n)] == values.tolist()
+        assert len(ef.low) + len(ef.high) <= n * (3 + np.log2(max(top / n, 1))) / 8 + 16
+    wide = np.array([0, 1, 1, 2**40, 2**63 + 5], np.uint64)
+    assert [EliasFano.build(wide).select(j) for j in range(5)] == wide.tolist()
+
+
+def test_offsets_come_from_select(spark, tiny, tmp_path):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    write_token_files(docs, f"file://{tmp_path}/ids", WORD)
+    files = spark.read.parquet(f"file://{tmp_path}/ids")
+    assert not any("array" in kind for _, kind in files.dtypes)
+    plan = read_token_files(spark, f"file://{tmp_path}/ids")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_doc_ids_far_apart(spark, tmp_path, word_ids):
+    ids = [-(2**63), -7, 0, 3, 3, 2**62, 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string").repartition(3)
+    write_token_files(docs, f"file://{tmp_path}/far", WORD, block_ids=9)
+    got = [(r.doc_id, r.n_tokens) for r in read_token_files(spark, f"file://{tmp_path}/far").orderBy("start").collect()]
+    assert [i for i, _ in got] == [None, *ids[:-1]] and all(n == len(word_ids(f"text {i}")) + 1 for i, n in got)
 
 
 def test_empty_tables(spark, tmp_path):
