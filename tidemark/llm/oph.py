@@ -20,6 +20,8 @@ BINS, BITS, SHINGLE = 128, 8, 5
 PROBES = 10
 #: Documents of a range of ids that one window partition holds, about.
 BUCKET_ROWS = 20_000
+#: Ranges at most; with more documents than these hold, ranges grow instead.
+MOST_BUCKETS = 50_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,27 +105,41 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(corrected)
 
 
+def _range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are at most ``doc_id``, by halving steps; -1 where it is null."""
+    if not bounds:
+        return F.when(doc_id.isNull(), -1).otherwise(0)
+    steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
+    held = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+    below = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(held, at + step - 1) <= doc_id), at + step).otherwise(at)
+    return F.when(doc_id.isNull(), -1).otherwise(F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), below))
+
+
 def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` (doc_id, text, fp) with the text and fp of the next row in descending doc_id; after the last, the first.
 
-    Ids are cut into ranges of equal width, and each range is one window partition. The first row of a range is also
-    sent to the range above it, as the row after its last one; which rows these are is known from one aggregate of the
-    ids. Equal ids follow each other by text; null ids come last.
+    Ids are cut into ranges of about equal numbers of rows, at quantiles of all ids, and each range is one window
+    partition; there are at most ``MOST_BUCKETS``, so the table of their first rows, which is broadcast, is bounded. The
+    first row of a range is also sent to the range above it, as the row after its last one. Equal ids follow each other
+    by text, in one range; null ids come last.
     """
     spark = rows.sparkSession
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    buckets = max(1, -(-n // bucket_rows), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("bigint")
-    firsts = rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("first_id"))
-    over = Window.orderBy("bucket")
-    every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    to = F.coalesce(F.lead("bucket").over(over), F.first("bucket").over(every))
-    firsts = firsts.select(F.col("bucket").alias("first_bucket"), "first_id", to.alias("to_bucket"))
+    n = rows.count()
+    buckets = min(max(1, -(-n // bucket_rows), min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))), MOST_BUCKETS)
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * buckets))).first()[0] if shares else None
+    bounds = sorted(set(cuts or []))
+    bucket = _range_of(F.col("doc_id"), bounds)
+    firsts = sorted(rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("first_id")).collect())
+    above = [firsts[(i + 1) % len(firsts)][0] for i in range(len(firsts))]
+    places = [(b, first, to) for (b, first), to in zip(firsts, above, strict=True)]
+    firsts = spark.createDataFrame(places, "first_bucket int, first_id bigint, to_bucket int")
     held = rows.withColumn("bucket", bucket)
     held = held.join(F.broadcast(firsts), (held["bucket"] == firsts["first_bucket"]) & held["doc_id"].eqNullSafe(firsts["first_id"]), "left")
-    places = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.when(F.col("to_bucket").isNotNull(), F.struct(F.col("to_bucket").alias("b"), F.lit(True).alias("guest")))))
-    dealt = held.select("doc_id", "text", "fp", F.explode(places).alias("place")).select("doc_id", "text", "fp", F.col("place.b").alias("b"), F.col("place.guest").alias("guest"))
+    own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest"))
+    guest = F.when(F.col("to_bucket").isNotNull(), F.struct(F.col("to_bucket").alias("b"), F.lit(True).alias("guest")))
+    dealt = held.select("doc_id", "text", "fp", F.explode(F.array_compact(F.array(own, guest))).alias("place"))
+    dealt = dealt.select("doc_id", "text", "fp", F.col("place.b").alias("b"), F.col("place.guest").alias("guest"))
     order = Window.partitionBy("b").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     ahead = dealt.withColumn("next", F.lead(F.struct("text", "fp")).over(order)).where(~F.col("guest"))
     return ahead.select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
