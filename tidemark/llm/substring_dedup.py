@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .exchange import SENT, answered, answers, sent_blobs
 from .wordhash import Words
 
@@ -77,7 +76,6 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block_bytes: int
     Null, empty or blank text has no words. Rows that repeat are copies of each other like any others. Null ids form
     no group of their own. An empty table gives no rows. Texts of any length are taken whole; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     own = [F.col(carry).alias("carried")] if carry else []
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
