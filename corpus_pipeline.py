@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import labels, shared_path
+from tidemark.llm.common import labels, shared_path, small_batches
 from tidemark.llm.exact_dedup import drop_exact_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.simhash import drop_near_duplicates
@@ -20,26 +19,30 @@ from tidemark.llm.toxicity import drop_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is likelier toxic than not go."""
-    return drop_toxic(docs, labels(spark, sf_dir))
+    return drop_toxic(docs, labels(small_batches(spark), sf_dir))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the document with the largest id stays."""
+    small_batches(spark)
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked as near copies, by the exact similarity of their word shingles, the one with the smallest id stays."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under a window of 35 words that also starts elsewhere are cut out; other texts stay as they are."""
+    small_batches(spark)
     return drop_repeated_passages(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
