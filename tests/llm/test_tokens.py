@@ -101,7 +101,8 @@ def test_packing_gives_every_id_once(spark, tiny, byte_ids, which):
         assert at <= 2048
         padding += 0 if at & (at - 1) == 0 else 2048 - at
         total += at
-    assert padding <= 0.02 * total
+    tails = sum(sum(n for _, n in held) < 2048 - 16 for held in sequences.values())
+    assert tails <= (3 if which == 0 else 1) and padding <= 2048 * tails + 0.008 * total  # one for each scan partition
     wanted = defaultdict(list)
     for i, t in all_rows(tiny)[which]:
         wanted[i].append([*byte_ids(t), 1])
