@@ -15,7 +15,7 @@ from .common import checkpointed, id_and_text
 from .units import unit_ids
 
 #: Pre-tokens whose counts every worker holds, and characters of the longest of them; and how many a task gathers at once.
-HEAD, HEAD_CHARS, GATHERED = 200_000, 40, 200_000
+HEAD, HEAD_CHARS, GATHERED = 1_000_000, 24, 400_000
 #: Rows that are split at once.
 SLICE = 500
 
@@ -72,7 +72,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, head: int =
     short = vocabulary.where(F.length("unit") <= HEAD_CHARS)
     top = short.orderBy(F.desc("times"), "unit").limit(head).select("unit", "pieces").toArrow()
     name, known = uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast((top["unit"].combine_chunks(), top["pieces"].combine_chunks()))
-    names, kinds = ["row", "doc_id", "n_bytes", "n_tokens", "unit", "times"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    names = ["row", "doc_id", "n_bytes", "n_tokens", "units", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def join(batches):
         split, of_head = unit_ids(tokenizer).split, _head(name, known)
@@ -80,30 +81,29 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, head: int =
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                sums, rest = [], ([], [], [])
+                sums, units, counts = [], [], []
                 for text in part.column(1).to_pylist():
-                    total = 0
+                    total, rest = 0, {}
                     for unit, times in Counter(split(text)).items():
                         pieces = of_head.get(unit)
                         if pieces is None:
-                            for column, value in zip(rest, (row, unit, times), strict=True):
-                                column.append(value)
+                            rest[unit] = times
                         else:
                             total += pieces * times
                     sums.append(total)
-                    row += 1
+                    units.append(list(rest))
+                    counts.append(list(rest.values()))
                 n = len(sums)
                 size = pc.binary_length(part.column(1).cast(pa.binary())).to_pylist()
-                yield _columns(names, [range(row - n, row), part.column(0).to_pylist(), size, sums, [None] * n, [None] * n], kinds)
-                if rest[0]:
-                    none = [None] * len(rest[0])
-                    yield _columns(names, [rest[0], none, none, none, rest[1], rest[2]], kinds)
+                yield _columns(names, [range(row, row + n), part.column(0).to_pylist(), size, sums, units, counts], kinds)
+                row += n
 
-    met = checkpointed(rows.mapInArrow(join, "row bigint, doc_id bigint, n_bytes bigint, n_tokens bigint, unit string, times bigint"))
-    tail = met.where("unit is not null").select("row", "unit", "times").join(vocabulary.select("unit", "pieces"), "unit")
+    met = checkpointed(rows.mapInArrow(join, "row bigint, doc_id bigint, n_bytes bigint, n_tokens bigint, units array<string>, times array<bigint>"))
+    tail = met.select("row", F.inline(F.arrays_zip("units", "times"))).select("row", F.col("units").alias("unit"), "times")
+    tail = tail.join(vocabulary.select("unit", "pieces"), "unit")
     more = tail.groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
     n_tokens = (F.col("n_tokens") + F.coalesce("more", F.lit(0))).cast("bigint")
-    out = met.where("unit is null").join(more, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"))
+    out = met.join(more, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
