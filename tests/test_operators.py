@@ -113,7 +113,7 @@ def wf_rows(spark, n=12, horizons=None):
 
 def test_folds_purge_and_embargo(spark):
     plan = folds.FoldPlan(T0 + timedelta(hours=4), 2 * 3600, 2 * 3600, embargo_seconds=3600, fold_count=1)
-    m = folds.membership(wf_rows(spark, horizons={3: 7200}), folds.folds(spark, plan, T0 + timedelta(hours=11)))
+    m = folds.membership(wf_rows(spark, horizons={3: 7200}), plan, T0 + timedelta(hours=11))
     got = {s: sorted(r.id for r in m.where(F.col("split") == s).where("kept").collect()) for s in ("train", "validation", "test")}
     assert got == {"train": ["r0", "r1", "r2"], "validation": ["r4", "r5"], "test": ["r7", "r8"]}
     c = folds.fold_counts(m).first()
@@ -126,7 +126,7 @@ def test_splits_of_a_fold_never_meet(spark):
     rng = random.Random(5)
     for _ in range(4):
         plan = folds.FoldPlan(T0 + timedelta(hours=rng.randrange(3, 9)), rng.randrange(1, 5) * 1800, rng.randrange(1, 5) * 1800, purge_seconds=rng.randrange(3) * 1800, embargo_seconds=rng.randrange(3) * 1800)
-        m = folds.membership(wf_rows(spark, 24), folds.folds(spark, plan, T0 + timedelta(hours=23))).where("kept")
+        m = folds.membership(wf_rows(spark, 24), plan, T0 + timedelta(hours=23)).where("kept")
         assert m.groupBy("fold", "id").count().where("count > 1").count() == 0
         order = m.groupBy("fold").pivot("split", ["train", "test"]).agg(F.max("as_of").alias("hi"), F.min("as_of").alias("lo"))
         assert order.where("train_hi >= test_lo").count() == 0

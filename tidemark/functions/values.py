@@ -57,8 +57,9 @@ def seconds_between(early: Column, late: Column) -> Column:
 
 
 def age_seconds(time: Column, as_of: Column) -> Column:
-    """Seconds from ``time`` to ``as_of``; a time ahead has age 0."""
-    return F.greatest(F.lit(0.0), seconds_between(time, as_of))
+    """Seconds from ``time`` to ``as_of``; a time ahead has age 0, a missing one none."""
+    age = seconds_between(time, as_of)
+    return F.when(age.isNotNull(), F.greatest(F.lit(0.0), age))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -135,6 +137,29 @@ def apply(rows: DataFrame, calibrators: DataFrame, keys: list[str]) -> DataFrame
     return held.withColumn("decision", decision).drop("_r0", "_r1", "_r2", "slopes", "shifts", "temperature", "fitted_rows")
 
 
+def fit_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the rows given to a fit, those that it takes, and those that it rejects."""
+    ok = valid_probabilities(*[F.col(c) for c in P]) & F.coalesce(F.col("actual").isin(*CLASSES), F.lit(False))
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("eligible_rows"), F.count_if(ok).alias("fitted_rows"))
+    return found.withColumn("rejected_rows", F.col("eligible_rows") - F.col("fitted_rows"))
+
+
+def report(rows: DataFrame, calibrators: DataFrame, keys: list[str]) -> DataFrame:
+    """``scores`` of calibrated rows beside each class' slope and intercept and the temperature, by key."""
+    curves = [F.get(f"{a}s", F.lit(k)).alias(f"{c.lower()}_{b}") for a, b in (("slope", "slope"), ("shift", "intercept")) for k, c in enumerate(CLASSES)]
+    return scores(rows, keys).join(calibrators.select(*keys, *curves, "temperature"), keys, "left")
+
+
+def sourced(members: DataFrame, source: Callable[[DataFrame, DataFrame], DataFrame], splits: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """Rows of the splits with the probabilities that a function gives them from (train rows, rows without outcomes)."""
+    rows = members.where(F.col("split").isin(*splits) & F.col("kept"))
+    hidden = [c for c in ("actual", "target", "actual_target") if c in rows.columns]
+    out = source(members.where("split = 'train' and kept"), rows.drop(*hidden))
+    if missing := set(P) - set(out.columns):
+        raise ValueError(f"a source of probabilities must give {sorted(missing)}")
+    return out.join(rows.select("fold", "split", "id", *hidden), ["fold", "split", "id"])
+
+
 def _judged(rows: DataFrame) -> DataFrame:
     ok = valid_probabilities(*[F.col(c) for c in P]) & F.coalesce(F.upper("actual").isin(*CLASSES), F.lit(False))
     top = F.greatest(*P)

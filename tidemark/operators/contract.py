@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import parse_time
@@ -19,20 +19,27 @@ FLAGS = ("stale", "missing", "partial", "invalid", "thin_liquidity", "corporate_
 METRICS = ("age_seconds", "delay_seconds", "turnover", "volume_ratio", "range_percent")
 
 
-def _at(doc: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(doc, path, kind)
+def _at(path: str, kind: str | None = None) -> Column:
+    """What a path holds, as extracted by ``_extracted``, or as a ``kind`` where it can be one."""
+    value = F.col(f"`{path}`")
+    return F.try_variant_get(value, "$", kind) if kind else value
+
+
+def _extracted(doc: Column, paths: list[str]) -> list[Column]:
+    """Each path once, so that the rules that ask about it do not look it up again."""
+    return [F.try_variant_get(doc, p, "variant").alias(p) for p in paths]
 
 
 def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("NONE"))
 
 
-def _given(value: Column) -> Column:
-    return value.isNotNull()
+def _given(path: str) -> Column:
+    return _at(path).isNotNull()
 
 
-def _null(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
+def _null(path: str) -> Column:
+    return _at(path).isNull() | F.is_variant_null(_at(path))
 
 
 def _is(value: Column, kind: str) -> Column:
@@ -43,22 +50,22 @@ def _number(value: Column) -> Column:
     return _kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
 
 
-def _text(doc: Column, path: str) -> Column:
+def _text(path: str) -> Column:
     """The string at a path; null if it is something else."""
-    return F.when(_is(_at(doc, path), "STRING"), _at(doc, path, "string"))
+    return F.when(_is(_at(path), "STRING"), _at(path, "string"))
 
 
-def _filled(doc: Column, path: str) -> Column:
-    return F.coalesce(F.trim(_text(doc, path)) != "", F.lit(False))
+def _filled(path: str) -> Column:
+    return F.coalesce(F.trim(_text(path)) != "", F.lit(False))
 
 
-def _one_of(doc: Column, path: str, names) -> Column:
-    return F.coalesce(_text(doc, path).isin(*names), F.lit(False))
+def _one_of(path: str, names) -> Column:
+    return F.coalesce(_text(path).isin(*names), F.lit(False))
 
 
-def _timed(doc: Column, path: str) -> Column:
+def _timed(path: str) -> Column:
     """Whether a path holds an ISO time with an offset."""
-    t = _text(doc, path)
+    t = _text(path)
     return F.coalesce(~t.rlike(r"^\s*[\d.]+\s*$") & parse_time(t).isNotNull(), F.lit(False))
 
 
@@ -66,62 +73,75 @@ def _rules(*rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in rules]))
 
 
-def _header(doc: Column) -> Column:
-    m = lambda k: f"$.archive_metadata.{k}"
-    at = lambda k: _at(doc, m(k))
-    slot = _text(doc, m("slot"))
+_META = "$.archive_metadata"
+_CONTEXTS = ("indonesia_market", "global")
+HEADER_PATHS = ["$", _META, *[f"{_META}.{k}" for k in REQUIRED], "$.market_context", *[f"$.market_context.{k}" for k in _CONTEXTS], "$.stocks"]
+
+
+def _header() -> Column:
+    m = lambda k: f"{_META}.{k}"
+    slot = _text(m("slot"))
     horizon = F.try_element_at(F.create_map(*[F.lit(x) for p in HORIZONS.items() for x in p]), slot)
-    known = _one_of(doc, m("slot"), HORIZONS)
-    date = _text(doc, m("trading_date"))
+    known = _one_of(m("slot"), HORIZONS)
+    date = _text(m("trading_date"))
     dated = F.coalesce(date.rlike(r"^\d{4}-\d{2}-\d{2}$") & date.try_cast("date").isNotNull(), F.lit(False))
+    in_context = _is(_at("$.market_context"), "OBJECT")
     return _rules(
-        (~_is(_at(doc, "$.archive_metadata"), "OBJECT"), "archive_metadata must be an object"),
-        *[(~_given(at(k)), f"archive_metadata.{k} is required") for k in REQUIRED],
-        (~_one_of(doc, m("schema_version"), [SCHEMA_VERSION]), "archive_metadata.schema_version is unknown"),
-        *[(_given(at(k)) & ~_filled(doc, m(k)), f"archive_metadata.{k} must be a non-empty string") for k in ("snapshot_id", "source")],
-        (_given(at("created_at")) & ~_timed(doc, m("created_at")), "archive_metadata.created_at must be a time with an offset"),
-        (~_null(at("trading_date")) & ~dated, "archive_metadata.trading_date must be a date"),
+        (~_is(_at(_META), "OBJECT"), "archive_metadata must be an object"),
+        *[(~_given(m(k)), f"archive_metadata.{k} is required") for k in REQUIRED],
+        (~_one_of(m("schema_version"), [SCHEMA_VERSION]), "archive_metadata.schema_version is unknown"),
+        *[(_given(m(k)) & ~_filled(m(k)), f"archive_metadata.{k} must be a non-empty string") for k in ("snapshot_id", "source")],
+        (_given(m("created_at")) & ~_timed(m("created_at")), "archive_metadata.created_at must be a time with an offset"),
+        (~_null(m("trading_date")) & ~dated, "archive_metadata.trading_date must be a date"),
         (~known, "archive_metadata.slot is unknown"),
-        (known & ~F.coalesce(_text(doc, m("horizon")) == horizon, F.lit(False)), "archive_metadata.horizon does not fit the slot"),
-        (~_one_of(doc, m("timezone"), [TIMEZONE]), "archive_metadata.timezone is unknown"),
-        (~F.coalesce(_is(at("immutable"), "BOOLEAN") & _at(doc, m("immutable"), "boolean"), F.lit(False)), "archive_metadata.immutable must be true"),
-        (~_is(_at(doc, "$.market_context"), "OBJECT"), "market_context must be an object"),
-        *[(_is(_at(doc, "$.market_context"), "OBJECT") & ~_filled(doc, f"$.market_context.{k}"), f"market_context.{k} must be a non-empty string") for k in ("indonesia_market", "global")],
-        (~F.coalesce(F.size(_at(doc, "$.stocks", "array<variant>")) > 0, F.lit(False)), "stocks must be a non-empty array"),
+        (known & ~F.coalesce(_text(m("horizon")) == horizon, F.lit(False)), "archive_metadata.horizon does not fit the slot"),
+        (~_one_of(m("timezone"), [TIMEZONE]), "archive_metadata.timezone is unknown"),
+        (~F.coalesce(_is(_at(m("immutable")), "BOOLEAN") & _at(m("immutable"), "boolean"), F.lit(False)), "archive_metadata.immutable must be true"),
+        (~in_context, "market_context must be an object"),
+        *[(in_context & ~_filled(f"$.market_context.{k}"), f"market_context.{k} must be a non-empty string") for k in _CONTEXTS],
+        (~F.coalesce(F.size(_at("$.stocks", "array<variant>")) > 0, F.lit(False)), "stocks must be a non-empty array"),
     )
 
 
-def _share(s: Column, path: str) -> Column:
-    v = _at(s, path)
-    return _given(v) & ~(_number(v) & F.coalesce(_at(s, path, "double").between(0, 1), F.lit(False)))
+_Q = "$.data_quality"
+STOCK_PATHS = [
+    "$", "$.symbol", "$.forecast", *[f"$.probability_{c}" for c in ("up", "flat", "down")], "$.probabilities", *[f"$.probabilities.{c}" for c in ("UP", "FLAT", "DOWN")],
+    "$.sentiment_context", *[f"$.sentiment_context.{k}" for k in LAYERS], "$.sentiment_conflict", "$.forecast_modifier", "$.sentiment_summary",
+    _Q, *[f"{_Q}.{k}" for k in ("status", "issues", "observed_at", "valid_bar_count", *FLAGS, *METRICS)],
+]
+
+
+def _share(path: str) -> Column:
+    return _given(path) & ~(_number(_at(path)) & F.coalesce(_at(path, "double").between(0, 1), F.lit(False)))
 
 
-def _stock(s: Column) -> Column:
-    q = "$.data_quality"
-    has_q, has_c = _is(_at(s, q), "OBJECT"), _is(_at(s, "$.sentiment_context"), "OBJECT")
-    issues = _at(s, f"{q}.issues", "array<variant>")
+def _stock() -> Column:
+    has_q, has_c = _is(_at(_Q), "OBJECT"), _is(_at("$.sentiment_context"), "OBJECT")
+    issues = _at(f"{_Q}.issues", "array<variant>")
     sound = F.coalesce(F.forall(issues, lambda v: _is(v, "STRING") & (F.trim(F.try_variant_get(v, "$", "string")) != "")), F.lit(False))
-    unseen = _null(_at(s, f"{q}.observed_at")) & _one_of(s, f"{q}.status", ["unavailable"])
-    count = _at(s, f"{q}.valid_bar_count")
+    unseen = _null(f"{_Q}.observed_at") & _one_of(f"{_Q}.status", ["unavailable"])
+    count = f"{_Q}.valid_bar_count"
+    object_ = _is(_at("$"), "OBJECT")
     return _rules(
-        (~_is(s, "OBJECT"), "must be an object"),
-        (_is(s, "OBJECT") & ~_filled(s, "$.symbol"), "symbol must be a non-empty string"),
-        (_given(_at(s, "$.forecast")) & ~_one_of(s, "$.forecast", FORECASTS), "forecast is unknown"),
-        *[(_share(s, f"$.probability_{c}"), f"probability_{c} must be a number from 0 to 1") for c in ("up", "flat", "down")],
-        (_given(_at(s, "$.probabilities")) & ~_is(_at(s, "$.probabilities"), "OBJECT"), "probabilities must be an object"),
-        *[(_share(s, f"$.probabilities.{c}"), f"probabilities.{c} must be a number from 0 to 1") for c in ("UP", "FLAT", "DOWN")],
+        (~object_, "must be an object"),
+        (object_ & ~_filled("$.symbol"), "symbol must be a non-empty string"),
+        (F.col("repeats"), "symbol is a duplicate"),
+        (_given("$.forecast") & ~_one_of("$.forecast", FORECASTS), "forecast is unknown"),
+        *[(_share(f"$.probability_{c}"), f"probability_{c} must be a number from 0 to 1") for c in ("up", "flat", "down")],
+        (_given("$.probabilities") & ~_is(_at("$.probabilities"), "OBJECT"), "probabilities must be an object"),
+        *[(_share(f"$.probabilities.{c}"), f"probabilities.{c} must be a number from 0 to 1") for c in ("UP", "FLAT", "DOWN")],
         (~has_c, "sentiment_context must be an object"),
-        *[(has_c & ~_filled(s, f"$.sentiment_context.{k}"), f"sentiment_context.{k} must be a non-empty string") for k in LAYERS],
-        (~_is(_at(s, "$.sentiment_conflict"), "BOOLEAN"), "sentiment_conflict must be a boolean"),
-        (~_one_of(s, "$.forecast_modifier", MODIFIERS), "forecast_modifier is unknown"),
-        (~_filled(s, "$.sentiment_summary"), "sentiment_summary must be a non-empty string"),
+        *[(has_c & ~_filled(f"$.sentiment_context.{k}"), f"sentiment_context.{k} must be a non-empty string") for k in LAYERS],
+        (~_is(_at("$.sentiment_conflict"), "BOOLEAN"), "sentiment_conflict must be a boolean"),
+        (~_one_of("$.forecast_modifier", MODIFIERS), "forecast_modifier is unknown"),
+        (~_filled("$.sentiment_summary"), "sentiment_summary must be a non-empty string"),
         (~has_q, "data_quality must be an object"),
-        (has_q & ~_one_of(s, f"{q}.status", STATUSES), "data_quality.status is unknown"),
+        (has_q & ~_one_of(f"{_Q}.status", STATUSES), "data_quality.status is unknown"),
         (has_q & ~sound, "data_quality.issues must be an array of non-empty strings"),
-        (has_q & ~unseen & ~_timed(s, f"{q}.observed_at"), "data_quality.observed_at must be a time with an offset"),
-        *[(_given(_at(s, f"{q}.{k}")) & ~_is(_at(s, f"{q}.{k}"), "BOOLEAN"), f"data_quality.{k} must be a boolean") for k in FLAGS],
-        (_given(count) & ~(_is(count, "BIGINT") & F.coalesce(_at(s, f"{q}.valid_bar_count", "bigint") >= 0, F.lit(False))), "data_quality.valid_bar_count must be a whole number from 0"),
-        *[(~_null(_at(s, f"{q}.{k}")) & ~(_number(_at(s, f"{q}.{k}")) & F.coalesce(_at(s, f"{q}.{k}", "double") >= 0, F.lit(False))), f"data_quality.{k} must be null or a number from 0") for k in METRICS],
+        (has_q & ~unseen & ~_timed(f"{_Q}.observed_at"), "data_quality.observed_at must be a time with an offset"),
+        *[(_given(f"{_Q}.{k}") & ~_is(_at(f"{_Q}.{k}"), "BOOLEAN"), f"data_quality.{k} must be a boolean") for k in FLAGS],
+        (_given(count) & ~(_is(_at(count), "BIGINT") & F.coalesce(_at(count, "bigint") >= 0, F.lit(False))), "data_quality.valid_bar_count must be a whole number from 0"),
+        *[(~_null(f"{_Q}.{k}") & ~(_number(_at(f"{_Q}.{k}")) & F.coalesce(_at(f"{_Q}.{k}", "double") >= 0, F.lit(False))), f"data_quality.{k} must be null or a number from 0") for k in METRICS],
     )
 
 
@@ -129,22 +149,39 @@ def violations(documents: DataFrame) -> DataFrame:
     """Every violation of every document (path, text): path, place (null, or the stock's index) and violation.
 
     All rules are looked at, so that one run names all that is wrong. A text that is no JSON object has one violation.
+    Nothing is shuffled: a symbol repeats if it stands earlier in its own document's array.
     """
     docs = documents.select("path", F.try_parse_json("text").alias("doc"))
     usable = _is(F.col("doc"), "OBJECT")
-    header = docs.select("path", F.lit(None).cast("int").alias("place"), F.explode(F.when(usable, _header(F.col("doc"))).otherwise(F.array(F.lit("root must be an object")))).alias("violation"))
-    stocks = docs.where(usable).select("path", F.posexplode(F.try_variant_get("doc", "$.stocks", "array<variant>")).alias("place", "s"))
-    found = stocks.select("path", "place", F.explode(_stock(F.col("s"))).alias("violation"))
-    symbols = stocks.select("path", "place", _text(F.col("s"), "$.symbol").alias("symbol")).where("trim(symbol) <> ''")
-    first = symbols.groupBy("path", "symbol").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("path", "symbol", "first")
-    twice = symbols.join(first, ["path", "symbol"]).where("place > first").select("path", "place", F.lit("symbol is a duplicate").alias("violation"))
-    return header.unionByName(found).unionByName(twice)
-
-
-def trading_days(days: DataFrame, holidays: DataFrame, reach: int = 30) -> DataFrame:
-    """For each day: whether it is a trading day (no weekend, no holiday) and the next one after it within ``reach`` days."""
-    closed = holidays.select(F.col("day").alias("holiday")).distinct()
-    ahead = days.select("day", F.explode(F.sequence(F.col("day"), F.date_add("day", reach))).alias("at")).where(F.weekday("at") < 5)
-    held = ahead.join(closed, F.col("at") == F.col("holiday"), "left_anti")
-    found = held.groupBy("day").agg(F.max((F.col("at") == F.col("day")).cast("int")).alias("own"), F.min(F.when(F.col("at") > F.col("day"), F.col("at"))).alias("next_trading_day"))
-    return days.join(found, "day", "left").select("day", F.coalesce(F.col("own") == 1, F.lit(False)).alias("is_trading_day"), "next_trading_day")
+    heads = docs.select("path", usable.alias("usable"), *_extracted(F.col("doc"), HEADER_PATHS))
+    found = F.when(F.col("usable"), _header()).otherwise(F.array(F.lit("root must be an object")))
+    header = heads.select("path", F.lit(None).cast("int").alias("place"), F.explode(found).alias("violation"))
+
+    array = docs.where(usable).select("path", F.try_variant_get("doc", "$.stocks", "array<variant>").alias("stocks"))
+    symbol = F.try_variant_get(F.col("s"), "$.symbol", "variant")
+    text = lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+    symbols = F.transform("stocks", lambda s: text(F.try_variant_get(s, "$.symbol", "variant")))
+    each = array.select("path", symbols.alias("symbols"), F.posexplode("stocks").alias("place", "s"))
+    repeats = F.coalesce((F.trim(text(symbol)) != "") & (F.array_position("symbols", text(symbol)) - 1 < F.col("place")), F.lit(False))
+    stocks = each.select("path", "place", repeats.alias("repeats"), *_extracted(F.col("s"), STOCK_PATHS))
+    return header.unionByName(stocks.select("path", "place", F.explode(_stock()).alias("violation")))
+
+
+def trading_days(days: DataFrame, holidays: DataFrame) -> DataFrame:
+    """For each day: whether it is a trading day (no weekend, no holiday) and the next one after it, however far.
+
+    Days of a run of closed days have one next trading day. Between the first and the last closed day the calendar is laid
+    out once, one row a day; days after all holidays are reckoned from the weekday alone.
+    """
+    closed = holidays.select(F.col("day").alias("at"), F.lit(True).alias("closed")).distinct()
+    span = holidays.agg(F.min("day").alias("low"), F.max("day").alias("high")).where("low is not null")
+    laid = span.select(F.explode(F.sequence(F.col("low"), F.date_add("high", 7))).alias("at"))
+    laid = laid.join(closed, "at", "left").select("at", (F.col("closed").isNull() & (F.weekday("at") < 5)).alias("open"))
+    ahead = Window.orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    from_here = laid.select("at", "open", F.first(F.when(F.col("open"), F.col("at")), ignorenulls=True).over(ahead).alias("first_open"))
+    weekday = F.weekday("day")
+    tomorrow = F.date_add("day", F.when(weekday == 4, 3).when(weekday == 5, 2).otherwise(1))
+    rows = days.withColumn("_after", tomorrow)
+    rows = rows.join(from_here.select(F.col("at").alias("_after"), F.col("first_open").alias("_found")), "_after", "left")
+    rows = rows.join(closed.withColumnRenamed("at", "day"), "day", "left")
+    return rows.select("day", (F.col("closed").isNull() & (weekday < 5)).alias("is_trading_day"), F.coalesce("_found", "_after").alias("next_trading_day"))

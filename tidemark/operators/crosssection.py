@@ -71,7 +71,7 @@ def peer_relative(rows: DataFrame) -> DataFrame:
     """
     sums = rows.where("sector is not null").groupBy("sector").agg(F.sum("ret").alias("s"), F.count("ret").alias("n"))
     peers = ratio(F.col("s") - F.col("ret"), F.col("n") - 1)
-    return rows.join(F.broadcast(sums), "sector", "left").withColumn("peer_relative", F.col("ret") - peers).drop("s", "n")
+    return rows.join(sums, "sector", "left").withColumn("peer_relative", F.col("ret") - peers).drop("s", "n")
 
 
 def strength(start: DataFrame, end: DataFrame, benchmark: str, sectors: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -70,21 +71,40 @@ def horizon_end(rows: DataFrame) -> Column:
     return F.coalesce(*given, *length, F.col("as_of"))
 
 
-def membership(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+def _run(at: Column, plan: FoldPlan, count: int, low_seconds: float | None, high_seconds: float) -> Column:
+    """Folds whose boundary b has b + low_seconds <= at < b + high_seconds, as an array; without a low end, all later ones."""
+    step = int((plan.step_seconds or plan.test_seconds) * 1e6)
+    since = F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.lit(plan.train_end).cast("timestamp_ntz").cast("timestamp"))
+    low = F.greatest(F.floor((since - int(high_seconds * 1e6)) / step) + 1, F.lit(0)).cast("int")
+    last = F.lit(count - 1)
+    high = last if low_seconds is None else F.least(F.floor((since - int(low_seconds * 1e6)) / step), last)
+    return F.when(low <= high, F.sequence(low, high.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def membership(rows: DataFrame, plan: FoldPlan, latest: datetime | None) -> DataFrame:
     """Each row (as_of, horizon_end or horizon_seconds) in each fold it falls into: columns fold, split, kept.
 
     Train: before the boundary less the purge, and settled by the boundary. Validation: half-open, and settled by the
-    test's start. Test: half-open. A row that lies in a span but is not settled in time has kept = false. The table of
-    folds has one row per fold, which a plan's span divided by its step bounds, and is what is broadcast.
+    test's start. Test: half-open. A row that lies in a span but is not settled in time has kept = false. Boundaries are
+    evenly spaced, so a row's folds are reckoned from its time and exploded: nothing is joined or shuffled.
     """
-    t, end = F.col("as_of"), horizon_end(rows)
-    train = (F.col("train_start").isNull() | (t >= F.col("train_start"))) & (t < F.col("train_cutoff"))
-    validation = (t >= F.col("train_end")) & (t < F.col("validation_end"))
-    test = (t >= F.col("test_start")) & (t < F.col("test_end"))
-    met = rows.withColumn("_end", end).join(F.broadcast(bounds), (t < F.col("test_end")) & (F.col("train_start").isNull() | (t >= F.col("train_start"))))
-    split = F.when(train, "train").when(validation, "validation").when(test, "test")
-    kept = F.when(train, F.col("_end") <= F.col("train_end")).when(validation, F.col("_end") <= F.col("test_start")).otherwise(F.lit(True))
-    return met.withColumns({"split": split, "kept": kept}).where("split is not null").select("fold", "split", "kept", *rows.columns)
+    count = len(plan.boundaries(latest))
+    test = plan.validation_seconds + plan.embargo_seconds
+    t = F.col("as_of")
+    spans = {
+        "train": (-plan.train_seconds if plan.train_seconds is not None else None, -plan.purge_seconds),
+        "validation": (0, plan.validation_seconds),
+        "test": (test, test + plan.test_seconds),
+    }
+    held = {split: _run(t, plan, count, *span) for split, span in spans.items()}
+    named = lambda split: lambda i: F.struct(i.alias("fold"), F.lit(split).alias("split"))
+    parts = [F.transform(found, named(split)) for split, found in held.items()]
+    met = rows.withColumn("_end", horizon_end(rows)).where(t.isNotNull()).select("*", F.inline(F.concat(*parts)))
+    step = F.make_dt_interval(secs=F.col("fold") * F.lit(float(plan.step_seconds or plan.test_seconds)))
+    end = F.lit(plan.train_end).cast("timestamp_ntz") + step
+    test_start = end + F.make_dt_interval(secs=F.lit(float(test)))
+    kept = F.when(F.col("split") == "train", F.col("_end") <= end).when(F.col("split") == "validation", F.col("_end") <= test_start).otherwise(F.lit(True))
+    return met.withColumn("kept", kept).select("fold", "split", "kept", *rows.columns)
 
 
 def fold_counts(members: DataFrame) -> DataFrame:
@@ -116,11 +136,37 @@ def feature_votes(names: list[str], thresholds: dict[str, float] | None = None,
     return classify(sum(signs[1:], signs[0]) / len(signs), decision)
 
 
-def predicted(members: DataFrame, predictor: str, splits: tuple[str, ...] = ("validation", "test"), **options) -> DataFrame:
-    """Rows of the splits with ``predicted``: always_flat, majority_train, previous_direction or feature_sign."""
+#: Names under which forecasts bring their class and their target, in order of precedence.
+ALIASES = {"predicted": ("predicted", "direction", "class"), "predicted_target": ("predicted_target", "target", "value")}
+
+
+def canonical_forecasts(rows: DataFrame) -> DataFrame:
+    """Forecasts of any known layout with ``predicted`` (null unless one of the classes) and ``predicted_target``."""
+    def first(name):
+        given = [F.col(c).cast("string" if name == "predicted" else "double") for c in ALIASES[name] if c in rows.columns]
+        return F.coalesce(*given) if given else F.lit(None).cast("string" if name == "predicted" else "double")
+
+    said = first("predicted")
+    others = [c for c in rows.columns if c not in {a for names in ALIASES.values() for a in names}]
+    return rows.select(*others, F.when(said.isin(*CLASSES), said).alias("predicted"), finite(first("predicted_target")).alias("predicted_target"))
+
+
+Predictor = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def predicted(members: DataFrame, predictor: str | Predictor, splits: tuple[str, ...] = ("validation", "test"), **options) -> DataFrame:
+    """Rows of the splits with ``predicted``: always_flat, majority_train, previous_direction or feature_sign.
+
+    A function takes (train rows, rows to predict), both with their fold, and returns the latter with ``predicted`` or
+    another name of it; it is one query over all folds, and sees no outcome of the rows it predicts.
+    """
     if not splits or set(splits) - {"validation", "test"}:
         raise ValueError("splits are validation and test")
     rows = members.where(F.col("split").isin(*splits) & F.col("kept"))
+    if callable(predictor):
+        hidden = [c for c in ("actual", "target", "actual_target") if c in rows.columns]
+        said = canonical_forecasts(predictor(members.where("split = 'train' and kept"), rows.drop(*hidden)))
+        return said.drop(*hidden).join(rows.select("fold", "split", "id", *hidden), ["fold", "split", "id"])
     if predictor == "always_flat":
         return rows.withColumn("predicted", F.lit("FLAT"))
     if predictor == "feature_sign":
@@ -138,9 +184,10 @@ def fold_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def grouped_metrics(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Metrics by each of several fields, one at a time, in one pass: columns field and value."""
-    one = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
-    return fold_metrics(rows.select("actual", "predicted", F.inline(one)).where("value is not null"), ["field", "value"])
+    """Metrics by each of several fields, one at a time, in one pass: columns field and value. Rows without one are 'None'."""
+    value = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("None"))
+    one = F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields])
+    return fold_metrics(rows.select("actual", "predicted", F.inline(one)), ["field", "value"])
 
 
 def target_error(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,14 +33,14 @@ def class_shares(train: DataFrame, keys: list[str]) -> DataFrame:
 
 def standardiser(train: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     """Mean and population deviation of each feature over rows where all are known; a deviation of 0 becomes 1."""
-    rows = train.withColumn("x", vector(names)).where("x is not null")
+    rows = train.withColumn("_vector", vector(names)).where("_vector is not null")
     sd = lambda n: F.stddev_pop(n)
     return rows.groupBy(*keys).agg(*[F.avg(n).alias(f"mean_{n}") for n in names], *[F.when(sd(n) > 0, sd(n)).otherwise(1.0).alias(f"scale_{n}") for n in names], F.count(F.lit(1)).alias("row_count"))
 
 
 def ridge_sums(train: DataFrame, names: list[str], keys: list[str], target: str) -> DataFrame:
     """All sums that normal equations need, in one pass: products of features, features with the target, and plain sums."""
-    rows = train.withColumn("x", vector(names)).where(F.col("x").isNotNull() & finite(F.col(target)).isNotNull())
+    rows = train.withColumn("_vector", vector(names)).where(F.col("_vector").isNotNull() & finite(F.col(target)).isNotNull())
     d = len(names)
     products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"xx_{i}_{j}") for i in range(d) for j in range(i, d)]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("y"), *[F.sum(c).alias(f"x_{i}") for i, c in enumerate(names)], *[F.sum(F.col(c) * F.col(target)).alias(f"xy_{i}") for i, c in enumerate(names)], *products)
@@ -115,8 +115,8 @@ def logistic(train: DataFrame, names: list[str], key: str = "fold", penalty: flo
     """
     if rate <= 0 or penalty < 0:
         raise ValueError("the rate must be positive and the penalty not negative")
-    rows = train.withColumn("x", vector(names)).where(F.col("x").isNotNull() & F.col("actual").isin(*CLASSES))
-    rows = rows.select(key, "as_of", F.col("id").cast("string").alias("id"), "x", "actual")
+    rows = train.withColumn("_vector", vector(names)).where(F.col("_vector").isNotNull() & F.col("actual").isin(*CLASSES))
+    rows = rows.select(key, "as_of", F.col("id").cast("string").alias("id"), F.col("_vector").alias("x"), "actual")
     parts = [F.get("x", F.lit(i)) for i in range(len(names))]
     whole = rows.groupBy(F.col(key).alias("_key")).agg(F.array(*[F.avg(v) for v in parts]).alias("_mean"), F.array(*[F.stddev_pop(v) for v in parts]).alias("_sd"), F.count(F.lit(1)).alias("_rows"))
     sample = bounded(rows, [key], ["id"], max_rows)
@@ -137,13 +137,13 @@ def logistic(train: DataFrame, names: list[str], key: str = "fold", penalty: flo
 
 def score_logistic(rows: DataFrame, models: DataFrame, names: list[str], key: str = "fold") -> DataFrame:
     """Rows with p_up, p_flat, p_down and the likeliest class; all null where a feature is missing or there is no model."""
-    held = rows.join(F.broadcast(models), key, "left").withColumn("z", standardised(vector(names)))
-    logits = [F.get("intercepts", F.lit(k)) + dot(F.col("z"), F.get("coefficients", F.lit(k))) for k in range(len(CLASSES))]
+    held = rows.join(F.broadcast(models), key, "left").withColumn("_z", standardised(vector(names)))
+    logits = [F.get("intercepts", F.lit(k)) + dot(F.col("_z"), F.get("coefficients", F.lit(k))) for k in range(len(CLASSES))]
     held = held.withColumns({f"_l{k}": v for k, v in enumerate(logits)})
     p = softmax(*[F.col(f"_l{k}") for k in range(len(CLASSES))])
     held = held.withColumns({f"p_{c.lower()}": F.when(F.col("_l0").isNotNull(), p[k]) for k, c in enumerate(CLASSES)})
     said = F.when(F.col("p_up").isNotNull(), likeliest(F.col("p_up"), F.col("p_flat"), F.col("p_down")))
-    return held.withColumn("predicted", said).drop("means", "scales", "coefficients", "intercepts", "row_count", "z", "_l0", "_l1", "_l2")
+    return held.withColumn("predicted", said).drop("means", "scales", "coefficients", "intercepts", "row_count", "_z", "_l0", "_l1", "_l2")
 
 
 VERSION = 1

@@ -35,24 +35,24 @@ def mapped_exposures(symbols: DataFrame, sectors: DataFrame, own: DataFrame, inh
     return rows.select("symbol", "sector", source.alias("exposure_source"), F.coalesce("own", "of_sector").alias("exposure"))
 
 
-def interactions(exposures: DataFrame, signals: DataFrame) -> DataFrame:
+def interactions(exposures: DataFrame, signals: DataFrame, keys: tuple | list = ("factor",)) -> DataFrame:
     """(symbol, factor, sensitivity) times the factor's signal; null if either is unknown."""
-    return exposures.join(signals, "factor", "left").withColumn("interaction", F.col("sensitivity") * F.col("signal"))
+    return exposures.join(signals, list(keys), "left").withColumn("interaction", F.col("sensitivity") * F.col("signal"))
 
 
-def latest_breadth(rows: DataFrame, as_of: Column) -> DataFrame:
-    """The last valid breadth row (observed_at, advancing, declining, unchanged, _ord) that is not ahead, and counts."""
+def latest_breadth(rows: DataFrame, as_of: Column, keys: tuple | list = ()) -> DataFrame:
+    """Of each key the last valid breadth row (observed_at, advancing, declining, unchanged, _ord) that is not ahead, and counts."""
     total = F.col("advancing") + F.col("declining") + F.coalesce("unchanged", F.lit(0.0))
     least = F.least("advancing", "declining", F.coalesce("unchanged", F.lit(0.0)))
     ok = F.coalesce(F.col("observed_at").isNotNull() & F.col("advancing").isNotNull() & F.col("declining").isNotNull() & (least >= 0), F.lit(False))
     now = ok & (F.col("observed_at") <= as_of) & (total > 0)
     share = ratio(F.col("advancing") - F.col("declining"), total)
-    held = rows.agg(
+    held = rows.groupBy(*keys).agg(
         F.max_by(F.when(now, F.struct("advancing", "declining", total.alias("available"), share.alias("breadth"))), F.when(now, F.struct("observed_at", "_ord"))).alias("last"),
         F.count_if(now).alias("eligible_count"), F.count_if(ok & (F.col("observed_at") > as_of)).alias("excluded_future_count"),
         F.count_if(~ok | (F.col("observed_at") <= as_of) & ~(total > 0)).alias("invalid_count"),
     )
-    return held.select("last.*", "eligible_count", "excluded_future_count", "invalid_count")
+    return held.select(*keys, "last.*", "eligible_count", "excluded_future_count", "invalid_count")
 
 
 def macro_events(events: DataFrame, as_of: Column, fresh_seconds: float) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import age_seconds
+from ..sources.shared import checkpointed
 
 
 def normalised(articles: DataFrame, as_of, issuer_domains: Sequence[str] = ()) -> DataFrame:
@@ -36,33 +36,33 @@ def keys(articles: DataFrame) -> DataFrame:
     return articles.select("layer", "_ord", F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), F.xxhash64("normalized_title", F.coalesce("normalized_publisher", F.lit(""))).alias("t"))
 
 
-def first_wins(articles: DataFrame) -> DataFrame:
+def first_wins(articles: DataFrame, rounds: int = 1000) -> DataFrame:
     """Articles of each layer that repeat neither key of one kept before them, in order of ``_ord``.
 
-    A dropped article's keys do not count, so the outcome depends on the order. Articles that share no key with
-    another are kept without being walked, and of equal pairs of keys only the first is walked, since the others
-    follow it in the walk and meet its keys, or those that dropped it. What is left of a layer is walked in order.
+    A dropped article's keys do not count, so the outcome depends on the order. It is found in rounds: an article that is
+    the first of all that still hold its address, and of all that hold its title, is kept; those that share a key with a
+    kept one go; the rest is looked at again. A round is a grouped minimum and joins by key, written to the shared
+    folder; there are as many as the longest chain of articles that drop each other in turn. Equal pairs of keys are one
+    row.
     """
     k = keys(articles)
     firsts = k.groupBy("layer", "u", "has_url", "t").agg(F.min("_ord").alias("_ord"))
-    both = firsts.select("layer", "_ord", F.explode(F.array_compact(F.array(F.when(F.col("has_url"), F.struct(F.lit("u").alias("kind"), F.col("u").alias("key"))), F.struct(F.lit("t").alias("kind"), F.col("t").alias("key"))))).alias("k"))
-    shared = both.groupBy("layer", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tied = both.join(shared, ["layer", "k"]).select("layer", "_ord").distinct()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, urls, titles, gone = pdf.sort_values("_ord"), set(), set(), []
-        for ord_, u, has_url, t in zip(pdf["_ord"], pdf["u"], pdf["has_url"], pdf["t"], strict=True):
-            if (has_url and u in urls) or t in titles:
-                gone.append(ord_)
-                continue
-            titles.add(t)
-            if has_url:
-                urls.add(u)
-        return pd.DataFrame({"layer": pdf["layer"].iloc[0], "_ord": pd.Series(gone, dtype="int64")})
-
-    gone = firsts.join(tied, ["layer", "_ord"]).groupBy("layer").applyInPandas(walk, "layer string, _ord bigint")
-    kept = firsts.join(gone, ["layer", "_ord"], "left_anti").select("layer", "_ord")
-    return articles.join(kept, ["layer", "_ord"], "left_semi")
+    url = F.when(F.col("has_url"), F.struct(F.lit("u").alias("kind"), F.col("u").alias("key")))
+    title = F.struct(F.lit("t").alias("kind"), F.col("t").alias("key"))
+    left = checkpointed(firsts.select("layer", "_ord", F.explode(F.array_compact(F.array(url, title))).alias("k")))
+    kept = None
+    for _ in range(rounds):
+        least = left.groupBy("layer", "k").agg(F.min("_ord").alias("least"))
+        held = left.join(least, ["layer", "k"])
+        each = held.groupBy("layer", "_ord").agg(F.bool_and(F.col("_ord") == F.col("least")).alias("wins"))
+        now = checkpointed(each.where("wins").select("layer", "_ord"))
+        kept = now if kept is None else kept.union(now)
+        taken = left.join(now, ["layer", "_ord"], "left_semi").select("layer", "k").distinct()
+        gone = left.join(taken, ["layer", "k"], "left_semi").select("layer", "_ord").distinct()
+        left = checkpointed(left.join(gone, ["layer", "_ord"], "left_anti"))
+        if left.isEmpty():
+            return articles.join(kept, ["layer", "_ord"], "left_semi")
+    raise RuntimeError(f"articles are not settled after {rounds} rounds")
 
 
 def _highest(column: str):
@@ -102,3 +102,25 @@ def headline_layer(titles: DataFrame, keys_: list[str]) -> DataFrame:
         "tone": F.when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral"), "regime": F.when(F.abs(s) >= 3, "directional").otherwise("mixed"),
         "confidence": F.when((F.col("observations") >= 6) & (F.abs(s) >= 2), "medium").otherwise("low"),
     })
+
+
+REPORT_LAYERS = ("company", "sector", "indonesia_market", "global")
+
+
+def report(arrays: dict[str, DataFrame], as_of, issuer_domains: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(four layers with counts, tone, impact, novelty and histograms; the articles that count) of articles by source.
+
+    ``arrays`` may hold company, sector, peer, indonesia_market and global, each with ``_ord``. Peers' articles follow
+    the sector's in its layer. A layer without articles is unavailable.
+    """
+    if unknown := set(arrays) - {*REPORT_LAYERS, "peer"}:
+        raise ValueError(f"unknown layers: {sorted(unknown)}")
+    whole = None
+    for name, rows in arrays.items():
+        layer = "sector" if name == "peer" else name
+        order = F.struct(F.lit(1 if name == "peer" else 0).alias("part"), F.col("_ord").alias("place"))
+        part = rows.withColumns({"layer": F.lit(layer), "_ord": order})
+        whole = part if whole is None else whole.unionByName(part)
+    counted = first_wins(normalised(whole, as_of, issuer_domains))
+    counted = checkpointed(counted)
+    return layers(counted, REPORT_LAYERS).join(histograms(counted), "layer", "left"), counted

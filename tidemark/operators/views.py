@@ -65,7 +65,7 @@ def portfolio(positions: DataFrame, quotes: DataFrame, keys: list[str] | None =
     shares = F.col("lots") * LOT
     rows = rows.withColumns({"shares": shares, "invested": shares * F.col("average_cost"), "value": shares * F.col("price")})
     total = whole(rows, keys).select(*keys, F.col("value").alias("total_value"))
-    held = rows.join(F.broadcast(total), keys, "left") if keys else rows.crossJoin(F.broadcast(total))
+    held = rows.join(total, keys, "left") if keys else rows.crossJoin(F.broadcast(total))
     return held.withColumns({"pnl": F.col("value") - F.col("invested"), "pnl_pct": F.lit(100.0) * ratio(F.col("value") - F.col("invested"), F.col("invested")), "weight_pct": F.lit(100.0) * ratio(F.col("value"), F.col("total_value"))}).drop("total_value")
 
 

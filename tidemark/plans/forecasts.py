@@ -25,9 +25,9 @@ def query(sql: str | None = None):
 
 
 DAY = 86400
-PLAN = folds.FoldPlan(datetime(2024, 1, 8), validation_seconds=2 * DAY, test_seconds=2 * DAY, step_seconds=2 * DAY, train_seconds=6 * DAY, mode="rolling", purge_seconds=3600, embargo_seconds=7200, fold_count=10)
+PLAN = folds.FoldPlan(datetime(2024, 1, 8), validation_seconds=2 * DAY, test_seconds=2 * DAY, step_seconds=2 * DAY, train_seconds=6 * DAY, mode="rolling", purge_seconds=3600, embargo_seconds=7200)
 FOLDS = """folds AS (SELECT i::INT AS fold, b - INTERVAL 6 DAY AS train_start, b - INTERVAL 1 HOUR AS train_cutoff, b AS train_end, b + INTERVAL 2 DAY AS validation_end, b + INTERVAL 50 HOUR AS test_start, b + INTERVAL 98 HOUR AS test_end
- FROM (SELECT i, TIMESTAMP '2024-01-08' + i * INTERVAL 2 DAY AS b FROM range(10) t(i)))"""
+ FROM (SELECT i, TIMESTAMP '2024-01-08' + i * INTERVAL 2 DAY AS b FROM range(1000) t(i)) WHERE b + INTERVAL 50 HOUR <= (SELECT max(as_of) FROM lab))"""
 MEMBERS = f"""{T.LABELLED}, {FOLDS},
 m0 AS (SELECT fold, lab.*, CASE WHEN as_of >= train_start AND as_of < train_cutoff THEN 'train' WHEN as_of >= train_end AND as_of < validation_end THEN 'validation' WHEN as_of >= test_start AND as_of < test_end THEN 'test' END AS split, train_end, test_start FROM lab CROSS JOIN folds),
 mem AS (SELECT * EXCLUDE (train_end, test_start), CASE split WHEN 'train' THEN horizon_end <= train_end WHEN 'validation' THEN horizon_end <= test_start ELSE true END AS kept FROM m0 WHERE split IS NOT NULL)"""
@@ -44,8 +44,17 @@ mt AS (SELECT {k}avg(hit / nullif(support, 0)) AS bal, avg(2.0::DOUBLE * hit / n
 met AS (SELECT {k}eligible, evaluated, round(100.0::DOUBLE * correct / nullif(evaluated, 0), 6) AS accuracy_pct, round(100 * bal, 6) AS balanced_accuracy_pct, round(100 * f1, 6) AS macro_f1_pct, {', '.join(f'{c}_support, {c}_precision_pct, {c}_recall_pct' for c in ('up', 'flat', 'down'))}, round(100.0::DOUBLE * evaluated / nullif(eligible, 0), 6) AS coverage_pct FROM gk JOIN mt {on})"""
 
 
-def _members(spark, d):
-    return folds.membership(T.labelled(spark, d), folds.folds(spark, PLAN, datetime(2024, 2, 1)))
+def latest_of(rows):
+    """The last time of the rows, up to which folds are made: one aggregate."""
+    return rows.agg(F.max("as_of")).first()[0]
+
+
+def members(spark, d):
+    rows = T.labelled(spark, d)
+    return folds.membership(rows, PLAN, latest_of(rows))
+
+
+_members = members
 
 
 def sign_sql(*names: str, dead: float = 0.0) -> str:
@@ -53,16 +62,16 @@ def sign_sql(*names: str, dead: float = 0.0) -> str:
     return f"CASE WHEN {score} > 0 THEN 'UP' WHEN {score} < 0 THEN 'DOWN' WHEN {score} = 0 THEN 'FLAT' END"
 
 
-_P = f"{MEMBERS}, pr AS (SELECT fold, split, id, actual, regime, symbol, {sign_sql('momentum', dead=0.05)} AS predicted FROM mem WHERE split <> 'train' AND kept)"
+_P = f"{MEMBERS}, pr AS (SELECT fold, split, id, actual, regime, horizon, sector, liquidity, confidence, {sign_sql('momentum', dead=0.05)} AS predicted FROM mem WHERE split <> 'train' AND kept)"
 
 
 def _predicted(spark, d):
     return folds.predicted(_members(spark, d), "feature_sign", features=["momentum"], thresholds={"momentum": 0.05})
 
 
-@query(f"WITH {FOLDS} SELECT * FROM folds")
+@query(f"WITH {T.LABELLED}, {FOLDS} SELECT * FROM folds")
 def wf_folds(spark, d):
-    return folds.folds(spark, PLAN, datetime(2024, 2, 1))
+    return folds.folds(spark, PLAN, latest_of(T.labelled(spark, d)))
 
 
 _C = lambda s, k: f"count(*) FILTER (split = '{s}' AND {k} kept)"
@@ -84,12 +93,12 @@ def wf_fold_metrics(spark, d):
     return folds.fold_metrics(_predicted(spark, d), ["fold"])
 
 
-_GR = "gr AS (SELECT actual, predicted, 'regime' AS field, regime AS value FROM pr UNION ALL SELECT actual, predicted, 'symbol', symbol FROM pr)"
+_GR = "gr AS (" + " UNION ALL ".join(f"SELECT actual, predicted, '{f}' AS field, coalesce({f}, 'None') AS value FROM pr" for f in folds.GROUP_FIELDS) + ")"
 
 
 @query(f"WITH {_P}, {_GR}, {metrics_sql('gr', 'field, value')} SELECT * FROM met")
 def wf_grouped_metrics(spark, d):
-    return folds.grouped_metrics(_predicted(spark, d), ["regime", "symbol"])
+    return folds.grouped_metrics(_predicted(spark, d), list(folds.GROUP_FIELDS))
 
 
 _STATE = "st AS (SELECT fold, CASE WHEN count(*) FILTER (actual = 'UP') >= greatest(count(*) FILTER (actual = 'FLAT'), count(*) FILTER (actual = 'DOWN')) THEN 'UP' WHEN count(*) FILTER (actual = 'FLAT') >= count(*) FILTER (actual = 'DOWN') THEN 'FLAT' ELSE 'DOWN' END AS majority, arg_max(actual, (as_of, id)) AS last_direction FROM mem WHERE split = 'train' AND kept GROUP BY 1)"
@@ -107,10 +116,10 @@ def wf_builtin_predictors(spark, d):
 
 EXPERIMENTS = [
     {"name": "baseline", "groups": {"trend": ["momentum"]}, "thresholds": {"momentum": 0.05}},
-    {"name": "reversal", "groups": {"short": ["step"]}, "thresholds": {"step": 0.05}},
-    {"name": "both", "groups": {"trend": ["momentum"], "short": ["step"]}, "thresholds": {"momentum": 0.05, "step": 0.05}},
+    {"name": "reversal", "groups": {"short": ["back"]}, "thresholds": {"back": 0.05}},
+    {"name": "both", "groups": {"trend": ["momentum"], "short": ["back"]}, "thresholds": {"momentum": 0.05, "back": 0.05}},
 ]
-_ABL = f"""{MEMBERS}, ab AS (SELECT fold, actual, position, experiment, CASE position WHEN 0 THEN {sign_sql('momentum', dead=0.05)} WHEN 1 THEN {sign_sql('step', dead=0.05)} ELSE {sign_sql('momentum', 'step', dead=0.05)} END AS predicted
+_ABL = f"""{MEMBERS}, ab AS (SELECT fold, actual, position, experiment, CASE position WHEN 0 THEN {sign_sql('momentum', dead=0.05)} WHEN 1 THEN {sign_sql('back', dead=0.05)} ELSE {sign_sql('momentum', 'back', dead=0.05)} END AS predicted
  FROM mem CROSS JOIN (VALUES (0, 'baseline'), (1, 'reversal'), (2, 'both')) v(position, experiment) WHERE split <> 'train' AND kept)"""
 _DEL = f"{_ABL}, {metrics_sql('ab', 'position, experiment')}, bs AS (SELECT * FROM met WHERE experiment = 'baseline'), de AS (SELECT met.position::INT AS position, met.experiment, met.eligible, met.evaluated, {', '.join(f'met.{m}, round(met.{m} - bs.{m}, 6) AS {m}_delta' for m in ablation.METRICS)} FROM met CROSS JOIN bs)"
 

@@ -54,17 +54,21 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars by event type with momentum, noise, the next bar's class and what is known when: rows of walk-forward folds."""
+    """Every user's hourly bars with momentum, noise, the next bar's class and what is known when: rows of walk-forward folds."""
     from pyspark.sql import Window
 
-    b = bars_from_ticks(ticks(spark, sf_dir).withColumn("symbol", F.col("event_type")), "hour")
+    b = bars(spark, sf_dir)
     by = Window.partitionBy("symbol").orderBy("bar_time")
     rows = b.withColumns({
         "momentum": ratio(F.col("close"), F.lag("close", 5).over(by)) - 1, "step": ratio(F.col("close"), F.lag("close", 1).over(by)) - 1, "span": ratio(F.col("high") - F.col("low"), F.col("close")),
         "target": ratio(F.lead("close").over(by), F.col("close")) - 1, "horizon_end": F.lead("bar_time").over(by),
     })
     rows = rows.where("target is not null").withColumns({"actual": classify(F.col("target"), 0.1), "regime": F.when(F.col("ticks") > 1, "busy").otherwise("calm"), "horizon": F.lit("next_bar")})
-    return rows.select(F.concat_ws("|", "symbol", F.date_format("bar_time", "yyyy-MM-dd HH")).alias("id"), F.col("bar_time").alias("as_of"), "horizon_end", "symbol", "momentum", "step", "span", "target", "actual", "regime", "horizon")
+    n = F.col("symbol").cast("bigint")
+    rows = rows.withColumns({
+        "back": -F.col("step"), "sector": F.when(n % 7 != 3, F.concat(F.lit("S"), n % 5)), "liquidity": F.when(F.col("volume") > 50, "deep").otherwise("thin"), "confidence": F.lit(None).cast("string"),
+    })
+    return rows.select(F.concat_ws("|", "symbol", F.date_format("bar_time", "yyyy-MM-dd HH")).alias("id"), F.col("bar_time").alias("as_of"), "horizon_end", "symbol", "momentum", "step", "span", "back", "target", "actual", "regime", "horizon", "sector", "liquidity", "confidence")
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +104,13 @@ r AS (SELECT symbol, p1 / CASE WHEN p0 > 0 THEN p0 END - 1 AS ret, volume FROM a
 rs AS (SELECT r.*, sector FROM r LEFT JOIN sectors USING (symbol))"""
 SERIES = f"""{TICKS},
 series AS (SELECT event_type AS series, date_trunc('day', ts)::TIMESTAMP AS observed_at, round(avg(price), 6) AS value FROM ticks GROUP BY ALL)"""
-LABELLED = """hb AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS bar_time, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS ticks FROM events GROUP BY ALL),
-lab0 AS (SELECT *, close / lag(close, 5) OVER w - 1 AS momentum, close / lag(close, 1) OVER w - 1 AS step, (high - low) / close AS span, lead(close) OVER w / close - 1 AS target, lead(bar_time) OVER w AS horizon_end FROM hb WINDOW w AS (PARTITION BY symbol ORDER BY bar_time)),
-lab AS (SELECT symbol || '|' || strftime(bar_time, '%Y-%m-%d %H') AS id, bar_time AS as_of, horizon_end, symbol, momentum, step, span, target,
-  CASE WHEN target > 0.1 THEN 'UP' WHEN target < -0.1 THEN 'DOWN' ELSE 'FLAT' END AS actual, CASE WHEN ticks > 1 THEN 'busy' ELSE 'calm' END AS regime FROM lab0 WHERE target IS NOT NULL)"""
+LABELLED = """hb AS (SELECT user_id, CAST(user_id AS VARCHAR) AS symbol, date_trunc('hour', ts) AS bar_time, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
+  sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS volume, count(*) AS ticks FROM events GROUP BY ALL),
+lab0 AS (SELECT *, close / lag(close, 5) OVER w - 1 AS momentum, close / lag(close, 1) OVER w - 1 AS step, (high - low) / close AS span, lead(close) OVER w / close - 1 AS target, lead(bar_time) OVER w AS horizon_end
+  FROM hb WINDOW w AS (PARTITION BY symbol ORDER BY bar_time)),
+lab AS (SELECT symbol || '|' || strftime(bar_time, '%Y-%m-%d %H') AS id, bar_time AS as_of, horizon_end, symbol, momentum, step, span, -step AS back, target,
+  CASE WHEN target > 0.1 THEN 'UP' WHEN target < -0.1 THEN 'DOWN' ELSE 'FLAT' END AS actual, CASE WHEN ticks > 1 THEN 'busy' ELSE 'calm' END AS regime, 'next_bar' AS horizon,
+  CASE WHEN user_id % 7 <> 3 THEN 'S' || (user_id % 5) END AS sector, CASE WHEN volume > 50 THEN 'deep' ELSE 'thin' END AS liquidity, NULL::VARCHAR AS confidence FROM lab0 WHERE target IS NOT NULL)"""
 PROBS = """probs0 AS (SELECT l.doc_id, quality, toxic, CASE WHEN n_chars % 11 = 0 THEN 1.2::DOUBLE ELSE (n_chars % 97) / 100.0::DOUBLE END AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 probs AS (SELECT doc_id, s AS p_up, (1 - s) / 4 AS p_flat, 1 - s - (1 - s) / 4 AS p_down, CASE WHEN quality = 1 THEN 'UP' WHEN toxic = 1 THEN 'DOWN' ELSE 'FLAT' END AS actual,
   s BETWEEN 0 AND 1 AS ok FROM probs0)"""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import contract, folds, health, views
+from ..sources.shared import shared_path
 from ..streaming import ticks as streams
 from . import tables as T
 from .market import rounded
@@ -155,17 +153,12 @@ def tick_cube(spark, d):
     return out.select(F.coalesce("symbol", F.lit("all")).alias("symbol"), F.coalesce("event_type", F.lit("all")).alias("event_type"), "ticks", "days")
 
 
-def _place(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _streamed(spark, d, build):
     """A stream over the events file, run over all it holds, and what it wrote."""
     schema = T.table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     t = source.select("event_id", F.col("user_id").cast("string").alias("symbol"), "ts", F.col("value").alias("price"), "event_type")
-    place = _place(spark)
+    place = shared_path(spark, "stream")
     streams.run_to_table(build(t), f"{place}/table", f"{place}/checkpoint")
     return spark.read.parquet(f"{place}/table")
 
@@ -185,5 +178,6 @@ def stream_sessions(spark, d):
 
 @query("SELECT count(*) AS rows_out, count(DISTINCT event_id) AS events_out FROM events")
 def stream_dedup(spark, d):
-    out = _streamed(spark, d, lambda t: streams.first_of_each(t, ["event_id"]))
+    """Every event comes twice."""
+    out = _streamed(spark, d, lambda t: streams.first_of_each(t.unionByName(t), ["event_id"]))
     return out.agg(F.count(F.lit(1)).alias("rows_out"), F.countDistinct("event_id").alias("events_out"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import as_percent, strict_number
+from ..operators.contract import violations
 from ..operators.evaluation import slot_of
 
 
@@ -16,6 +18,27 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> D
     return files.select(name.alias("path"), F.col("value").alias("text")).where(~name.endswith("/manifest.json"))
 
 
+def first_available(spark: SparkSession, paths: list[str], pattern: str = "*.*") -> DataFrame | None:
+    """The documents below the first of several paths that there is anything at; None if there is nothing at any."""
+    for path in paths:
+        try:
+            found = read_documents(spark, path, pattern)
+        except AnalysisException:
+            continue
+        if not found.isEmpty():
+            return found
+    return None
+
+
+def slots(documents: DataFrame) -> DataFrame:
+    """Snapshots (path, text) by slot: how many, and how many of them keep the contract; those without a known slot are null."""
+    broken = violations(documents).select("path").distinct().withColumn("broken", F.lit(True))
+    doc = F.try_parse_json("text")
+    raw = F.coalesce(_text(doc, "$.archive_metadata.slot"), _text(doc, "$.snapshot_slot"))
+    rows = documents.select("path", slot_of(raw).alias("slot")).join(broken, "path", "left")
+    return rows.groupBy("slot").agg(F.count(F.lit(1)).alias("snapshots"), F.count_if(F.col("broken").isNull()).alias("valid"))
+
+
 def guarded(documents: DataFrame) -> DataFrame:
     """(path, doc, state): ok with the document as VARIANT, null for a JSON null, invalid for text that is no JSON."""
     doc = F.try_parse_json("text")
@@ -58,6 +81,7 @@ def repeated_symbols(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path", "symbol").agg(F.count(F.lit(1)).alias("times")).where("times > 1 or symbol is null or symbol = ''")
 
 
+# What the figures of a Markdown report stand after.
 _PERCENT = {"accuracy_pct": "overall accuracy|accuracy|hit rate|correctness", "directional_accuracy_pct": "directional accuracy|direction accuracy", "balanced_accuracy_pct": "balanced accuracy", "macro_f1_pct": "macro[ -]?f1", "coverage_pct": "coverage"}
 
 
@@ -69,7 +93,8 @@ def verification_text(reports: DataFrame) -> DataFrame:
     out["brier_score"] = grab(r"(?i)(?:brier(?: score)?)[^\d]{0,32}(\d*\.?\d+)")
     out["ece"] = grab(r"(?i)(?:expected calibration error|\bece\b)[^\d]{0,32}(\d*\.?\d+)")
     out["correct"] = grab(r"(?i)(\d+)\s*(?:/|of)\s*\d+")
-    out["evaluated"] = F.nullif(F.regexp_extract("text", r"(?i)\d+\s*(?:/|of)\s*(\d+)", 1), F.lit("")).try_cast("double")
+    counted = F.nullif(F.regexp_extract("text", r"(?i)\d+\s*(?:/|of)\s*(\d+)", 1), F.lit("")).try_cast("double")
+    out["evaluated"] = F.coalesce(counted, grab(r"(?i)(?:evaluated transitions\s*/\s*symbol outcomes|evaluated symbols)[^\d]{0,48}(\d+)"))
     held = reports.select("path", *[c.alias(n) for n, c in out.items()])
     return held.withColumn("accuracy_pct", F.coalesce("accuracy_pct", F.try_divide(F.lit(100.0) * F.col("correct"), F.col("evaluated"))))
 
