@@ -42,7 +42,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         total = np.zeros(VOCABULARY * DIMENSIONS)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                words = Words(batch.column(0).slice(start, 1000))
+                words = Words(batch.column(0).slice(start, 1000), BY_KIND)
                 word, text = _buckets(words), words.text_of_word()
                 for k in range(1, REACH + 1):
                     near = text[k:] == text[:-k]
