@@ -9,7 +9,10 @@
    documents through it. Each word under an occurrence goes.
 
 A block's automaton holds only passages that occur in the block, so its size is bounded by the block's, and each
-document passes one automaton, whatever the size of the corpus. Documents are shuffled once.
+document passes one automaton, whatever the size of the corpus; one automaton of all recurring phrases, or all its shards
+for each document, would grow with the corpus. The exchange already tells the places of confirmed windows in the block;
+the automaton merges them to passages and finds these again, word by word, wherever else they stand. Documents are
+shuffled once.
 """
 
 from __future__ import annotations
@@ -121,7 +124,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block_bytes: int
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns; texts that lose words are their kept words joined by a space, others are unchanged."""
+    """``docs`` with all its columns; texts that lose words are their kept words joined by a space, others are unchanged.
+
+    A text all of whose words recur becomes empty; null stays null. Rows that repeat, null ids among them, are copies of
+    each other like any others. Very long texts are taken whole. An empty table gives no rows.
+    """
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     held = held.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"), "row")
     found = remove_repeated_passages(held, window, keep_text=True, carry="row")

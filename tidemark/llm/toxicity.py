@@ -196,7 +196,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that ``toxicity`` rejects; rows pass one task, unshuffled."""
+    """``docs`` with all its columns, without the rows that ``toxicity`` rejects; rows pass one task, unshuffled.
+
+    Null or empty text has no features and stays, and so does everything where no label says toxic. Rows that repeat stay
+    or go together, null ids like any others. Very long texts are taken whole. An empty table gives no rows.
+    """
     model = learned(id_and_text(docs, id_col, text_col), labels, label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
