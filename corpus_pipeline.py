@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: toxic texts go, then copies, near copies and recurring passages, then packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``.
+one's ``docs``. All but the last return the columns of ``documents``, further columns included. In every stage null text
+counts as empty and is no copy of anything but in exact dedup; texts of any length are taken whole; an empty table gives no
+rows; what ties and rows that repeat mean is said at each stage.
 """
 
 from __future__ import annotations
@@ -18,30 +20,33 @@ from tidemark.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is likelier toxic than not go."""
+    """Documents whose text is likelier toxic than not go; rows that repeat stay or go together."""
     return drop_toxic(docs, labels(small_batches(spark), sf_dir))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the document with the largest id stays."""
+    """Of texts that are equal but for the case of A-Z, the document with the largest id stays; one row of it if it repeats."""
     small_batches(spark)
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked as near copies, by the exact similarity of their word shingles, the one with the smallest id stays."""
+    """Of documents linked by word shingles at a Jaccard similarity of 0.8 or more, the one with the smallest id stays.
+
+    The SimHash grid and MinHash buckets propose links, and all of them are verified by the whole sets. Null ids stay.
+    """
     small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under a window of 35 words that also starts elsewhere are cut out; other texts stay as they are."""
+    """Words under a window of 35 words that also starts elsewhere are cut out; other texts stay as they are, null included."""
     small_batches(spark)
     return drop_repeated_passages(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens; rows that repeat are packed each."""
     small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
