@@ -110,9 +110,14 @@ def source_tier(explicit: Column, host: Column, issuer_domains: Sequence[str] =
     return out.otherwise("unknown")
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters whose case folding is another: sharp s as ss, final sigma as sigma."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def haystack(*texts: Column) -> Column:
-    """Lower-case texts, padded by spaces, that keywords are looked for in."""
-    return F.concat(F.lit(" "), F.lower(F.concat_ws(" ", *texts)), F.lit(" "))
+    """Case-folded texts, padded by spaces, that keywords are looked for in."""
+    return F.concat(F.lit(" "), folded(F.concat_ws(" ", *texts)), F.lit(" "))
 
 
 def any_of(text: Column, words: Sequence[str]) -> Column:
@@ -126,7 +131,7 @@ def hits(text: Column, words: Sequence[str]) -> Column:
 
 def event_type(explicit: Column, text: Column, events=EVENTS) -> Column:
     """The stated type as a slug, else the first group with a keyword in the text, else other."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(explicit)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    slug = F.regexp_replace(F.regexp_replace(folded(F.trim(explicit)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     out = F.when(F.trim(explicit) != "", F.when(slug == "", "other").otherwise(slug))
     for name, words in events:
         out = out.when(any_of(text, words), name)

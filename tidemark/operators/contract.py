@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import parse_time
 
-# Fixed values of the snapshot format.
+# Fixed values of the snapshot format; the texts of violations below are part of it.
 SCHEMA_VERSION, TIMEZONE = "1.0", "Asia/Jakarta"
 HORIZONS = {"open": "open_to_break", "break": "break_to_close", "close": "close_to_next_open"}
 FORECASTS = ("UP", "FLAT", "DOWN", "ABSTAIN")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import CLASSES, finite, ordered_codes, ratio, round6, unit_number, valid_probabilities
 
+# Reason codes of the policy, in the order of its gates.
 FLAGS = (("missing", "missing_data"), ("stale", "stale_data"), ("invalid", "invalid_data"), ("partial", "partial_data"), ("thin_liquidity", "inadequate_liquidity"), ("suspension_warning", "suspension"), ("limit_move_warning", "limit_move"), ("corporate_action_warning", "corporate_action"))
 SWITCHES = ("suspension", "limit_move", "corporate_action")
 

@@ -52,7 +52,7 @@ def _list(words) -> str:
 
 
 _SUM = "CASE WHEN page_id % 5 = 0 THEN 'record growth and profit' WHEN page_id % 5 = 1 THEN 'fraud probe' WHEN page_id % 5 = 2 THEN 'trade balance' END"
-_HAY = f"hy AS (SELECT page_id, ' ' || lower(concat_ws(' ', nullif({_ENT}, ''), {_SUM})) || ' ' AS h FROM pages)"
+_HAY = f"hy AS (SELECT page_id, ' ' || replace(replace(lower(concat_ws(' ', nullif({_ENT}, ''), {_SUM})), '\u00df', 'ss'), '\u03c2', '\u03c3') || ' ' AS h FROM pages)"
 _HIT = lambda words: f"len(list_filter({_list(words)}, lambda w: contains(h, w)))"
 _TONE = f"CASE WHEN {_HIT(X.POSITIVE)} > {_HIT(X.NEGATIVE)} THEN 'positive' WHEN {_HIT(X.POSITIVE)} < {_HIT(X.NEGATIVE)} THEN 'negative' ELSE 'neutral' END"
 _IMP = f"CASE WHEN {_HIT(X.HIGH_IMPACT)} > 0 THEN 'high' WHEN {_HIT(X.MEDIUM_IMPACT)} > 0 THEN 'medium' ELSE 'low' END"

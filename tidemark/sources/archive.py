@@ -46,8 +46,10 @@ def write_report(path: str, value) -> None:
 
 
 def markdown(title: str, metrics: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of a small table of metrics; null is a dash."""
-    rows = metrics.limit(limit).collect()
+    """A Markdown table of a small table of metrics; null is a dash. More than ``limit`` rows are an error, and none is cut."""
+    rows = metrics.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows are no report: write them as a table")
     head = metrics.columns
     show = lambda v: "—" if v is None else f"{v:g}" if isinstance(v, float) else str(v)
     lines = [f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "-|" * len(head), *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]]
