@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -19,7 +20,7 @@ from tidemark.llm.exchange import golomb_decode, golomb_encode
 from tidemark.llm.near_copies import near_copy_links
 from tidemark.llm.oph import BINS, PROBES, fingerprint_documents, with_next
 from tidemark.llm.simhash import drop_near_duplicates, near_duplicates, near_links
-from tidemark.llm.substring_dedup import drop_repeated_passages, remove_repeated_passages
+from tidemark.llm.substring_dedup import Block, drop_repeated_passages, remove_repeated_passages
 
 from .fixtures import collected, empty, id_texts, nasty, ordered, passage, rows
 
@@ -108,6 +109,34 @@ def test_repeated_passages(spark, tiny, which, block):
     assert collected(got, "doc_id", "n_words", "n_removed", "kept_sha256") == ordered([r[:4] for r in removed_by_hand(known, 35)])
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 6, 35])
+def test_repeated_passages_of_any_window(spark, window):
+    rng = random.Random(window)
+    known = [(i, " ".join(rng.choice("abcdefgh") + (str(rng.randrange(40)) if rng.random() < 0.4 else "") for _ in range(rng.randrange(0, 150)))) for i in range(40)]
+    known += [(100 + i, " ".join([known[i][1], known[i + 1][1], "end"])) for i in range(0, 20, 3)]
+    got = remove_repeated_passages(spark.createDataFrame(known, "doc_id bigint, text string").repartition(3), window, block_bytes=1500)
+    assert collected(got, "doc_id", "n_words", "n_removed", "kept_sha256") == ordered([r[:4] for r in removed_by_hand(known, window)])
+
+
+def test_anchors_of_equal_windows_are_equal_and_few(tiny):
+    table = pa.table({"text": pa.array([t or "" for _, t in id_texts(tiny)])})
+    block = Block(table, 35)
+    least = {int(h): set() for h in block.h}
+    every = dict(zip(block.start.tolist(), block.phrase_hash.tolist(), strict=True))
+    for p, h in zip(block.at.tolist(), block.h.tolist(), strict=True):
+        least[h].add(min(every[i] for i in range(p, p + 18)))
+    assert all(len(v) == 1 for v in least.values()) and set().union(*least.values()) == set(block.anchors.tolist())
+    assert len(block.anchors) < 0.15 * len(np.unique(block.phrase_hash))
+
+
+def test_what_the_automaton_does_not_find_stays(spark):
+    docs = spark.createDataFrame([(i, f"{passage(i, 20)} {passage(99, 60)}") for i in range(4)], "doc_id bigint, text string")
+    at = Block(pa.table({"text": pa.array([passage(1, 60), passage(2, 60) + " " + passage(1, 60)])}), 35)
+    located = at.located(at.recurring(pa.table({c: [] for c in ("owner", "n", "bitmap")})))
+    assert len(located) >= 2 * 26 and at.located(at.anchors[:0]).tolist() == []
+    assert {r.n_removed for r in remove_repeated_passages(docs).collect()} == {60}
+
+
 def test_drop_repeated_passages_leaves_other_texts_alone(spark):
     docs, known = nasty(spark), [(r[0], r[1]) for r in rows()]
     out = drop_repeated_passages(docs)

@@ -1,18 +1,17 @@
-"""Removal of passages that recur: repeated windows of words are confirmed, then located by Aho-Corasick automata.
-
-1. Documents are dealt to blocks of bounded size by a hash of their id. A block hashes every window of ``window``
-   words (96 bits) and sends its distinct windows, sorted and Golomb-coded, to their owners (``exchange``); owners
-   answer which of them other blocks hold too. With the windows a block holds twice itself, these are the confirmed
-   ones.
-2. The block then merges its confirmed windows to maximal passages, compiles the distinct passages to one
-   automaton (pyahocorasick, over word numbers), the block's shard of all recurring phrases, and streams all its
-   documents through it. Each word under an occurrence goes.
-
-A block's automaton holds only passages that occur in the block, so its size is bounded by the block's, and each
-document passes one automaton, whatever the size of the corpus; one automaton of all recurring phrases, or all its shards
-for each document, would grow with the corpus. The exchange already tells the places of confirmed windows in the block;
-the automaton merges them to passages and finds these again, word by word, wherever else they stand. Documents are
-shuffled once.
+"""Removal of passages that recur: recurring phrases are confirmed, automata locate them, what they lead to is verified.
+
+Documents are dealt to blocks of bounded size by a hash of their id, and stay there; blocks and owners of ranges of hash
+values exchange sorted, Golomb-coded hashes and bitmaps (``exchange``).
+
+1. Of each window of ``window`` words the phrase of half its length with the least hash is its anchor. Two equal windows
+   have the same anchor. Blocks send their distinct anchors, about a tenth of all phrases, and learn which of them recur.
+2. Each block compiles its recurring anchors to an Aho-Corasick automaton (pyahocorasick, over word numbers), its shard of
+   all recurring phrases, and streams its documents through it. A window that holds no occurrence of one can't recur. The
+   other windows' hashes (96 bits) are exchanged.
+3. The automaton locates the same occurrences again, and each word of a window around one that another place holds too goes.
+
+A block's automaton holds only phrases that occur in the block, so its size is bounded by the block's, and each document
+passes one automaton, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -22,8 +21,10 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .exchange import SENT, answered, answers, sent_blobs
 from .wordhash import Words
@@ -46,27 +47,60 @@ def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return hs[new], gs[new], place, np.bincount(group, minlength=int(new.sum()))
 
 
-def _covered(words: Words, at: np.ndarray, confirmed: np.ndarray, size: int) -> np.ndarray:
-    """Words under an occurrence of a confirmed passage, found by the block's automaton."""
-    cover = np.zeros(len(words.starts) + 1, np.int64)
-    places = at[confirmed]
-    if not len(places):
-        return cover[:-1].astype(bool)
-    doc = np.searchsorted(words.first_word, places, side="right")
-    breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(doc) != 0)) + 1
-    begins, ends = places[np.concatenate([[0], breaks])], places[np.concatenate([breaks - 1, [len(places) - 1]])] + size
-    _, number = np.unique(words.hash, return_inverse=True)
-    number = (number + 1).tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for passage in {tuple(number[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)}:
-        automaton.add_word(passage)
-    automaton.make_automaton()
-    for a, b in zip(words.first_word[:-1].tolist(), words.first_word[1:].tolist(), strict=True):
-        if b - a >= size:
-            for end, length in automaton.iter(tuple(number[a:b])):
-                cover[a + end + 1 - length] += 1
-                cover[a + end + 1] -= 1
-    return np.cumsum(cover)[:-1] > 0
+def _sliding_least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each value and the ``size`` - 1 after it."""
+    least, have = values, 1
+    while have < size:
+        step = min(have, size - have)
+        least = least.copy()
+        least[:-step] = np.minimum(least[:-step], least[step:]) if step < len(least) else least[:-step]
+        have += step
+    return least
+
+
+class Block:
+    """The windows and phrases of a block's texts."""
+
+    def __init__(self, table: pa.Table, window: int):
+        self.window, self.phrase = window, (window + 1) // 2
+        self.words = Words(table["text"])
+        self.at, self.h, self.g = self.words.windows(window)
+        self.start, self.phrase_hash, _ = self.words.windows(self.phrase)
+        every = np.full(len(self.words.starts), np.iinfo(np.uint64).max, np.uint64)
+        every[self.start] = self.phrase_hash
+        self.anchors = np.unique(_sliding_least(every, window - self.phrase + 1)[self.at])
+
+    def recurring(self, back: pa.Table) -> np.ndarray:
+        """Anchors that another block holds too, or that stand twice in this one."""
+        order = np.sort(self.phrase_hash)
+        times = np.searchsorted(order, self.anchors, "right") - np.searchsorted(order, self.anchors)
+        return self.anchors[answered(back, len(self.anchors)) | (times > 1)]
+
+    def located(self, recurring: np.ndarray) -> np.ndarray:
+        """Places in ``at`` of the windows that hold a recurring phrase where the automaton finds it."""
+        if not len(recurring):
+            return np.empty(0, np.int64)
+        order = np.argsort(self.phrase_hash, kind="stable")
+        first = self.start[order[np.searchsorted(self.phrase_hash[order], recurring)]]
+        _, number = np.unique(self.words.hash, return_inverse=True)
+        number = (number + 1).tolist()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for a in first.tolist():
+            automaton.add_word(tuple(number[a : a + self.phrase]), 1)
+        automaton.make_automaton()
+        found = np.zeros(len(number) + 1, np.int64)
+        bounds = self.words.first_word.tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a >= self.window:
+                ends = [end for end, _ in automaton.iter(tuple(number[a:b]))]
+                found[np.array(ends, np.int64) + (a + 1 - self.phrase) + 1] = 1
+        before = np.cumsum(found)
+        return np.flatnonzero(before[self.at + self.window - self.phrase + 1] > before[self.at])
+
+    def covered(self, windows: np.ndarray) -> np.ndarray:
+        """Words under windows, given by their places in ``at``."""
+        n, starts = len(self.words.starts) + 1, self.at[windows]
+        return np.cumsum(np.bincount(starts, minlength=n) - np.bincount(starts + self.window, minlength=n))[:-1] > 0
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 35, block_bytes: int = BLOCK_BYTES, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
@@ -84,20 +118,24 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block_bytes: int
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(11)), F.lit(blocks)).cast("int")).repartition(blocks, "part")
-    owners = max(1, blocks // 2)
-
-    def send(table: pa.Table) -> pa.Table:
-        _, h, g = Words(table["text"]).windows(window)
-        values, more, _, _ = _distinct(h, g)
-        return pa.Table.from_batches([sent_blobs(table["part"][0].as_py(), values, owners, more)])
-
-    def locate(table: pa.Table, back: pa.Table) -> pa.Table:
-        words = Words(table["text"])
-        data = words.raw.tobytes()
-        at, h, g = words.windows(window)
-        values, _, place, times = _distinct(h, g)
-        confirmed = (answered(back, len(values)) | (times > 1))[place]
-        covered = _covered(words, at, confirmed, window)
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else "")
+
+    def send_anchors(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([sent_blobs(table["part"][0].as_py(), Block(table, window).anchors, max(1, blocks // 16))])
+
+    def send_windows(table: pa.Table, back: pa.Table) -> pa.Table:
+        block = Block(table, window)
+        at = block.located(block.recurring(back))
+        values, more, _, _ = _distinct(block.h[at], block.g[at])
+        return pa.Table.from_batches([sent_blobs(table["part"][0].as_py(), values, max(1, blocks // 4), more)])
+
+    def cut(table: pa.Table, back: pa.Table) -> pa.Table:
+        block = Block(table, window)
+        words, data = block.words, block.words.raw.tobytes()
+        of = lambda kind: back.filter(pc.equal(back["kind"], kind))
+        at = block.located(block.recurring(of(0)))
+        values, _, place, times = _distinct(block.h[at], block.g[at])
+        covered = block.covered(at[(answered(of(1), len(values)) | (times > 1))[place]])
         n = np.diff(words.first_word)
         removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[words.first_word])
         digests, texts = [], []
@@ -114,13 +152,12 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block_bytes: int
             columns["carried"] = table["carried"]
         return pa.table(columns)
 
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    back = answers(dealt.groupBy("part").applyInArrow(send, SENT))
+    anchors = answers(dealt.groupBy("part").applyInArrow(send_anchors, SENT))
+    windows = answers(dealt.groupBy("part").cogroup(anchors.groupBy("part")).applyInArrow(send_windows, SENT))
+    back = anchors.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
     if carry:
-        from pyspark.sql import types as T
-
         schema = T.StructType([*T.StructType.fromDDL(schema), T.StructField("carried", docs.schema[carry].dataType)])
-    return dealt.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(locate, schema)
+    return dealt.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(cut, schema)
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
