@@ -125,7 +125,8 @@ def with_next(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """
     spark = rows.sparkSession
     n = rows.count()
-    buckets = min(max(1, -(-n // bucket_rows), min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))), MOST_BUCKETS)
+    several = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # ranges for each task, so that tasks are about equal
+    buckets = min(max(1, -(-n // bucket_rows), min(n, several)), MOST_BUCKETS)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * buckets))).first()[0] if shares else None
     bounds = sorted(set(cuts or []))
