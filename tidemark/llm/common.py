@@ -117,3 +117,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path below the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: as ``checkpointed``, but compressed and by columns."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

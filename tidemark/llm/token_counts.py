@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text
+from .common import id_and_text, written
 from .units import unit_ids
 
 #: Pre-tokens whose counts every worker holds, and characters of the longest of them; and how many a task gathers at once.
@@ -46,7 +46,7 @@ def _vocabulary(texts: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pieces[u] for u in units], pa.int64())], names=["unit", "times", "pieces"])
 
     distinct = texts.mapInArrow(gather, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
-    return checkpointed(distinct.mapInArrow(count, "unit string, times bigint, pieces bigint"))
+    return written(distinct.mapInArrow(count, "unit string, times bigint, pieces bigint"), "pre-tokens")
 
 
 def _columns(names: list[str], values: list, kinds: list) -> pa.RecordBatch:
@@ -98,7 +98,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, head: int =
                 yield _columns(names, [range(row, row + n), part.column(0).to_pylist(), size, sums, units, counts], kinds)
                 row += n
 
-    met = checkpointed(rows.mapInArrow(join, "row bigint, doc_id bigint, n_bytes bigint, n_tokens bigint, units array<string>, times array<bigint>"))
+    met = rows.mapInArrow(join, "row bigint, doc_id bigint, n_bytes bigint, n_tokens bigint, units array<string>, times array<bigint>")
+    met = written(met, "rare-pre-tokens")
     tail = met.select("row", F.inline(F.arrays_zip("units", "times"))).select("row", F.col("units").alias("unit"), "times")
     tail = tail.join(vocabulary.select("unit", "pieces"), "unit")
     more = tail.groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
