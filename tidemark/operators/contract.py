@@ -25,34 +25,36 @@ def _at(path: str, kind: str | None = None) -> Column:
     return F.try_variant_get(value, "$", kind) if kind else value
 
 
-def _extracted(doc: Column, paths: list[str]) -> list[Column]:
-    """Each path once, so that the rules that ask about it do not look it up again."""
-    return [F.try_variant_get(doc, p, "variant").alias(p) for p in paths]
+def _extracted(rows: DataFrame, doc: Column, paths: list[str], kept: list[str]) -> DataFrame:
+    """Each path once, and its kind, so that the rules that ask about them look nothing up again.
 
-
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("NONE"))
+    The kind is the first letter of the value as JSON: { [ " t f n, a digit or a minus; null where nothing is given.
+    """
+    held = rows.select(*kept, *[F.try_variant_get(doc, p, "variant").alias(p) for p in paths])
+    return held.select("*", *[_kind_of(F.col(f"`{p}`")).alias(f"{p} kind") for p in paths])
 
 
-def _given(path: str) -> Column:
-    return _at(path).isNotNull()
+def _kind_of(value: Column) -> Column:
+    return F.left(F.to_json(value), F.lit(1))
 
 
-def _null(path: str) -> Column:
-    return _at(path).isNull() | F.is_variant_null(_at(path))
+def _is(path: str, kind: str) -> Column:
+    """Whether a path holds an OBJECT, a STRING, a BOOLEAN or a NUMBER."""
+    letters = {"OBJECT": "{", "STRING": '"', "BOOLEAN": "tf", "NUMBER": "-0123456789"}[kind]
+    return F.coalesce(F.col(f"`{path} kind`").isin(*letters), F.lit(False))
 
 
-def _is(value: Column, kind: str) -> Column:
-    return _kind(value).startswith(kind)
+def _given(path: str) -> Column:
+    return _at(path).isNotNull()
 
 
-def _number(value: Column) -> Column:
-    return _kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+def _null(path: str) -> Column:
+    return F.coalesce(F.col(f"`{path} kind`") == "n", F.lit(True))
 
 
 def _text(path: str) -> Column:
     """The string at a path; null if it is something else."""
-    return F.when(_is(_at(path), "STRING"), _at(path, "string"))
+    return F.when(_is(path, "STRING"), _at(path, "string"))
 
 
 def _filled(path: str) -> Column:
@@ -75,7 +77,7 @@ def _rules(*rules: tuple[Column, str]) -> Column:
 
 _META = "$.archive_metadata"
 _CONTEXTS = ("indonesia_market", "global")
-HEADER_PATHS = ["$", _META, *[f"{_META}.{k}" for k in REQUIRED], "$.market_context", *[f"$.market_context.{k}" for k in _CONTEXTS], "$.stocks"]
+HEADER_PATHS = [_META, *[f"{_META}.{k}" for k in REQUIRED], "$.market_context", *[f"$.market_context.{k}" for k in _CONTEXTS], "$.stocks"]
 
 
 def _header() -> Column:
@@ -85,9 +87,9 @@ def _header() -> Column:
     known = _one_of(m("slot"), HORIZONS)
     date = _text(m("trading_date"))
     dated = F.coalesce(date.rlike(r"^\d{4}-\d{2}-\d{2}$") & date.try_cast("date").isNotNull(), F.lit(False))
-    in_context = _is(_at("$.market_context"), "OBJECT")
+    in_context = _is("$.market_context", "OBJECT")
     return _rules(
-        (~_is(_at(_META), "OBJECT"), "archive_metadata must be an object"),
+        (~_is(_META, "OBJECT"), "archive_metadata must be an object"),
         *[(~_given(m(k)), f"archive_metadata.{k} is required") for k in REQUIRED],
         (~_one_of(m("schema_version"), [SCHEMA_VERSION]), "archive_metadata.schema_version is unknown"),
         *[(_given(m(k)) & ~_filled(m(k)), f"archive_metadata.{k} must be a non-empty string") for k in ("snapshot_id", "source")],
@@ -96,7 +98,7 @@ def _header() -> Column:
         (~known, "archive_metadata.slot is unknown"),
         (known & ~F.coalesce(_text(m("horizon")) == horizon, F.lit(False)), "archive_metadata.horizon does not fit the slot"),
         (~_one_of(m("timezone"), [TIMEZONE]), "archive_metadata.timezone is unknown"),
-        (~F.coalesce(_is(_at(m("immutable")), "BOOLEAN") & _at(m("immutable"), "boolean"), F.lit(False)), "archive_metadata.immutable must be true"),
+        (~F.coalesce(_is(m("immutable"), "BOOLEAN") & _at(m("immutable"), "boolean"), F.lit(False)), "archive_metadata.immutable must be true"),
         (~in_context, "market_context must be an object"),
         *[(in_context & ~_filled(f"$.market_context.{k}"), f"market_context.{k} must be a non-empty string") for k in _CONTEXTS],
         (~F.coalesce(F.size(_at("$.stocks", "array<variant>")) > 0, F.lit(False)), "stocks must be a non-empty array"),
@@ -112,36 +114,36 @@ STOCK_PATHS = [
 
 
 def _share(path: str) -> Column:
-    return _given(path) & ~(_number(_at(path)) & F.coalesce(_at(path, "double").between(0, 1), F.lit(False)))
+    return _given(path) & ~(_is(path, "NUMBER") & F.coalesce(_at(path, "double").between(0, 1), F.lit(False)))
 
 
 def _stock() -> Column:
-    has_q, has_c = _is(_at(_Q), "OBJECT"), _is(_at("$.sentiment_context"), "OBJECT")
+    has_q, has_c = _is(_Q, "OBJECT"), _is("$.sentiment_context", "OBJECT")
     issues = _at(f"{_Q}.issues", "array<variant>")
-    sound = F.coalesce(F.forall(issues, lambda v: _is(v, "STRING") & (F.trim(F.try_variant_get(v, "$", "string")) != "")), F.lit(False))
+    sound = F.coalesce(F.forall(issues, lambda v: (_kind_of(v) == '"') & (F.trim(F.try_variant_get(v, "$", "string")) != "")), F.lit(False))
     unseen = _null(f"{_Q}.observed_at") & _one_of(f"{_Q}.status", ["unavailable"])
     count = f"{_Q}.valid_bar_count"
-    object_ = _is(_at("$"), "OBJECT")
+    object_ = _is("$", "OBJECT")
     return _rules(
         (~object_, "must be an object"),
         (object_ & ~_filled("$.symbol"), "symbol must be a non-empty string"),
         (F.col("repeats"), "symbol is a duplicate"),
         (_given("$.forecast") & ~_one_of("$.forecast", FORECASTS), "forecast is unknown"),
         *[(_share(f"$.probability_{c}"), f"probability_{c} must be a number from 0 to 1") for c in ("up", "flat", "down")],
-        (_given("$.probabilities") & ~_is(_at("$.probabilities"), "OBJECT"), "probabilities must be an object"),
+        (_given("$.probabilities") & ~_is("$.probabilities", "OBJECT"), "probabilities must be an object"),
         *[(_share(f"$.probabilities.{c}"), f"probabilities.{c} must be a number from 0 to 1") for c in ("UP", "FLAT", "DOWN")],
         (~has_c, "sentiment_context must be an object"),
         *[(has_c & ~_filled(f"$.sentiment_context.{k}"), f"sentiment_context.{k} must be a non-empty string") for k in LAYERS],
-        (~_is(_at("$.sentiment_conflict"), "BOOLEAN"), "sentiment_conflict must be a boolean"),
+        (~_is("$.sentiment_conflict", "BOOLEAN"), "sentiment_conflict must be a boolean"),
         (~_one_of("$.forecast_modifier", MODIFIERS), "forecast_modifier is unknown"),
         (~_filled("$.sentiment_summary"), "sentiment_summary must be a non-empty string"),
         (~has_q, "data_quality must be an object"),
         (has_q & ~_one_of(f"{_Q}.status", STATUSES), "data_quality.status is unknown"),
         (has_q & ~sound, "data_quality.issues must be an array of non-empty strings"),
         (has_q & ~unseen & ~_timed(f"{_Q}.observed_at"), "data_quality.observed_at must be a time with an offset"),
-        *[(_given(f"{_Q}.{k}") & ~_is(_at(f"{_Q}.{k}"), "BOOLEAN"), f"data_quality.{k} must be a boolean") for k in FLAGS],
-        (_given(count) & ~(_is(_at(count), "BIGINT") & F.coalesce(_at(count, "bigint") >= 0, F.lit(False))), "data_quality.valid_bar_count must be a whole number from 0"),
-        *[(~_null(f"{_Q}.{k}") & ~(_number(_at(f"{_Q}.{k}")) & F.coalesce(_at(f"{_Q}.{k}", "double") >= 0, F.lit(False))), f"data_quality.{k} must be null or a number from 0") for k in METRICS],
+        *[(_given(f"{_Q}.{k}") & ~_is(f"{_Q}.{k}", "BOOLEAN"), f"data_quality.{k} must be a boolean") for k in FLAGS],
+        (_given(count) & ~((F.schema_of_variant(_at(count)) == "BIGINT") & F.coalesce(_at(count, "bigint") >= 0, F.lit(False))), "data_quality.valid_bar_count must be a whole number from 0"),
+        *[(~_null(f"{_Q}.{k}") & ~(_is(f"{_Q}.{k}", "NUMBER") & F.coalesce(_at(f"{_Q}.{k}", "double") >= 0, F.lit(False))), f"data_quality.{k} must be null or a number from 0") for k in METRICS],
     )
 
 
@@ -151,19 +153,20 @@ def violations(documents: DataFrame) -> DataFrame:
     All rules are looked at, so that one run names all that is wrong. A text that is no JSON object has one violation.
     Nothing is shuffled: a symbol repeats if it stands earlier in its own document's array.
     """
-    docs = documents.select("path", F.try_parse_json("text").alias("doc"))
-    usable = _is(F.col("doc"), "OBJECT")
-    heads = docs.select("path", usable.alias("usable"), *_extracted(F.col("doc"), HEADER_PATHS))
+    doc = F.try_parse_json("text")
+    usable = doc.isNotNull() & F.startswith(F.ltrim("text", F.lit(" \t\n\r")), F.lit("{"))
+    docs = documents.select("path", doc.alias("doc"), usable.alias("usable"))
+    heads = _extracted(docs, F.col("doc"), HEADER_PATHS, ["path", "usable"])
     found = F.when(F.col("usable"), _header()).otherwise(F.array(F.lit("root must be an object")))
     header = heads.select("path", F.lit(None).cast("int").alias("place"), F.explode(found).alias("violation"))
 
-    array = docs.where(usable).select("path", F.try_variant_get("doc", "$.stocks", "array<variant>").alias("stocks"))
-    symbol = F.try_variant_get(F.col("s"), "$.symbol", "variant")
-    text = lambda v: F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+    array = docs.where("usable").select("path", F.try_variant_get("doc", "$.stocks", "array<variant>").alias("stocks"))
+    text = lambda v: F.when(_kind_of(v) == '"', F.try_variant_get(v, "$", "string"))
     symbols = F.transform("stocks", lambda s: text(F.try_variant_get(s, "$.symbol", "variant")))
     each = array.select("path", symbols.alias("symbols"), F.posexplode("stocks").alias("place", "s"))
-    repeats = F.coalesce((F.trim(text(symbol)) != "") & (F.array_position("symbols", text(symbol)) - 1 < F.col("place")), F.lit(False))
-    stocks = each.select("path", "place", repeats.alias("repeats"), *_extracted(F.col("s"), STOCK_PATHS))
+    symbol = F.get("symbols", F.col("place"))
+    repeats = F.coalesce((F.trim(symbol) != "") & (F.array_position("symbols", symbol) - 1 < F.col("place")), F.lit(False))
+    stocks = _extracted(each.select("path", "place", "s", repeats.alias("repeats")), F.col("s"), STOCK_PATHS, ["path", "place", "repeats"])
     return header.unionByName(stocks.select("path", "place", F.explode(_stock()).alias("violation")))
 
 
