@@ -5,7 +5,7 @@ values exchange sorted, Golomb-coded hashes and bitmaps (``exchange``).
 
 1. Of each window of ``window`` words the phrase of half its length with the least hash is its anchor. Two equal windows
    have the same anchor. Blocks send their distinct anchors, about a tenth of all phrases, and learn which of them recur.
-2. Each block compiles its recurring anchors to an Aho-Corasick automaton (pyahocorasick, over word numbers), its shard of
+2. Each block compiles its recurring anchors to an Aho-Corasick automaton (pyahocorasick, over words' numbers), its shard of
    all recurring phrases, and streams its documents through it. A window that holds no occurrence of one can't recur. The
    other windows' hashes (96 bits) are exchanged.
 3. The automaton locates the same occurrences again, and each word of a window around one that another place holds too goes.
@@ -31,6 +31,8 @@ from .wordhash import Words
 
 #: UTF-8 bytes of text that a block holds, about.
 BLOCK_BYTES = 3_000_000
+#: Letters that words' numbers are spelled with.
+_ALPHABET = 64
 
 
 def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,24 +78,30 @@ class Block:
         times = np.searchsorted(order, self.anchors, "right") - np.searchsorted(order, self.anchors)
         return self.anchors[answered(back, len(self.anchors)) | (times > 1)]
 
+    def _spelled(self) -> tuple[str, int]:
+        """All words as a string of a few letters each, the same for equal words: an automaton's nodes have few children then."""
+        kinds, number = np.unique(self.words.hash, return_inverse=True)
+        letters = 1
+        while _ALPHABET**letters < len(kinds):
+            letters += 1
+        digits = number[:, None] // _ALPHABET ** np.arange(letters) % _ALPHABET
+        return (digits.ravel() + 256).astype("<u4").tobytes().decode("utf-32-le"), letters
+
     def located(self, recurring: np.ndarray) -> np.ndarray:
         """Places in ``at`` of the windows that hold a recurring phrase where the automaton finds it."""
         if not len(recurring):
             return np.empty(0, np.int64)
         order = np.argsort(self.phrase_hash, kind="stable")
         first = self.start[order[np.searchsorted(self.phrase_hash[order], recurring)]]
-        _, number = np.unique(self.words.hash, return_inverse=True)
-        number = (number + 1).tolist()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for a in first.tolist():
-            automaton.add_word(tuple(number[a : a + self.phrase]), 1)
+        text, letters = self._spelled()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        size = letters * self.phrase
+        for a in (first * letters).tolist():
+            automaton.add_word(text[a : a + size], 1)
         automaton.make_automaton()
-        found = np.zeros(len(number) + 1, np.int64)
-        bounds = self.words.first_word.tolist()
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a >= self.window:
-                ends = [end for end, _ in automaton.iter(tuple(number[a:b]))]
-                found[np.array(ends, np.int64) + (a + 1 - self.phrase) + 1] = 1
+        ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) + 1
+        found = np.zeros(len(self.words.starts) + 1, np.int64)
+        found[ends[ends % letters == 0] // letters - self.phrase + 1] = 1  # a match across texts is in no window
         before = np.cumsum(found)
         return np.flatnonzero(before[self.at + self.window - self.phrase + 1] > before[self.at])
 
