@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .common import documents, labels, shared_path, small_batches
 from .exact_dedup import exact_duplicates
+from .line_dedup import line_dedup
 from .oph import fingerprint_documents
 from .packing import pack_documents
 from .quality import quality_scores
@@ -65,6 +66,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir), min_chars=40, min_docs=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +83,7 @@ def with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Calla
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: with_small_batches(f)
-    for f in (op1_token_counts, op2_quality, op3_toxicity, op4_exact_dedup, op5_packing, op6_fingerprints, op7_bpe, op8_substring_dedup, op9_simhash, op10_token_files, pipeline)
+    for f in (op1_token_counts, op2_quality, op3_toxicity, op4_exact_dedup, op5_packing, op6_fingerprints, op7_bpe, op8_substring_dedup, op9_simhash, op10_token_files, op12_line_dedup, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -105,4 +110,12 @@ kept AS (
 SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id""",
+    "op12_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), e' \t\n\x0b\x0c\r') AS key
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+frequent AS (SELECT key, max(doc_id) AS stays FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(stays) FILTER (WHERE doc_id <> stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays IS NULL OR doc_id = stays), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent USING (key) GROUP BY doc_id""",
 }
