@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ball_kmeans import ball_kmeans
 from .bpe import bpe_round_trip
 from .common import documents, labels, shared_path, small_batches
 from .exact_dedup import exact_duplicates
@@ -70,6 +71,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir), min_chars=40, min_docs=5)
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, size=64, scale=64)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,10 +88,35 @@ def with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Calla
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: with_small_batches(f)
-    for f in (op1_token_counts, op2_quality, op3_toxicity, op4_exact_dedup, op5_packing, op6_fingerprints, op7_bpe, op8_substring_dedup, op9_simhash, op10_token_files, op12_line_dedup, pipeline)
+    for f in (op1_token_counts, op2_quality, op3_toxicity, op4_exact_dedup, op5_packing, op6_fingerprints, op7_bpe, op8_substring_dedup, op9_simhash, op10_token_files, op12_line_dedup, op13_centroid_clustering, pipeline)
 }
 
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """Every vector against every centroid: ``rounds`` times, and once more."""
+    steps = [r"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, v AS c FROM kept QUALIFY j < 16)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (
+  SELECT r, vec_id, v, j, d FROM (
+    SELECT r, vec_id, v, j, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept CROSS JOIN c{n})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, j) = 1)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (
+  SELECT j, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY j, i) GROUP BY j),
+c{n + 1} AS (SELECT c{n}.j, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} ON c{n}.j = m{n}.j)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clustering": _kmeans_sql(3),
     "op4_exact_dedup": r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id,
