@@ -8,7 +8,7 @@ from .fixtures import collected, empty, nasty
 
 def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "substring_dedup", "packing"]
-    assert sum(n.startswith("op") for n in queries.QUERIES) == 12 and "pipeline" in queries.QUERIES
+    assert sum(n.startswith("op") for n in queries.QUERIES) == 13 and "pipeline" in queries.QUERIES
 
 
 def test_run_equals_the_stages_one_by_one(spark, tiny):

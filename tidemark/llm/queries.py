@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ball_kmeans import ball_kmeans
 from .bpe import bpe_round_trip
 from .common import documents, labels, shared_path, small_batches
+from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
 from .line_dedup import line_dedup
 from .oph import fingerprint_documents
@@ -67,6 +68,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir), min_docs=3, top=200)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir), min_chars=40, min_docs=5)
 
@@ -88,7 +93,7 @@ def with_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Calla
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: with_small_batches(f)
-    for f in (op1_token_counts, op2_quality, op3_toxicity, op4_exact_dedup, op5_packing, op6_fingerprints, op7_bpe, op8_substring_dedup, op9_simhash, op10_token_files, op12_line_dedup, op13_centroid_clustering, pipeline)
+    for f in (op1_token_counts, op2_quality, op3_toxicity, op4_exact_dedup, op5_packing, op6_fingerprints, op7_bpe, op8_substring_dedup, op9_simhash, op10_token_files, op11_source_divergence, op12_line_dedup, op13_centroid_clustering, pipeline)
 }
 
 
@@ -140,6 +145,34 @@ kept AS (
 SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grp AS (
+  SELECT g.lang, g.source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) USING (lang, source)),
+own AS (
+  SELECT grp.lang, grp.source, term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (grp.n + grp.v) AS p
+  FROM grp JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+whole AS (
+  SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM own GROUP BY lang, term)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "BINARY") AS rank FROM found)
+WHERE part = 'pair' OR rank <= 200""",
     "op12_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, i, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), e' \t\n\x0b\x0c\r') AS key
