@@ -66,10 +66,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_co
 
 def _dropped(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     lines = written(_lines(rows, min_chars), "lines")
-    keys = lines.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= min_docs)
+    # Written, so that both sides of the join are plain exchanges: adaptive execution can split a frequent key then.
+    keys = written(lines.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= min_docs), "line-keys")
     slot = F.pmod(F.xxhash64(*_ROW, "at"), F.ceil(F.col("lines") / SLOT_LINES))
     repeated = written(lines.join(keys, _KEY).select(*lines.columns, slot.alias("slot")), "repeated-lines")
-    gone = repeated.join(_staying(repeated, min_docs), _KEY).where("document != stays")
+    gone = repeated.join(written(_staying(repeated, min_docs), "line-keys"), _KEY).where("document != stays")
     return gone.groupBy(*_ROW).agg(F.sort_array(F.collect_set("at")).alias("at")).select(*_ROW, _runs(F.col("at")).alias("runs"))
 
 
