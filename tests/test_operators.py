@@ -190,24 +190,69 @@ def test_calibration(spark):
     assert calibration.calibration_error(bins).first()[0] == pytest.approx(0, abs=1e-9)
 
 
-def test_fits_of_many_rows_are_of_all_rows(spark):
-    """Beyond max_rows: repeated vectors are weighted, many different ones are summed step by step, counts are of all."""
+def curve_by_hand(x, y, iterations, rate, penalty=0.0):
+    slope, intercept = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    for _ in range(iterations):
+        error = 1 / (1 + np.exp(-(intercept + slope * x))) - y
+        slope, intercept = slope - rate * ((error * x).mean() + penalty * slope), intercept - rate * error.mean()
+    return slope, intercept
+
+
+def temperature_by_hand(p, y, iterations, rate):
+    z, at = np.log(np.clip(p, 1e-12, 1 - 1e-12)), 0.0
+    for _ in range(iterations):
+        w = np.exp(z / np.exp(at))
+        w /= w.sum(1, keepdims=True)
+        gradient = (z[np.arange(len(y)), y] - (w * z).sum(1)).mean() / np.exp(at)
+        at = float(np.clip(at - rate * gradient, np.log(0.01), np.log(100)))
+    return np.exp(at)
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 4])
+def test_fits_in_barrier_tasks_are_of_all_rows(spark, tasks):
+    """Whatever tasks hold which rows, the steps are those over all rows, in one job and without a sample."""
     rng = np.random.default_rng(8)
     cycle = ("UP", "FLAT", "DOWN")
     few = [[0.7, 0.2, 0.1], [0.2, 0.5, 0.3], [0.1, 0.3, 0.6]]
     rows = [(i, "day", *few[rng.integers(3)], cycle[rng.integers(3)]) for i in range(300)] + [(i, "week", *rng.dirichlet([2, 2, 2]).tolist(), cycle[rng.integers(3)]) for i in range(300)]
+    rows += [(i, None, *few[0], cycle[i % 2]) for i in range(9)] + [(1, "bad", 0.9, 0.9, 0.9, "UP"), (2, "day", 0.5, 0.5, 0.0, "up?")]
     df = spark.createDataFrame(rows, "id int, horizon string, p_up double, p_flat double, p_down double, actual string")
-    whole = {r.horizon: r for r in calibration.fit(df, ["horizon"], iterations=6).collect()}
-    for key, most in (("day", 50), ("week", 50)):
-        r = calibration.fit(df.where(F.col("horizon") == key), ["horizon"], iterations=6, max_rows=most).first()
-        assert r.fitted_rows == 300 and np.allclose(r.slopes, whole[key].slopes) and np.allclose(r.shifts, whole[key].shifts) and r.temperature == pytest.approx(whole[key].temperature)
-        _, _, *p, actual = zip(*[x for x in rows if x[1] == key])
-        a, b = calibration.curve(calibration._logits(np.array(p[0])), np.array([x == "UP" for x in actual], float), 6, 0.05, 0.0)
-        assert r.slopes[0] == pytest.approx(a) and r.shifts[0] == pytest.approx(b)
+    found = {r.horizon: r for r in calibration.fit(df, ["horizon"], iterations=30, penalty=0.01, tasks=tasks).collect()}
+    again = {r.horizon: r for r in calibration.coefficients(df, ["horizon"], iterations=40, tasks=tasks).collect()}
+    assert set(found) == {"day", "week", None} and set(again) == {"day", "week", None, "bad"} and again["bad"].up_slope is None
+    for key in found:
+        own = [(p, cycle.index(a)) for _, k, *p, a in rows if k == key and a in cycle]
+        p, y = np.array([o[0] for o in own]), np.array([o[1] for o in own])
+        x = np.log(p / (1 - p))
+        curves = [curve_by_hand(x[:, k], (y == k).astype(float), 30, 0.05, 0.01) for k in range(3)]
+        raw = np.stack([1 / (1 + np.exp(-(b + a * x[:, k]))) for k, (a, b) in enumerate(curves)], 1)
+        r = found[key]
+        assert r.fitted_rows == len(own) and np.allclose(r.slopes, [a for a, _ in curves], atol=1e-9) and np.allclose(r.shifts, [b for _, b in curves], atol=1e-9)
+        assert r.temperature == pytest.approx(temperature_by_hand(raw / raw.sum(1, keepdims=True), y, 30, 0.05))
+        for k, c in enumerate(("up", "flat", "down")):
+            if 0 < (y == k).sum() < len(y):
+                assert np.allclose([again[key][f"{c}_slope"], again[key][f"{c}_intercept"]], curve_by_hand(x[:, k], (y == k).astype(float), 40, 0.03), atol=1e-9)
+            else:
+                assert again[key][f"{c}_slope"] is None and again[key][f"{c}_intercept"] is None
     x = rng.normal(size=(400, 2)) * [1, 5]
-    train = spark.createDataFrame([(0, f"i{k}", T0, float(a), float(b), cycle[k % 3]) for k, (a, b) in enumerate(x)], "fold int, id string, as_of timestamp_ntz, a double, b double, actual string")
-    m = models.logistic(train, ["a", "b"], iterations=5, max_rows=40).first()
-    assert m.row_count == 400 and np.allclose(m.means, x.mean(0)) and np.allclose(m.scales, x.std(0))
+    train = spark.createDataFrame([(k % 2, f"i{k}", T0, float(a), float(b), cycle[k % 3]) for k, (a, b) in enumerate(x)] + [(7, "i", T0, 1.0, 2.0, "UP"), (8, "i", T0, None, 2.0, "UP")], "fold int, id string, as_of timestamp_ntz, a double, b double, actual string")
+    m = {r.fold: r for r in models.logistic(train, ["a", "b"], iterations=5, tasks=tasks).collect()}
+    assert set(m) == {0, 1, 7} and m[7].scales == [1.0, 1.0] and m[0].row_count == 200
+    assert np.allclose(m[1].means, x[1::2].mean(0)) and np.allclose(m[1].scales, x[1::2].std(0))
+    assert models.logistic(train.limit(0), ["a"], iterations=5).count() == 0
+
+
+def test_a_fit_is_one_job(spark):
+    train = spark.createDataFrame([(k % 2, float(k), ("UP", "FLAT")[k % 2]) for k in range(40)], "fold int, a double, actual string")
+    spark.sparkContext.setJobGroup("one-fit", "")
+    try:
+        assert models.logistic(train, ["a"], iterations=20, tasks=2).count() == 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("one-fit") for s in tracker.getJobInfo(j).stageIds}
+    barriers = [s for s in stages if (info := tracker.getStageInfo(s)) and info.numTasks == 2]
+    assert len(tracker.getJobIdsForGroup("one-fit")) <= 4 and barriers  # exchanges of the plan are jobs of their own; no job for each step
 
 
 def test_ablation_rejects_bad_experiments():

@@ -5,126 +5,118 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import CLASSES, clip, likeliest, logit, percent, ratio, sigmoid, softmax, valid_probabilities
+from ..functions.values import CLASSES, clip, finite, likeliest, logit, percent, ratio, sigmoid, softmax, valid_probabilities
+from ..sources.shared import checkpointed
+from . import models
+from .descent import Share, fit_by_key
 
 P = ("p_up", "p_flat", "p_down")
 
 
-def _logits(p: np.ndarray) -> np.ndarray:
-    q = np.clip(p, 1e-12, 1 - 1e-12)
-    return np.log(q / (1 - q))
+def _curves(share: Share, x: np.ndarray, y: np.ndarray, n: np.ndarray, iterations: int, rate: float, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope and intercept of a logistic curve for each key and class, by full-batch steps from slope 0 and the smoothed prevalence.
 
+    ``n``: the rows that each entry stands for. Also returns the number of rows of each key and of each of its classes.
+    """
+    sums = share.total(lambda _, s: np.append(n[s] @ y[s], n[s].sum()))
+    rows, of_class = sums[:, -1:], sums[:, :-1]
+    a, b = np.zeros_like(of_class), np.log((of_class + 0.5) / (rows - of_class + 0.5))
+
+    def gradient(i: int, s: slice) -> np.ndarray:
+        error = n[s, None] * (0.5 * (1 + np.tanh((b[i] + a[i] * x[s]) / 2)) - y[s])
+        return np.stack([(error * x[s]).sum(0), error.sum(0)])
 
-def curve(x: np.ndarray, y: np.ndarray, iterations: int, rate: float, penalty: float, n: np.ndarray | None = None) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve by full-batch steps from slope 0 and the smoothed prevalence; ``n``: rows that each entry stands for."""
-    n = np.ones(len(y)) if n is None else n
-    total = n.sum()
-    slope, level = 0.0, ((n * y).sum() + 0.5) / (total + 1)
-    intercept = float(np.log(level / (1 - level)))
     for _ in range(iterations):
-        error = n * (0.5 * (1 + np.tanh((intercept + slope * x) / 2)) - y)
-        slope, intercept = slope - rate * (float((error * x).sum() / total) + penalty * slope), intercept - rate * float(error.sum() / total)
-    return slope, intercept
+        g = share.total(gradient) / np.maximum(rows, 1)[:, None]
+        a, b = a - rate * (g[:, 0] + penalty * a), b - rate * g[:, 1]
+    return a, b, sums
+
 
+def _temperatures(share: Share, z: np.ndarray, y: np.ndarray, n: np.ndarray, rows: np.ndarray, iterations: int, rate: float) -> np.ndarray:
+    """A temperature of the log probabilities ``z`` for each key, by steps on its logarithm, kept within 0.01 and 100."""
+    at = np.zeros(len(rows))
+
+    def gradient(i: int, s: slice) -> np.ndarray:
+        warm = z[s] / np.exp(at[i])
+        w = np.exp(warm - warm.max(1, keepdims=True, initial=-np.inf))
+        return np.array([(n[s, None] * (y[s] - w / w.sum(1, keepdims=True)) * z[s]).sum()])
 
-def temperature(p: np.ndarray, y: np.ndarray, iterations: int, rate: float, n: np.ndarray | None = None) -> float:
-    """Temperature of the log probabilities by steps on its logarithm, kept within 0.01 and 100; ``n`` as in ``curve``."""
-    n = np.ones(len(y)) if n is None else n
-    z, at = np.log(np.clip(p, 1e-12, 1 - 1e-12)), 0.0
     for _ in range(iterations):
-        s = z / np.exp(at)
-        w = np.exp(s - s.max(1, keepdims=True))
-        expected = (w / w.sum(1, keepdims=True) * z).sum(1)
-        at = float(np.clip(at - rate * (n * (z[np.arange(len(y)), y] - expected)).sum() / n.sum() / np.exp(at), np.log(0.01), np.log(100)))
-    return float(np.exp(at))
+        at = np.clip(at - rate * share.total(gradient)[:, 0] / np.maximum(rows, 1) / np.exp(at), np.log(0.01), np.log(100))
+    return np.exp(at)
+
 
+def _weighted(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Equal rows as one with their number, and the columns of a fit: logits, classes, and a number that is 0 for invalid rows.
 
-def _fit_by_sums(weighted: DataFrame, keys: list[str], iterations: int, rate: float, penalty: float, with_temperature: bool, schema: str) -> DataFrame:
-    """``fit`` of rows with their number ``n``, by one grouped sum over all of them for each step of all keys."""
-    spark, classes = weighted.sparkSession, range(len(CLASSES))
-    kept = weighted.persist(StorageLevel.DISK_ONLY)
+    Invalid rows are told apart in the columns: as a filter, the test would be pushed below a model's scores and compute them
+    many times over.
+    """
+    held = rows.groupBy(*keys, *P, "actual").agg(F.count(F.lit(1)).alias("n"))
     ok = valid_probabilities(*[F.col(c) for c in P]) & F.coalesce(F.col("actual").isin(*CLASSES), F.lit(False))
-    held = kept.where(ok).withColumns({f"x{k}": logit(F.col(c)) for k, c in enumerate(P)} | {f"y{k}": (F.col("actual") == c).cast("double") for k, c in enumerate(CLASSES)})
-    kinds = ", ".join(f"`_{k}` {weighted.schema[k].dataType.simpleString()}" for k in keys)
-
-    def sums(state: dict[tuple, list[float]], made) -> dict[tuple, np.ndarray]:
-        """The sums of the columns ``made`` returns, by key, where ``s`` holds the state of the row's key."""
-        at = spark.createDataFrame([(*k, [float(v) for v in s]) for k, s in state.items()], f"{kinds}, s array<double>")
-        met = held.join(F.broadcast(at), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        found = made(met)
-        return {tuple(r)[: len(keys)]: np.array(tuple(r)[len(keys) :]) for r in found[0].groupBy(*keys).agg(*[F.sum(F.col("n") * v) for v in found[1]]).collect()}
-
-    def chances(at: Column) -> list[Column]:
-        return [sigmoid(F.get(at, F.lit(2 * k + 1)) + F.get(at, F.lit(2 * k)) * F.col(f"x{k}")) for k in classes]
-
-    def slopes_and_shifts(met: DataFrame):
-        errors = [p - F.col(f"y{k}") for k, p in enumerate(chances(F.col("s")))]
-        return met, [v for k in classes for v in (errors[k] * F.col(f"x{k}"), errors[k])]
-
-    def warmth(met: DataFrame):
-        met = met.withColumns({f"r{k}": p for k, p in enumerate(chances(F.col("s")))})
-        met = met.withColumns({f"z{k}": F.log(clip(F.col(f"r{k}") / (F.col("r0") + F.col("r1") + F.col("r2")))) for k in classes})
-        w = softmax(*[F.col(f"z{k}") / F.exp(F.get("s", F.lit(6))) for k in classes])
-        met = met.withColumns({f"w{k}": v for k, v in enumerate(w)})
-        return met, [sum((F.col(f"y{k}") - F.col(f"w{k}")) * F.col(f"z{k}") for k in classes)]
-
-    counts = {tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in held.groupBy(*keys).agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f"y{k}")) for k in classes]).collect()}
-    state = {key: [v for y in ys for v in (0.0, float(np.log((y + 0.5) / (n - y + 0.5))))] for key, (n, *ys) in counts.items()}
-    for _ in range(iterations if state else 0):
-        for key, g in sums(state, slopes_and_shifts).items():
-            n, s = counts[key][0], state[key]
-            state[key] = [v - rate * (g[i] / n + (0.0 if i % 2 else penalty * v)) for i, v in enumerate(s)]
-    state = {key: [*s, 0.0] for key, s in state.items()}
-    for _ in range(iterations if state and with_temperature else 0):
-        for key, g in sums(state, warmth).items():
-            at = state[key][6]
-            state[key][6] = float(np.clip(at - rate * g[0] / counts[key][0] / np.exp(at), np.log(0.01), np.log(100)))
-    kept.unpersist()
-    return spark.createDataFrame([(*key, [float(v) for v in s[0:6:2]], [float(v) for v in s[1:6:2]], float(np.exp(s[6])), counts[key][0]) for key, s in state.items()], schema)
-
-
-def fit(rows: DataFrame, keys: list[str], iterations: int = 500, rate: float = 0.05, penalty: float = 0.0, with_temperature: bool = True, max_rows: int = 1_000_000) -> DataFrame:
-    """A calibrator for each key (such as fold and horizon) from rows (p_up, p_flat, p_down, actual).
-
-    Rows with invalid vectors or classes are left out; a key without valid rows has no calibrator. They are told apart
-    inside the fit: as a filter, the test would be pushed below the model's scores and compute them many times over.
-    Equal rows are one row with their number. Where a key has more than ``max_rows`` different ones, which one task
-    should not hold, each step is a grouped sum over all rows instead.
+    columns = {f"x{k}": F.when(ok, logit(F.col(c))).otherwise(0.0) for k, c in enumerate(P)} | {f"y{k}": ok & (F.col("actual") == c) for k, c in enumerate(CLASSES)}
+    return held, columns | {"n": F.when(ok, F.col("n")).otherwise(0)}
+
+
+def _arrays(share: Share) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    stack = lambda c: np.stack([share.values[f"{c}{k}"] for k in range(len(CLASSES))], 1).astype(float)
+    return stack("x"), np.nan_to_num(stack("y")), share.values["n"].astype(float)
+
+
+def fit(rows: DataFrame, keys: list[str], iterations: int = 500, rate: float = 0.05, penalty: float = 0.0, with_temperature: bool = True, tasks: int | None = None) -> DataFrame:
+    """A calibrator for each key (such as fold and horizon) from all its rows (p_up, p_flat, p_down, actual), in one job.
+
+    Rows with invalid vectors or classes are left out; a key without valid rows has no calibrator. Equal rows are one row
+    with their number; tasks sum the gradients of what they hold among themselves (``descent``).
     """
     if rate <= 0 or penalty < 0:
         raise ValueError("the rate must be positive and the penalty not negative")
-    held = rows.groupBy(*keys, *P, "actual").agg(F.count(F.lit(1)).alias("n"))
-    code = {c: i for i, c in enumerate(CLASSES)}
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    if not held.groupBy(*keys).agg(F.count(F.lit(1)).alias("vectors")).where(F.col("vectors") > max_rows).isEmpty():
-        return _fit_by_sums(held, keys, iterations, rate, penalty, with_temperature, f"{kinds}, slopes array<double>, shifts array<double>, temperature double, fitted_rows bigint")
+    def program(share: Share) -> list[dict | None]:
+        x, y, n = _arrays(share)
+        a, b, sums = _curves(share, x, y, n, iterations, rate, penalty)
+        raw = np.empty_like(x)
+        for i, s in enumerate(share.slices):
+            raw[s] = 0.5 * (1 + np.tanh((b[i] + a[i] * x[s]) / 2))
+        z = np.log(np.clip(raw / raw.sum(1, keepdims=True), 1e-12, 1 - 1e-12))
+        t = _temperatures(share, z, y, n, sums[:, -1], iterations, rate) if with_temperature else np.ones(len(a))
+        return [{"slopes": a[i].tolist(), "shifts": b[i].tolist(), "temperature": float(t[i]), "fitted_rows": int(sums[i, -1])} if sums[i, -1] else None for i in range(len(a))]
+
+    return fit_by_key(*_in(rows, keys), program, "slopes array<double>, shifts array<double>, temperature double, fitted_rows bigint", tasks)
+
+
+def coefficients(rows: DataFrame, keys: list[str], iterations: int = 1000, rate: float = 0.03, tasks: int | None = None) -> DataFrame:
+    """Each class' calibration slope and intercept: its logistic curve fitted anew to the judged rows, by key.
+
+    1 and 0 say that probabilities are as the outcomes. Null for a class that all valid rows of a key have, or none.
+    """
+
+    def program(share: Share) -> list[dict | None]:
+        a, b, sums = _curves(share, *_arrays(share), iterations, rate, 0.0)
+        out = []
+        for i in range(len(a)):
+            told = {}
+            for k, c in enumerate(CLASSES):
+                both = 0 < sums[i, k] < sums[i, -1]
+                told |= {f"{c.lower()}_slope": float(a[i, k]) if both else None, f"{c.lower()}_intercept": float(b[i, k]) if both else None}
+            out.append(told)
+        return out
+
+    return fit_by_key(*_in(rows.withColumn("actual", F.upper("actual")), keys), program, ", ".join(f"{c.lower()}_{v} double" for c in CLASSES for v in ("slope", "intercept")), tasks)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = pdf[list(P)].astype(float)
-        ok = ((whole >= 0) & (whole <= 1)).all(axis=1) & ((whole.sum(axis=1) - 1).abs() <= 1e-9) & pdf["actual"].isin(CLASSES)
-        pdf = pdf[ok].sort_values([*P, "actual"])
-        if pdf.empty:
-            return pd.DataFrame({**{k: pdf[k] for k in keys}, "slopes": [], "shifts": [], "temperature": [], "fitted_rows": []})
-        p, y, n = pdf[list(P)].to_numpy(), pdf["actual"].map(code).to_numpy(), pdf["n"].to_numpy(float)
-        x = _logits(p)
-        curves = [curve(x[:, k], (y == k).astype(float), iterations, rate, penalty, n) for k in range(len(CLASSES))]
-        raw = np.stack([0.5 * (1 + np.tanh((b + a * x[:, k]) / 2)) for k, (a, b) in enumerate(curves)], 1)
-        t = temperature(raw / raw.sum(1, keepdims=True), y, iterations, rate, n) if with_temperature else 1.0
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "slopes": [[a for a, _ in curves]], "shifts": [[b for _, b in curves]], "temperature": [t], "fitted_rows": [int(n.sum())]})
 
-    return held.groupBy(*keys).applyInPandas(one, f"{kinds}, slopes array<double>, shifts array<double>, temperature double, fitted_rows bigint")
+def _in(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    held, columns = _weighted(rows, keys)
+    return held, keys, columns
 
 
 def apply(rows: DataFrame, calibrators: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with calibrated probabilities, decision and reason; ABSTAIN without a valid vector or a calibrator."""
     ok = valid_probabilities(*[F.col(c) for c in P])
-    held = rows.join(F.broadcast(calibrators), keys, "left")
+    held = rows.join(calibrators, keys, "left")
     raw = [sigmoid(F.get("shifts", F.lit(k)) + F.get("slopes", F.lit(k)) * logit(F.col(c))) for k, c in enumerate(P)]
     held = held.withColumns({f"_r{k}": v for k, v in enumerate(raw)})
     total = F.col("_r0") + F.col("_r1") + F.col("_r2")
@@ -137,6 +129,18 @@ def apply(rows: DataFrame, calibrators: DataFrame, keys: list[str]) -> DataFrame
     return held.withColumn("decision", decision).drop("_r0", "_r1", "_r2", "slopes", "shifts", "temperature", "fitted_rows")
 
 
+def to_documents(calibrators: DataFrame) -> DataFrame:
+    """Fitted calibrators as JSON texts of their own kind and version."""
+    return models.to_documents(calibrators, "calibrator")
+
+
+def from_documents(documents: DataFrame, keys: str) -> DataFrame:
+    """Calibrators from JSON texts, by the ``keys`` of this DDL; only whole ones: three finite slopes and shifts and a temperature above 0."""
+    found = models.from_documents(documents, "calibrator", f"{keys}, slopes array<double>, shifts array<double>, temperature double, fitted_rows bigint")
+    whole = lambda c: (F.size(c) == len(CLASSES)) & F.forall(c, lambda v: finite(v).isNotNull())
+    return found.where(whole("slopes") & whole("shifts") & (finite(F.col("temperature")) > 0))
+
+
 def fit_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """For each key the rows given to a fit, those that it takes, and those that it rejects."""
     ok = valid_probabilities(*[F.col(c) for c in P]) & F.coalesce(F.col("actual").isin(*CLASSES), F.lit(False))
@@ -144,10 +148,10 @@ def fit_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("rejected_rows", F.col("eligible_rows") - F.col("fitted_rows"))
 
 
-def report(rows: DataFrame, calibrators: DataFrame, keys: list[str]) -> DataFrame:
-    """``scores`` of calibrated rows beside each class' slope and intercept and the temperature, by key."""
-    curves = [F.get(f"{a}s", F.lit(k)).alias(f"{c.lower()}_{b}") for a, b in (("slope", "slope"), ("shift", "intercept")) for k, c in enumerate(CLASSES)]
-    return scores(rows, keys).join(calibrators.select(*keys, *curves, "temperature"), keys, "left")
+def report(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``scores`` of judged rows beside each class' calibration slope and intercept, refitted on them, by key."""
+    judged = checkpointed(rows)
+    return scores(judged, keys).join(coefficients(judged, keys), keys, "left") if keys else scores(judged, keys).join(coefficients(judged, keys), how="left")
 
 
 def sourced(members: DataFrame, source: Callable[[DataFrame, DataFrame], DataFrame], splits: tuple[str, ...] = ("validation", "test")) -> DataFrame:

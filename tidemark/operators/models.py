@@ -1,7 +1,7 @@
 """Transparent models, fitted on train rows of each fold: class shares, standardiser, ridge, and multinomial logistic.
 
 Everything that is a sum is one grouped aggregate. The logistic fit is full-batch gradient descent, whose iterates are
-the definition of its result; one task fits one fold, over at most ``max_rows`` rows of it.
+the definition of its result; it is one barrier stage over all train rows (``descent``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import CLASSES, classify, finite, likeliest, ratio, softmax
+from .descent import Share, fit_by_key
 
 
 def vector(names: list[str]) -> Column:
@@ -81,63 +82,51 @@ def dot(x: Column, w: Column) -> Column:
 
 def score_ridge(rows: DataFrame, models: DataFrame, names: list[str], keys: list[str], decision: float = 0.0) -> DataFrame:
     """Rows with predicted_target and predicted; null where a feature is missing or there is no model."""
-    held = rows.join(F.broadcast(models), keys, "left")
+    held = rows.join(models, keys, "left")
     guess = F.col("intercept") + dot(standardised(vector(names)), F.col("coefficients"))
     return held.withColumn("predicted_target", guess).withColumn("predicted", classify(F.col("predicted_target"), decision)).drop("means", "scales", "coefficients", "intercept", "row_count")
 
 
-def descend(x: np.ndarray, y: np.ndarray, penalty: float, iterations: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression from zero by full-batch steps; the penalty is on weights, not on intercepts."""
-    w, b, onehot = np.zeros((len(CLASSES), x.shape[1])), np.zeros(len(CLASSES)), np.eye(len(CLASSES))[y]
-    for _ in range(iterations):
-        z = x @ w.T + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        error = p / p.sum(1, keepdims=True) - onehot
-        w, b = w - rate * (error.T @ x / len(x) + penalty * w), b - rate * error.mean(0)
-    return w, b
+def logistic(train: DataFrame, names: list[str], key: str = "fold", penalty: float = 0.01, iterations: int = 500, rate: float = 0.1, tasks: int | None = None) -> DataFrame:
+    """Multinomial logistic models by key, on standardised features: full-batch steps from zero over all train rows.
 
-
-def bounded(rows: DataFrame, keys: list[str], names: list[str], max_rows: int) -> DataFrame:
-    """``rows``, but of keys with more than about ``max_rows`` rows those with the least hash of ``names``.
-
-    For iterative fits only, so that one task's rows fit in memory; smaller keys keep every row.
-    """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-    share = F.pmod(F.xxhash64(*names), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(float(max_rows)) / F.col("_n")
-    return rows.join(F.broadcast(counts), keys, "left").where(F.col("_n").isNull() | share).drop("_n")
-
-
-def logistic(train: DataFrame, names: list[str], key: str = "fold", penalty: float = 0.01, iterations: int = 500, rate: float = 0.1, max_rows: int = 1_000_000) -> DataFrame:
-    """Multinomial logistic models by key, on standardised features.
-
-    Means, scales and row_count are of all train rows. The steps of a key with more than ``max_rows`` train rows go over
-    a sample, as in ``bounded``.
+    One job, in which tasks sum gradients among themselves (``descent``): first the features' sums and squares about their
+    means, then one step after another. The penalty is on weights, not on intercepts.
     """
     if rate <= 0 or penalty < 0:
         raise ValueError("the rate must be positive and the penalty not negative")
     rows = train.withColumn("_vector", vector(names)).where(F.col("_vector").isNotNull() & F.col("actual").isin(*CLASSES))
-    rows = rows.select(key, "as_of", F.col("id").cast("string").alias("id"), F.col("_vector").alias("x"), "actual")
-    parts = [F.get("x", F.lit(i)) for i in range(len(names))]
-    whole = rows.groupBy(F.col(key).alias("_key")).agg(F.array(*[F.avg(v) for v in parts]).alias("_mean"), F.array(*[F.stddev_pop(v) for v in parts]).alias("_sd"), F.count(F.lit(1)).alias("_rows"))
-    sample = bounded(rows, [key], ["id"], max_rows)
-    sample = sample.join(F.broadcast(whole), sample[key].eqNullSafe(whole["_key"])).drop("_key")
-    code = {c: i for i, c in enumerate(CLASSES)}
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["as_of", "id"])
-        x = np.stack(pdf["x"].to_numpy())
-        mean, sd = np.array(pdf["_mean"].iloc[0]), np.array(pdf["_sd"].iloc[0])
-        scale = np.where(sd > 0, sd, 1.0)
-        w, b = descend((x - mean) / scale, pdf["actual"].map(code).to_numpy(), penalty, iterations, rate)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "means": [mean.tolist()], "scales": [scale.tolist()], "coefficients": [w.tolist()], "intercepts": [b.tolist()], "row_count": [pdf["_rows"].iloc[0]]})
-
-    kind = train.schema[key].dataType.simpleString()
-    return sample.groupBy(key).applyInPandas(fit, f"{key} {kind}, means array<double>, scales array<double>, coefficients array<array<double>>, intercepts array<double>, row_count bigint")
+    columns = {f"x{i}": F.get("_vector", F.lit(i)) for i in range(len(names))} | {f"y{k}": F.col("actual") == c for k, c in enumerate(CLASSES)}
+
+    def descend(share: Share) -> list[dict]:
+        x = np.stack([share.values[f"x{i}"] for i in range(len(names))], 1).astype(float)
+        y = np.stack([share.values[f"y{k}"] for k in range(len(CLASSES))], 1).astype(float)
+        sums = share.total(lambda _, s: np.append(x[s].sum(0), s.stop - s.start))
+        n, mean = sums[:, -1], sums[:, :-1] / sums[:, -1:]
+        spread = np.sqrt(share.total(lambda i, s: ((x[s] - mean[i]) ** 2).sum(0)) / n[:, None])
+        scale = np.where(spread > 1e-13 * np.abs(mean), spread, 1.0)
+        for i, s in enumerate(share.slices):
+            x[s] = (x[s] - mean[i]) / scale[i]
+        w, b = np.zeros((len(n), len(CLASSES), len(names))), np.zeros((len(n), len(CLASSES)))
+
+        def gradient(i: int, s: slice) -> np.ndarray:
+            z = x[s] @ w[i].T + b[i]
+            p = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
+            error = p / p.sum(1, keepdims=True) - y[s]
+            return np.concatenate([error.T @ x[s], error.sum(0)[:, None]], 1)
+
+        for _ in range(iterations):
+            g = share.total(gradient) / n[:, None, None]
+            w, b = w - rate * (g[:, :, :-1] + penalty * w), b - rate * g[:, :, -1]
+        return [{"means": mean[i].tolist(), "scales": scale[i].tolist(), "coefficients": w[i].tolist(), "intercepts": b[i].tolist(), "row_count": int(n[i])} for i in range(len(n))]
+
+    schema = "means array<double>, scales array<double>, coefficients array<array<double>>, intercepts array<double>, row_count bigint"
+    return fit_by_key(rows, [key], columns, descend, schema, tasks)
 
 
 def score_logistic(rows: DataFrame, models: DataFrame, names: list[str], key: str = "fold") -> DataFrame:
     """Rows with p_up, p_flat, p_down and the likeliest class; all null where a feature is missing or there is no model."""
-    held = rows.join(F.broadcast(models), key, "left").withColumn("_z", standardised(vector(names)))
+    held = rows.join(models, key, "left").withColumn("_z", standardised(vector(names)))
     logits = [F.get("intercepts", F.lit(k)) + dot(F.col("_z"), F.get("coefficients", F.lit(k))) for k in range(len(CLASSES))]
     held = held.withColumns({f"_l{k}": v for k, v in enumerate(logits)})
     p = softmax(*[F.col(f"_l{k}") for k in range(len(CLASSES))])

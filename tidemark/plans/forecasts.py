@@ -168,51 +168,6 @@ def model_ridge_1d(spark, d):
     return m.select("fold", round6(F.get("means", F.lit(0))).alias("mean_step"), F.round(F.get("coefficients", F.lit(0)), 5).alias("coefficient"), round6("intercept").alias("intercept"), "row_count")
 
 
-NAMES = ["momentum", "step", "span"]
-
-
-@query()
-def model_ridge_predictions(spark, d):
-    """No SQL: a linear solve of several unknowns; tested against numpy."""
-    m = _members(spark, d)
-    rows = m.where("split = 'test'")
-    return rounded(models.score_ridge(rows, models.ridge(_train(spark, d), NAMES, ["fold"]), NAMES, ["fold"], 0.05).select("fold", "id", "actual", "predicted_target", "predicted"))
-
-
-@query()
-def model_logistic_fit(spark, d):
-    """No SQL: 500 descent steps; tested against numpy."""
-    m = models.logistic(_train(spark, d), NAMES)
-    return m.select("fold", "row_count", F.transform("intercepts", lambda v: F.round(v, 6)).alias("intercepts"), F.transform("coefficients", lambda w: F.transform(w, lambda v: F.round(v, 6))).alias("coefficients"))
-
-
-@query()
-def model_logistic_documents(spark, d):
-    """Models written as JSON, read back, and read by version."""
-    m = models.logistic(_train(spark, d), NAMES)
-    return models.from_documents(models.to_documents(m, "logistic"), "logistic", "fold int, row_count bigint, intercepts array<double>").select("fold", "row_count", F.transform("intercepts", lambda v: F.round(v, 6)).alias("intercepts"))
-
-
-@query()
-def walk_forward_calibration(spark, d):
-    """Models fitted on train, calibrators on validation, metrics on test rows, by fold. No SQL: iterative fits."""
-    m = _members(spark, d)
-    scored = models.score_logistic(m.where("split <> 'train' and kept"), models.logistic(_train(spark, d), NAMES), NAMES)
-    fitted = calibration.fit(scored.where("split = 'validation'"), ["fold", "horizon"], iterations=200)
-    out = calibration.apply(scored.where("split = 'test'"), fitted, ["fold", "horizon"])
-    judged = out.select("fold", "actual", F.col("c_up").alias("p_up"), F.col("c_flat").alias("p_flat"), F.col("c_down").alias("p_down"))
-    return rounded(calibration.scores(judged, ["fold"]))
-
-
-@query()
-def platt_fit(spark, d):
-    """Calibrators by source length class. No SQL: descent steps; tested against numpy."""
-    rows = T.probabilities(spark, d).withColumns({"actual": F.upper("actual"), "horizon": F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")})
-    f = calibration.fit(rows, ["horizon"], iterations=200)
-    six = lambda c: F.transform(c, lambda v: F.round(v, 6)).alias(c)
-    return f.select("horizon", six("slopes"), six("shifts"), round6("temperature").alias("temperature"), "fitted_rows")
-
-
 _PR = f"WITH {T.PROBS}, x AS (SELECT *, greatest(p_up, p_flat, p_down) AS conf, (CASE WHEN p_up >= p_flat AND p_up >= p_down THEN 'UP' WHEN p_flat >= p_down THEN 'FLAT' ELSE 'DOWN' END = actual)::INT::DOUBLE AS hit, CASE actual WHEN 'UP' THEN p_up WHEN 'FLAT' THEN p_flat ELSE p_down END AS own, (actual = 'UP')::INT AS yu, (actual = 'FLAT')::INT AS yf, (actual = 'DOWN')::INT AS yd FROM probs)"
 _CL = lambda p: f"least(greatest({p}, 1e-12), 1 - 1e-12)"
 _BL = lambda p, y: f"-({y} * ln({_CL(p)}) + (1 - {y}) * ln({_CL(f'1 - {p}')}))"

@@ -1,8 +1,8 @@
 """All named queries of the engine, and the SQL that gives the same rows where SQL can."""
 
-from . import forecasts, market, news, reports, views
+from . import fits, forecasts, market, news, reports, views
 
-PARTS = (market, forecasts, news, views, reports)
+PARTS = (market, forecasts, fits, news, views, reports)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
 FLAGSHIP = "wf_fold_metrics"
