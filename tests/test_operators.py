@@ -3,14 +3,16 @@
 import json
 import random
 from datetime import datetime, timedelta
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import values as V
-from tidemark.operators import ablation, bars, calibration, contract, evaluation, features, folds, health, models, policy, quality, regimes, sentiment, series, views
+from tidemark.operators import ablation, bars, calibration, contract, evaluation, features, folds, health, models, policy, quality, regimes, sentiment, series, states, views
 from tidemark.sources import archive, feeds, quotes, snapshots
 
 T0 = datetime(2026, 1, 5)
@@ -75,6 +77,48 @@ def test_features_by_hand_and_nothing_ahead_is_read(spark):
     assert early.bar_count == 0 and early.return_1 is None and early.volatility_5 is None
 
 
+def ticks_of_symbols(spark, counts, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = [(s, T0 + timedelta(minutes=int(m)), *sorted(rng.uniform(50, 150, 3).round(3).tolist()), float(rng.integers(-1, 50))) for s, n in counts.items() for m in rng.choice(60 * 24 * 40, n, replace=False)]
+    b = spark.createDataFrame([(s, t, c, h, lo, c, v) for s, t, lo, c, h, v in rows], "symbol string, bar_time timestamp_ntz, open double, high double, low double, close double, volume double")
+    asked = [(s, T0 + timedelta(minutes=int(m) - 2000), 100.0, 5.0) for s in [*counts, "none"] for m in rng.choice(60 * 24 * 44, 150, replace=False)]
+    return b, spark.createDataFrame(asked, "symbol string, quote_time timestamp_ntz, price double, quote_volume double")
+
+
+@pytest.mark.parametrize(("bucket", "block"), [(86_400, 64), (7200, 22), (10**7, 300), (600, 4096)])
+def test_blocks_of_time_know_what_whole_symbols_do(spark, bucket, block):
+    b, q = ticks_of_symbols(spark, {"A": 900, "B": 30, "C": 1, "D": 3})
+    columns = [c for c in features.trailing(b).columns if c not in ("symbol", "bar_time")]
+    nan = float("nan")
+    at = lambda df, *keys: {tuple(r[k] for k in keys): [nan if r[c] is None else r[c] for c in df.columns if c not in keys] for r in df.collect()}
+    whole, split = at(features.trailing(b), "symbol", "bar_time"), at(features.trailing_in_blocks(b, bucket_seconds=bucket, block_bars=block).select("symbol", "bar_time", *columns), "symbol", "bar_time")
+    assert whole.keys() == split.keys()
+    for k in whole:
+        assert split[k] == pytest.approx(whole[k], rel=1e-9, nan_ok=True)
+    whole, split = at(features.features(b, q), "symbol", "quote_time"), at(features.features(b, q, bucket_seconds=bucket), "symbol", "quote_time")
+    assert whole.keys() == split.keys() and len(split) == 5 * 150
+    for k in whole:
+        assert split[k] == pytest.approx(whole[k], rel=1e-9, nan_ok=True)
+
+
+def test_no_task_needs_a_whole_symbol(spark):
+    b, q = ticks_of_symbols(spark, {"hot": 8000, **{f"s{i}": 160 for i in range(100)}})
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows_here = lambda frames: [pd.DataFrame({"n": [sum(len(f) for f in frames)]})]
+        largest = lambda df, read: df.select(read).mapInPandas(rows_here, "n bigint").agg(F.max("n")).first()[0]
+        assert largest(features.trailing(b), "volatility_20") >= 8000
+        assert largest(features.trailing_in_blocks(b, block_bars=256), "volatility_20") < 1600
+        asked = q.union(b.where("symbol = 'hot'").select("symbol", "bar_time", "close", "volume"))
+        assert largest(features.as_of(b, asked, ["close"]), "close") >= 8000
+        assert largest(features.as_of_in_blocks(b, asked, ["close"]), "close") < 1600
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_series_need_one_more_value_than_the_horizon(spark):
     rows = [("x", T0 + timedelta(days=i), float(v), 0) for i, v in enumerate([100, 110, 121])] + [("x", T0 + timedelta(days=9), 999.0, 0), ("x", None, 5.0, 0), ("x", T0, -1.0, 0)]
     p = spark.createDataFrame(rows, "series string, observed_at timestamp_ntz, value double, _ord int")
@@ -132,6 +176,44 @@ def test_splits_of_a_fold_never_meet(spark):
         assert order.where("train_hi >= test_lo").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_train_states_are_those_of_the_members(spark, seed):
+    rng = random.Random(seed)
+    late = {i: rng.choice((0, 1800, 7200, 40_000)) for i in range(60)}
+    rows = wf_rows(spark, 60, late).withColumn("x", F.when(F.col("id") != "r7", F.col("x"))).withColumn("z", F.col("x") * F.col("x") + F.hash("id") % 5)
+    limit = rng.choice((None, 9 * 3600, 5400))
+    mode = "expanding" if limit is None else rng.choice(("expanding", "rolling"))
+    plan = folds.FoldPlan(T0 + timedelta(hours=rng.randrange(-3, 9)), 5400, 7200, step_seconds=rng.choice((1800, 5400, 7200)), mode=mode, train_seconds=limit, purge_seconds=rng.randrange(3) * 1800, embargo_seconds=1800)
+    latest = T0 + timedelta(hours=59)
+    parts = [states.steps(rows.where(F.hash("id") % 3 == k), plan, latest, ["x", "z"], "target") for k in (-2, -1, 0, 1, 2)]
+    s = states.train_states(states.merged(reduce(lambda a, b: a.unionByName(b), parts)), plan, latest).cache()
+    m = folds.membership(rows, plan, latest)
+    counts = {r.fold: (r.train_count, r.purged_train_count) for r in folds.fold_counts(m).collect()}
+    got = {r.fold: r for r in s.collect()}
+    assert len(got) == len(plan.boundaries(latest)) and all((got[f].row_count, got[f].purged_count) == counts.get(f, (0, 0)) for f in got)
+    train = m.where("split = 'train' and kept")
+    for r in folds.train_state(m).collect():
+        assert got[r.fold].last_direction == r.last_direction
+    shares = {r.fold: r for r in states.class_shares(s).collect()}
+    assert {f: (r.direction, r.p_up) for f, r in shares.items()} == {r.fold: (r.direction, r.p_up) for r in models.class_shares(train, ["fold"]).collect()}
+    scales = {r.fold: r for r in states.standardiser(s, ["x", "z"]).collect()}
+    for r in models.standardiser(train, ["x", "z"], ["fold"]).collect():
+        assert tuple(scales[r.fold]) == pytest.approx(tuple(r), abs=1e-7)
+    lines = {r.fold: r for r in states.ridge(s, ["x", "z"]).collect()}
+    for r in models.ridge(train, ["x", "z"], ["fold"]).collect():
+        assert lines[r.fold].coefficients == pytest.approx(r.coefficients, abs=1e-6) and lines[r.fold].intercept == pytest.approx(r.intercept)
+
+
+def test_states_copy_no_row_into_the_folds(spark):
+    rows = wf_rows(spark, 200)
+    plan = folds.FoldPlan(T0, 3600, 3600, step_seconds=3600)
+    latest = T0 + timedelta(hours=199)
+    assert len(plan.boundaries(latest)) > 150
+    changes = states.steps(rows, plan, latest, ["x"], "target")
+    assert changes.groupBy().agg(F.sum("row_count")).first()[0] == 198  # each row enters once, but the last two, which no boundary follows
+    assert folds.membership(rows, plan, latest).where("split = 'train'").count() > 10_000
+
+
 def test_predictors_and_missing_features(spark):
     m = wf_rows(spark).withColumns({"fold": F.lit(0), "split": F.when(F.col("as_of") < T0 + timedelta(hours=5), "train").otherwise("test"), "kept": F.lit(True)})
     m = m.withColumn("x", F.when(F.col("id") != "r7", F.col("x")))

@@ -47,12 +47,8 @@ def ridge_sums(train: DataFrame, names: list[str], keys: list[str], target: str)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("y"), *[F.sum(c).alias(f"x_{i}") for i, c in enumerate(names)], *[F.sum(F.col(c) * F.col(target)).alias(f"xy_{i}") for i, c in enumerate(names)], *products)
 
 
-def ridge(train: DataFrame, names: list[str], keys: list[str], target: str = "target", penalty: float = 0.01) -> DataFrame:
-    """Standardised ridge coefficients of each key: means, scales, coefficients, intercept, row_count.
-
-    One aggregate makes the sums; solving d equations for each key is a small task over one row of sums.
-    """
-    d, kept = len(names), [f for f in ridge_sums(train.limit(0), names, keys, target).schema if f.name in keys]
+def solved(sums: DataFrame, d: int, keys: list[str], penalty: float) -> DataFrame:
+    """Ridge models from the sums of ``ridge_sums``: d equations for each key, a small task over one row of sums."""
 
     def solve(frames):
         for f in frames:
@@ -68,8 +64,13 @@ def ridge(train: DataFrame, names: list[str], keys: list[str], target: str = "ta
                 out.append({**{k: r[k] for k in keys}, "means": mean.tolist(), "scales": scale.tolist(), "coefficients": b.tolist(), "intercept": r["y"] / n, "row_count": n})
             yield pd.DataFrame(out, columns=[*keys, "means", "scales", "coefficients", "intercept", "row_count"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return ridge_sums(train, names, keys, target).mapInPandas(solve, f"{head}{', ' if head else ''}means array<double>, scales array<double>, coefficients array<double>, intercept double, row_count bigint")
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema if f.name in keys)
+    return sums.mapInPandas(solve, f"{head}{', ' if head else ''}means array<double>, scales array<double>, coefficients array<double>, intercept double, row_count bigint")
+
+
+def ridge(train: DataFrame, names: list[str], keys: list[str], target: str = "target", penalty: float = 0.01) -> DataFrame:
+    """Standardised ridge coefficients of each key: means, scales, coefficients, intercept, row_count; one aggregate makes the sums."""
+    return solved(ridge_sums(train, names, keys, target), len(names), keys, penalty)
 
 
 def standardised(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.values import CLASSES, round6
-from ..operators import calibration, models
+from ..operators import calibration, folds, models, states
 from ..sources.shared import checkpointed
 from . import forecasts as FC
 from . import tables as T
@@ -203,3 +203,43 @@ def model_ridge_predictions(spark, d):
     m = FC.members(spark, d)
     found = models.ridge(m.where("split = 'train' and kept"), NAMES, ["fold"])
     return rounded(models.score_ridge(m.where("split = 'test'"), found, NAMES, ["fold"], 0.05).select("fold", "id", "actual", "predicted_target", "predicted"))
+
+
+#: Train sets of all folds as states: from the first row on, and over the six days before each boundary.
+EXPANDING = folds.FoldPlan(FC.PLAN.train_end, validation_seconds=2 * FC.DAY, test_seconds=2 * FC.DAY, step_seconds=FC.DAY, purge_seconds=3600)
+_STATES = """st AS (SELECT fold, count(*) FILTER (kept) AS row_count, count(*) FILTER (NOT kept) AS purged_count, count(*) FILTER (kept AND actual = 'UP') AS up_count,
+  count(*) FILTER (kept AND actual = 'FLAT') AS flat_count, count(*) FILTER (kept AND actual = 'DOWN') AS down_count, arg_max(actual, (as_of, id)) FILTER (kept) AS last_direction,
+  count(*) FILTER (kept AND ok) AS known_count, avg(step) FILTER (kept AND ok) AS m, stddev_pop(step) FILTER (kept AND ok) AS s, avg(span) FILTER (kept AND ok) AS mean_span, stddev_pop(span) FILTER (kept AND ok) AS scale_span
+  FROM (SELECT *, step IS NOT NULL AND span IS NOT NULL AS ok FROM tm) GROUP BY fold),
+r1 AS (SELECT fold, covar_pop(step, target) / stddev_pop(step) / 1.01 AS coefficient, avg(target) AS intercept FROM tm WHERE kept AND step IS NOT NULL AND target IS NOT NULL GROUP BY fold)
+SELECT fold, row_count, purged_count, CASE WHEN up_count >= greatest(flat_count, down_count) THEN 'UP' WHEN flat_count >= down_count THEN 'FLAT' ELSE 'DOWN' END AS direction, last_direction, up_count, flat_count, down_count,
+  known_count, round(m, 6) AS mean_step, round(s, 6) AS scale_step, round(mean_span, 6) AS mean_span, round(scale_span, 6) AS scale_span, round(coefficient, 5) AS coefficient, round(intercept, 6) AS intercept
+FROM st JOIN r1 USING (fold)"""
+_EXPANDING = f"""WITH {T.LABELLED}, fx AS (SELECT i::INT AS fold, TIMESTAMP '2024-01-08' + i * INTERVAL 1 DAY AS b FROM range(1000) t(i)
+ WHERE TIMESTAMP '2024-01-08' + i * INTERVAL 1 DAY + INTERVAL 2 DAY <= (SELECT max(as_of) FROM lab)),
+tm AS (SELECT fold, lab.*, horizon_end <= b AS kept FROM lab JOIN fx ON as_of < b - INTERVAL 1 HOUR), {_STATES}"""
+
+
+def _states(spark, d, plan):
+    rows = T.labelled(spark, d)
+    latest, names = FC.latest_of(rows), ["step", "span"]
+    s = checkpointed(states.train_states(states.steps(rows, plan, latest, names, "target"), plan, latest))
+    alone = checkpointed(states.train_states(states.steps(rows, plan, latest, ["step"], "target"), plan, latest))
+    shares = states.class_shares(s).select("fold", "direction")
+    scales = states.standardiser(s, names).drop("row_count")
+    line = states.ridge(alone, ["step"]).select("fold", F.get("coefficients", F.lit(0)).alias("coefficient"), "intercept")
+    six = [round6(c).alias(c) for c in ("mean_step", "scale_step", "mean_span", "scale_span")]
+    counts = ["row_count", "purged_count", "direction", "last_direction", "up_count", "flat_count", "down_count", "known_count"]
+    return s.join(shares, "fold").join(scales, "fold").join(line, "fold").select("fold", *counts, *six, F.round("coefficient", 5).alias("coefficient"), round6("intercept").alias("intercept"))
+
+
+@query(_EXPANDING)
+def expanding_train_states(spark, d):
+    """Train sets from the first row on: classes, scales and a ridge model of every fold, no row copied into the folds."""
+    return _states(spark, d, EXPANDING)
+
+
+@query(f"WITH {FC.MEMBERS}, tm AS (SELECT * FROM mem WHERE split = 'train'), {_STATES}")
+def rolling_train_states(spark, d):
+    """The same of a train span that moves on: what leaves it is taken away."""
+    return _states(spark, d, FC.PLAN)
