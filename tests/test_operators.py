@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import values as V
 from tidemark.operators import ablation, bars, calibration, contract, evaluation, features, folds, health, models, policy, quality, regimes, sentiment, series, states, views
+from tidemark.operators.components import components
 from tidemark.sources import archive, feeds, quotes, snapshots
 
 T0 = datetime(2026, 1, 5)
@@ -416,6 +417,48 @@ def test_first_wins_is_greedy(spark):
     assert got == sorted(greedy(rows)) and ("x", 3) in got and ("x", 2) not in got
 
 
+@pytest.mark.parametrize("walked", [1, 5, 50_000])
+def test_first_wins_of_components_and_in_rounds(spark, walked):
+    rng = random.Random(walked)
+    rows = [(rng.choice("abc"), i, rng.choice([None, *[f"u{k}" for k in range(150)]]), f"t{rng.randrange(150)}") for i in range(400)]
+    rows += [("d", i, f"v{i}", f"s{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "layer string, _ord bigint, url string, normalized_title string").withColumn("normalized_publisher", F.lit("p")).repartition(3)
+    assert sorted((r.layer, r._ord) for r in sentiment.first_wins(df, walked).collect()) == sorted(greedy(rows))
+    assert sentiment.first_wins(df.limit(0), walked).count() == 0
+
+
+def test_a_long_chain_settles_in_few_rounds(spark):
+    rows = [("x", i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "layer string, _ord bigint, url string, normalized_title string").withColumn("normalized_publisher", F.lit("p"))
+    got = sorted((r.layer, r._ord) for r in sentiment.first_wins(df).collect())
+    assert got == sorted(greedy(rows)) == [("x", i) for i in range(0, 5000, 2)]
+    links = spark.range(5000).select(F.hash("id").cast("bigint").alias("a"), F.hash(F.col("id") + 1).cast("bigint").alias("b"))
+    found = components(links, rounds=20)
+    assert found.count() == 5001 and found.select("root").distinct().count() == 1
+
+
+def test_components_by_hand(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, i) for i in range(1001, 1400)] + [(5000, i) for i in range(4000, 4300)] + [(7, 7), (9999, 9999), (None, 3), (4, None)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in links:
+        if a is not None and b is not None and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.key: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {k: find(k) for k in root}
+
+
+def test_articles_are_ranked_by_time_title_and_publisher(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i, T0 + timedelta(days=rng.randrange(4)), rng.choice("xyz"), rng.choice("pq")) for i in range(200)]
+    df = spark.createDataFrame(rows, "layer string, _ord bigint, published_at timestamp_ntz, normalized_title string, publisher string").repartition(3)
+    got = {r._ord: r.place for r in sentiment.ranked(df).collect()}
+    for layer in "ab":
+        own = sorted((r for r in rows if r[0] == layer), key=lambda r: r[2:5], reverse=True)
+        assert {r[1]: i + 1 for i, r in enumerate(own)} == {r[1]: got[r[1]] for r in own}  # ties keep the order of their feed
+
+
 def test_quality_statuses(spark):
     b = made_bars(spark, [100, 101, 102])
     at = T0 + timedelta(hours=2, minutes=2)

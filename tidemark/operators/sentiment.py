@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 from ..functions.values import age_seconds
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, written
+from .components import components
 
 
 def normalised(articles: DataFrame, as_of, issuer_domains: Sequence[str] = ()) -> DataFrame:
@@ -36,35 +39,94 @@ def keys(articles: DataFrame) -> DataFrame:
     return articles.select("layer", "_ord", F.xxhash64("url").alias("u"), F.col("url").isNotNull().alias("has_url"), F.xxhash64("normalized_title", F.coalesce("normalized_publisher", F.lit(""))).alias("t"))
 
 
-def first_wins(articles: DataFrame, rounds: int = 1000) -> DataFrame:
+#: Articles of a component that one task walks through.
+WALKED = 50_000
+
+
+def first_wins(articles: DataFrame, walked: int = WALKED, rounds: int = 1000) -> DataFrame:
     """Articles of each layer that repeat neither key of one kept before them, in order of ``_ord``.
 
-    A dropped article's keys do not count, so the outcome depends on the order. It is found in rounds: an article that is
-    the first of all that still hold its address, and of all that hold its title, is kept; those that share a key with a
-    kept one go; the rest is looked at again. A round is a grouped minimum and joins by key, written to the shared
-    folder; there are as many as the longest chain of articles that drop each other in turn. Equal pairs of keys are one
-    row.
+    A dropped article's keys do not count, so the outcome depends on the order, but only among articles that keys tie
+    together, directly or through others. Equal pairs of keys are one row; rows whose keys nobody shares are kept at once.
+    The rest falls into components, whose rows meet in one task: it walks through all of its components in order, row by row,
+    with the keys of kept rows in two sets. Components of more than ``walked`` rows are settled by ``_in_rounds`` instead.
     """
     k = keys(articles)
     firsts = k.groupBy("layer", "u", "has_url", "t").agg(F.min("_ord").alias("_ord"))
-    url = F.when(F.col("has_url"), F.struct(F.lit("u").alias("kind"), F.col("u").alias("key")))
-    title = F.struct(F.lit("t").alias("kind"), F.col("t").alias("key"))
-    left = checkpointed(firsts.select("layer", "_ord", F.explode(F.array_compact(F.array(url, title))).alias("k")))
-    kept = None
+    url, title = F.xxhash64("layer", F.lit("u"), "u"), F.xxhash64("layer", F.lit("t"), "t")
+    rows = checkpointed(firsts.select("layer", "_ord", F.when(F.col("has_url"), url).alias("u"), title.alias("t")))
+    counted = rows.select(F.explode(F.array_compact(F.array("u", "t"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = checkpointed(counted.select("key", F.lit(True).alias("shared")))
+    with_url = rows.join(shared.withColumnRenamed("key", "u").withColumnRenamed("shared", "u_shared"), "u", "left")
+    told = checkpointed(with_url.join(shared.withColumnRenamed("key", "t").withColumnRenamed("shared", "t_shared"), "t", "left"))
+    tied = F.coalesce("u_shared", "t_shared", F.lit(False))
+    kept, rest = told.where(~tied).select("layer", "_ord"), told.where(tied).select("layer", "_ord", "u", "t")
+    of_key = components(rest.select(F.coalesce("u", "t").alias("a"), F.col("t").alias("b")))
+    placed = rest.join(of_key.withColumnRenamed("key", "t"), "t")
+    sizes = checkpointed(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
+    placed = checkpointed(placed.join(sizes, "root"))
+    kept = kept.unionByName(_walked(placed.where(F.col("n") <= walked)))
+    large = placed.where(F.col("n") > walked)
+    if not sizes.where(F.col("n") > walked).isEmpty():
+        kept = kept.unionByName(_in_rounds(large, rounds))
+    return articles.join(checkpointed(kept), ["layer", "_ord"], "left_semi")
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """Of (layer, _ord, u, t, root) what is kept when each task walks through its components in order."""
+
+    def walk(batches):
+        urls, titles = set(), set()
+        for batch in batches:
+            u, t = batch.column("u").to_pylist(), batch.column("t").to_pylist()
+            stays = []
+            for a, b in zip(u, t, strict=True):
+                stays.append(b not in titles and (a is None or a not in urls))
+                if stays[-1]:
+                    titles.add(b)
+                    urls.add(a)
+            yield batch.select(["layer", "_ord"]).filter(pa.array(stays, pa.bool_()))
+
+    schema = T_.StructType([rows.schema["layer"], rows.schema["_ord"]])
+    return rows.repartition("root").sortWithinPartitions("_ord").select("layer", "_ord", "u", "t").mapInArrow(walk, schema)
+
+
+def _in_rounds(rows: DataFrame, rounds: int) -> DataFrame:
+    """The same of components that are too large for one task: in each round whoever is first by both keys stays.
+
+    An article that is the first of all that still hold its address, and of all that hold its title, is kept; those that
+    share a key with a kept one go; the rest is looked at again. A round is a grouped minimum and joins by key, written to the
+    shared folder; there are as many as the longest chain of articles that drop each other in turn.
+    """
+    left, kept = written(rows.select("layer", "_ord", F.explode(F.array_compact(F.array("u", "t"))).alias("k")), "articles"), None
     for _ in range(rounds):
-        least = left.groupBy("layer", "k").agg(F.min("_ord").alias("least"))
-        held = left.join(least, ["layer", "k"])
-        each = held.groupBy("layer", "_ord").agg(F.bool_and(F.col("_ord") == F.col("least")).alias("wins"))
-        now = checkpointed(each.where("wins").select("layer", "_ord"))
+        least = written(left.groupBy("k").agg(F.min("_ord").alias("least")), "articles")
+        each = left.join(least, "k").groupBy("layer", "_ord").agg(F.bool_and(F.col("_ord") == F.col("least")).alias("wins"))
+        now = written(each.where("wins").select("layer", "_ord"), "articles")
         kept = now if kept is None else kept.union(now)
-        taken = left.join(now, ["layer", "_ord"], "left_semi").select("layer", "k").distinct()
-        gone = left.join(taken, ["layer", "k"], "left_semi").select("layer", "_ord").distinct()
-        left = checkpointed(left.join(gone, ["layer", "_ord"], "left_anti"))
+        taken = written(left.join(now, ["layer", "_ord"], "left_semi").select("k").distinct(), "articles")
+        gone = written(left.join(taken, "k", "left_semi").select("layer", "_ord").distinct(), "articles")
+        left = written(left.join(gone, ["layer", "_ord"], "left_anti"), "articles")
         if left.isEmpty():
-            return articles.join(kept, ["layer", "_ord"], "left_semi")
+            return kept
     raise RuntimeError(f"articles are not settled after {rounds} rounds")
 
 
+def ranked(articles: DataFrame) -> DataFrame:
+    """``articles`` with ``place``: from 1 in each layer, the newest first, then by title and publisher, descending.
+
+    Articles are sorted by ranges of that order, numbered within each range, and ranges carry on from the ones before, so a
+    layer of any size is numbered without meeting in one task.
+    """
+    order = [F.col("layer"), F.desc("published_at"), F.desc("normalized_title"), F.desc("publisher"), F.col("_ord")]
+    held = checkpointed(articles.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("layer").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("layer", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("layer", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("layer", "_range").orderBy(*order[1:]))
+    return held.withColumn("_in", inside).join(starts, ["layer", "_range"]).withColumn("place", F.col("_start") + F.col("_in")).drop("_in", "_start", "_range")
+
+
 def _highest(column: str):
     rank = F.max(F.when(F.col(column) == "high", 2).when(F.col(column) == "medium", 1).otherwise(0))
     return F.when(rank == 2, "high").when(rank == 1, "medium").otherwise("low")

@@ -74,15 +74,55 @@ def articles_eligible(spark, d):
     return _normal(spark, d).select(F.col("_ord").alias("page_id"), "novelty", "tone", "publisher", "url")
 
 
-@query()
+#: Titles as keys: other characters than letters, digits and _ as one space, in small letters (as good as folded, for these pages).
+_KEYED = f"""{_HAY}, {_URLS}, ar AS (SELECT page_id, 'L' || (page_id % 4) AS layer, title, nullif(trim(lower(regexp_replace(title, '[^\\pL\\pN_]+', ' ', 'g'))), '') AS tk,
+  CASE WHEN page_id % 3 = 0 THEN 'Paper ' || (page_id % 9) ELSE host END AS publisher, url, {_TONE} AS tone, {_IMP} AS impact, CASE WHEN 200 - page_id <= 24 THEN 'high' WHEN 200 - page_id <= 72 THEN 'medium' ELSE 'low' END AS novelty
+  FROM hy JOIN cu USING (page_id) JOIN (SELECT page_id, {_ENT} AS title FROM pages) USING (page_id))"""
+
+
+def walk_sql(rows: str) -> str:
+    """CTE ``wk``: the walk over a table (layer, page_id, url, tk, publisher) of each layer in order, one article a step."""
+    return f"""od AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY page_id) AS rn, tk || '|' || lower(publisher) AS tp FROM {rows} WHERE tk IS NOT NULL),
+wk AS (
+ SELECT DISTINCT layer, 0::BIGINT AS rn, false AS stays, []::VARCHAR[] AS urls, []::VARCHAR[] AS titles FROM od
+ UNION ALL
+ SELECT layer, rn, stays, CASE WHEN stays THEN list_append(urls, url) ELSE urls END, CASE WHEN stays THEN list_append(titles, tp) ELSE titles END
+ FROM (SELECT od.layer, od.rn, od.url, od.tp, wk.urls, wk.titles, NOT list_contains(wk.urls, od.url) AND NOT list_contains(wk.titles, od.tp) AS stays FROM wk JOIN od ON od.layer = wk.layer AND od.rn = wk.rn + 1)),
+kp AS (SELECT od.* FROM od JOIN wk USING (layer, rn) WHERE stays)"""
+
+
+_GREEDY = f"""WITH RECURSIVE {_KEYED}, gr AS (SELECT * REPLACE (regexp_replace(url, '/\\d+', '', 'g') AS url) FROM ar), {walk_sql('gr')}"""
+
+
+@query(f"{_GREEDY} SELECT layer, page_id AS _ord, url, title FROM kp")
 def article_dedup_greedy(spark, d):
-    """No SQL: whether a row stays depends on those kept before it; tested against a plain walk."""
-    return sentiment.first_wins(sentiment.normalised(T.articles(spark, d).withColumn("url", F.regexp_replace("url", r"/\d+", "")), F.lit("2100-01-01").cast("timestamp"))).select("layer", "_ord", "url", "title")
+    """Whether a row stays depends on those kept before it."""
+    return _greedy(spark, d).select("layer", "_ord", "url", "title")
+
+
+def _greedy(spark, d):
+    return sentiment.first_wins(sentiment.normalised(T.articles(spark, d).withColumn("url", F.regexp_replace("url", r"/\d+", "")), F.lit("2100-01-01").cast("timestamp")))
+
+
+@query(f"{_GREEDY} SELECT layer, page_id AS _ord, row_number() OVER (PARTITION BY layer ORDER BY page_id DESC, tk DESC, publisher DESC) AS place FROM kp")
+def articles_ranked(spark, d):
+    """What is kept, in each layer the newest first."""
+    return sentiment.ranked(_greedy(spark, d)).select("layer", "_ord", "place")
+
+
+_TOP = lambda c: f"CASE max(CASE {c} WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
+
+
+def layers_sql(rows: str, names: str) -> str:
+    """The roll-up of a table (layer, tone, impact, novelty) for each of ``names``, as ``sentiment.layers`` gives it."""
+    n = lambda t: f"count(*) FILTER (tone = '{t}')"
+    return f"""SELECT layer, coalesce(article_count, 0) AS article_count, positive, negative, neutral, tone, impact, novelty, CASE WHEN article_count IS NULL THEN 'unavailable' ELSE 'available' END AS status
+FROM (VALUES {names}) v(layer) LEFT JOIN (SELECT layer, count(*) AS article_count, {n('positive')} AS positive, {n('negative')} AS negative, {n('neutral')} AS neutral,
+ CASE WHEN {n('positive')} > {n('negative')} THEN 'positive' WHEN {n('positive')} < {n('negative')} THEN 'negative' ELSE 'neutral' END AS tone, {_TOP('impact')} AS impact, {_TOP('novelty')} AS novelty FROM {rows} GROUP BY layer) USING (layer)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_KEYED}, el AS (SELECT * FROM ar WHERE page_id <= 200), {walk_sql('el')} {layers_sql('kp', "('L0'), ('L1'), ('L2'), ('L3'), ('L4')")}")
 def sentiment_layers(spark, d):
-    """No SQL, as it stands on ``article_dedup_greedy``."""
     kept = sentiment.first_wins(_normal(spark, d))
     return sentiment.layers(kept, ["L0", "L1", "L2", "L3", "L4"])
 

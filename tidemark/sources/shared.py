@@ -30,3 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, written and read again, so that a lost executor costs one read."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: for loops, as what a checkpoint is known to hold of the
+    plan before it (constraints on columns) is handed on, and grows with every turn.
+    """
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
