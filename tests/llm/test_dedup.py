@@ -14,13 +14,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, simhash
-from tidemark.llm.components import connected_components
 from tidemark.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from tidemark.llm.exchange import golomb_decode, golomb_encode
 from tidemark.llm.near_copies import near_copy_links
 from tidemark.llm.oph import BINS, PROBES, fingerprint_documents, with_next
 from tidemark.llm.simhash import drop_near_duplicates, near_duplicates, near_links
 from tidemark.llm.substring_dedup import Block, drop_repeated_passages, remove_repeated_passages
+from tidemark.operators.components import components as connected_components
 
 from .fixtures import collected, empty, id_texts, nasty, ordered, passage, rows
 
@@ -91,6 +91,22 @@ def test_joins_of_texts_by_broadcast_bitmap_and_shuffle(spark, monkeypatch, most
     assert rest.columns == texts.columns and rest.count() == 3001 - 429 and rest.where("id is null or id % 7 = 0").count() == 1
 
 
+@pytest.mark.parametrize("most", [(0, 1 << 40), (0, 0), (1 << 40, 0)])
+def test_columns_of_any_name_and_type_are_carried(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most[0])
+    monkeypatch.setattr(common, "BITMAP_ROWS", most[1])
+    long = passage(61, 40)
+    texts = [(1, long), (2, long.upper()), (3, long + " more"), (4, "other"), (4, "other"), (None, "x"), (None, "X"), (5, None)]
+    schema = "doc_id bigint, text string, _place int, _word string, _bits int, _tidemark_key string, _tidemark_key_place int, row string, norm string, meta map<string,int>, held struct<a: int>, `b.c` int"
+    docs = spark.createDataFrame([(*r, 5, "w", 6, "k", 7, "r", "n", {"a": i}, (i,), 8) for i, r in enumerate(texts)], schema).repartition(2)
+    for drop, stays in ((drop_exact_duplicates, [2, 3, 4, 5, None]), (drop_near_duplicates, [1, 4, 4, 5, None, None]), (drop_repeated_passages, [1, 2, 3, 4, 4, 5, None, None])):
+        out = drop(docs)
+        assert out.schema == docs.schema
+        got = out.collect()
+        assert sorted((r.doc_id for r in got), key=lambda i: (i is None, i)) == stays
+        assert all((r._place, r._word, r._bits, r._tidemark_key, r.row, r["b.c"]) == (5, "w", 6, "k", "r", 8) and r.meta["a"] == r.held.a for r in got)
+
+
 def removed_by_hand(known, window):
     words = [WORD.findall(t or "") for _, t in known]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))

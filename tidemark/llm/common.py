@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A column beside those of the documents.
 KEY = "_tidemark_key"
+#: And those of a bitmap of keys; the columns of documents are one, ``row``, beside them.
+PLACE, WORD, BITS = f"{KEY}_place", f"{KEY}_word", f"{KEY}_bits"
 #: Rows and bytes of an Arrow batch between Spark and Python.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
@@ -33,6 +35,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """``row``: all columns of ``docs`` as one struct, so that none clashes with what is put beside them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def of_row(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of ``row``."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -90,10 +102,10 @@ def _placed(texts: DataFrame, found: DataFrame, key: str, n: int) -> tuple[DataF
     words = 1 << max(1, (n // 4).bit_length())
     place = F.xxhash64(F.col(key), F.lit(3))
     word = F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(words - 1))
-    bit = F.expr("shiftleft(1L, cast(pmod(_place, 64) as int))")
-    bits = found.select(place.alias("_place"), word.alias("_word")).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
-    placed = texts.withColumn("_place", place).withColumn("_word", word)
-    return placed.join(F.broadcast(bits), "_word", "left"), F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    bit = F.expr(f"shiftleft(1L, cast(pmod({PLACE}, 64) as int))")
+    bits = found.select(place.alias(PLACE), word.alias(WORD)).groupBy(WORD).agg(F.bit_or(bit).alias(BITS))
+    placed = texts.withColumn(PLACE, place).withColumn(WORD, word)
+    return placed.join(F.broadcast(bits), WORD, "left"), F.coalesce(F.col(BITS).bitwiseAND(bit) != 0, F.lit(False))
 
 
 def shared_dir(spark: SparkSession) -> str:

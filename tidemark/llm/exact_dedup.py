@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, ascii_lower, checkpointed, id_and_text, rows_of, rows_without
+from .common import KEY, as_row, ascii_lower, checkpointed, id_and_text, of_row, rows_of, rows_without, text_or_empty
 from .exchange import ANSWER, SENT, answered, answers, sent_blobs
 
 #: Fingerprints a partition of the exchange holds, about.
@@ -67,15 +67,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with all its columns, and of each group of equal texts the row with the largest id alone.
 
     Of rows that repeat that id with that text, or of copies that all have a null id, the one with the least hash of
-    all its columns stays. Null text counts as empty. An empty table gives no rows.
+    all its columns, as JSON, stays. Null text counts as empty. An empty table gives no rows. Columns of any name and type,
+    maps too, are carried as one.
     """
     copies = checkpointed(_marked(docs, PART_ROWS, id_col, text_col).where("group_size is not null").select("doc_id", "keep_id", F.col("k").alias(KEY)))
     gone = copies.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(KEY)
     again = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(KEY).count().where("count > 1").select(KEY)
-    keyed = docs.withColumn(KEY, F.xxhash64(docs[id_col].cast("bigint"), ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))))
-    rest = rows_without(keyed, checkpointed(gone.union(again).distinct()), KEY).drop(KEY)
-    if again.isEmpty():
-        return rest
-    columns = [docs[c] for c in docs.columns]
-    one = rows_of(keyed, again, KEY).groupBy(KEY).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
-    return rest.union(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+    row = as_row(docs)
+    keyed = row.select("row", F.xxhash64(F.col(f"row.`{id_col}`").cast("bigint"), ascii_lower(text_or_empty(f"row.`{text_col}`"))).alias(KEY))
+    rest = rows_without(keyed, checkpointed(gone.union(again).distinct()), KEY).select("row")
+    if not again.isEmpty():
+        one = rows_of(keyed, again, KEY).groupBy(KEY).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        rest = rest.union(one.select("row"))
+    return of_row(rest, docs)

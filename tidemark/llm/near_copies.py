@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components as connected_components
 from .common import checkpointed, rows_of
-from .components import connected_components
 from .wordhash import BY_SPACE, LOWERED, Words, mix, rolling
 
 #: MinHash values are dealt to so many buckets, by so many values each.

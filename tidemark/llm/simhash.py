@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, checkpointed, id_and_text, rows_without
-from .components import connected_components
+from ..operators.components import components as connected_components
+from .common import KEY, as_row, checkpointed, id_and_text, of_row, rows_without
 from .near_copies import near_copy_links
 
 _SPACES = "\x09\x0a\x0b\x0c\x0d"
@@ -167,4 +167,5 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """
     links = near_copy_links(id_and_text(docs, id_col, text_col), similarity, shingle, near_pairs(docs, shingle, id_col, text_col))
     gone = connected_components(links).where("key <> root").select(F.col("key").alias(KEY))
-    return rows_without(docs.withColumn(KEY, docs[id_col].cast("bigint")), checkpointed(gone), KEY).drop(KEY)
+    keyed = as_row(docs).withColumn(KEY, F.col(f"row.`{id_col}`").cast("bigint"))
+    return of_row(rows_without(keyed, checkpointed(gone), KEY), docs)
