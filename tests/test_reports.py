@@ -1,17 +1,22 @@
 """Model comparison, callbacks, charts, health from documents, reports and the command line, by hand and by brute force."""
 
+import inspect
 import io
 import json
+import os
 import random
+import time
+import uuid
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark import __main__ as command
 from tidemark.functions import values as V
-from tidemark.operators import calibration, charts, comparison, contract, folds, health, regime_reports, sentiment
-from tidemark.sources import shared, snapshots
+from tidemark.operators import calibration, charts, comparison, contract, crosssection, evaluation, folds, health, nested, regime_reports, sentiment
+from tidemark.sources import quotes, shared, snapshots
 
 T0 = datetime(2026, 1, 5)
 
@@ -172,3 +177,85 @@ def test_missing_times_have_no_age(spark):
 
 def test_shared_folder(spark):
     assert shared.shared_path(spark, "x") != shared.shared_path(spark, "x")
+
+
+def test_nested_documents_by_hand(spark):
+    texts = ['{"b": 1, "a": {"B": 2, "c": [3, {"A-b": null}]}, "ab": {"x": "[1]"}}', '[{"k": "v"}, 5]', "7", "no json", None, "{}", '{"z": {"z": {"z": {"Z": true}}}, "y": {}}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    got = {(r.doc, tuple(r.place)): (r.key, r.value) for r in nested.scalars(docs).collect()}
+    assert got == {(0, (0,)): ("b", "1"), (0, (1, 0)): ("B", "2"), (0, (1, 1, 0)): ("0", "3"), (0, (1, 1, 1, 0)): ("A-b", None), (0, (2, 0)): ("x", "[1]"), (1, (0, 0)): ("k", "v"), (1, (1,)): ("1", "5"), (6, (0, 0, 0, 0)): ("Z", "true")}
+    flat = {(r.doc, r.name): r.value for r in nested.flattened(docs).collect()}
+    assert flat == {(0, "b"): "2", (0, "0"): "3", (0, "ab"): None, (0, "x"): "[1]", (1, "k"): "v", (1, "1"): "5", (6, "z"): "true"}
+    with pytest.raises(ValueError):
+        nested.scalars(docs, most_levels=2)
+
+
+def test_repeated_rows_stop_an_evaluation(spark):
+    rows = [("p", "A", "UP", 1.0, 1.0, 1.0), ("p", "B", "UP", 1.0, 1.0, 1.0), ("q", "A", "DOWN", 1.0, 1.0, 1.0)]
+    schema = "pair string, symbol string, forecast string, baseline double, target_return_pct double, threshold_pct double"
+    forecasts, outcomes = spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema).select("pair", "symbol", "baseline")
+    assert evaluation.settled(forecasts, outcomes).count() == 3
+    for a, b in ((forecasts.union(forecasts.limit(1)), outcomes), (forecasts, outcomes.union(outcomes.limit(1)))):
+        with pytest.raises(Exception, match="repeated pair, symbol: p, A"):
+            evaluation.settled(a, b).collect()
+    m = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-02"), (None, "2024-01-03")], "id string, t string").select("id", F.col("t").cast("timestamp_ntz").alias("as_of"))
+    plan = folds.FoldPlan(datetime(2024, 1, 2), 3600, 3600, fold_count=1)
+    assert folds.membership(m, plan, datetime(2024, 1, 9), unique=("as_of",)).count() == 2
+    with pytest.raises(Exception, match="repeated id: a"):
+        folds.membership(m, plan, datetime(2024, 1, 9), unique=("id",)).collect()
+
+
+def test_counts_of_an_evaluation_cost_no_job(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("v"))
+    seen = Observation("counts")
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        kept = evaluation.counted(rows, seen, F.col("v").isNull()).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(kept) == 85 and seen.get == {"eligible": 100, "rejected": 15, "evaluated": 85}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) == 1
+
+
+def test_strength_needs_a_later_end(spark):
+    none = spark.createDataFrame([], "symbol string, price double, volume double")
+    with pytest.raises(ValueError):
+        crosssection.strength(none, none, "A", none, datetime(2024, 1, 2), datetime(2024, 1, 2))
+
+
+def fetched(url, timeout):
+    """Answers with a chart, and keeps a file for each request that runs, so that tests see how many do at once."""
+    folder = os.environ["TIDEMARK_TEST_FETCHED"]
+    name = f"{folder}/{uuid.uuid4().hex}"
+    with open(name, "w") as f:
+        f.write(url)
+    at_once = sum(n.endswith("-now") for n in os.listdir(folder)) + 1
+    open(f"{name}-now", "w").close()
+    time.sleep(0.2)
+    os.rename(f"{name}-now", f"{name}-{at_once}")
+    if "BAD" in url:
+        raise OSError("gone")
+    return '{"chart": {"result": [{"meta": {}, "timestamp": [10], "indicators": {"quote": [{"open": [1], "high": [2], "low": [1], "close": [2], "volume": [3]}]}}]}}'
+
+
+@pytest.mark.parametrize("pool", [1, 4])
+def test_charts_are_asked_for_by_filters_and_few_at_once(spark, tmp_path, monkeypatch, pool):
+    folder = tmp_path / "asked"
+    folder.mkdir()
+    module = tmp_path / f"tidemark_test_fetch_{pool}.py"
+    module.write_text("import os, time, uuid\n" + inspect.getsource(fetched).replace('os.environ["TIDEMARK_TEST_FETCHED"]', repr(str(folder))))
+    spark.sparkContext.addPyFile(str(module))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.dataSource.register(quotes.ChartSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    asked = [*(f"S{i}" for i in range(20)), "BAD", "lower"]
+    loaded = lambda: spark.read.format("tidemark_charts").option("address", "http://x/{symbol}?r={range}&i={interval}").option("fetch", f"tidemark_test_fetch_{pool}:fetched").option("pool", pool).load()
+    got = loaded().where(F.col("symbol").isin(*asked) & F.col("range").isin("5d", "7d") & (F.col("interval") == "1h"))
+    rows = got.collect()
+    told = {(r.symbol, r.range): r.error for r in rows}
+    assert len(rows) == 2 * len(asked) and told["S3", "5d"] is None and told["S3", "7d"] == "range" and told["lower", "5d"] == "symbol" and "gone" in told["BAD", "5d"]
+    files = [n for n in os.listdir(folder) if "-" in n]
+    assert 21 <= len(files) <= 22 and max(int(n.split("-")[1]) for n in files) <= quotes.CONCURRENT  # the bad one is tried twice; none for a range it doesn't know
+    assert charts.bars(loaded().where(F.col("symbol").isin("S1", "S2") & (F.col("range") == "5d"))).count() == 2
+    assert loaded().count() == 0 and [r.error for r in loaded().where("symbol = 'no such'").collect()] == ["symbol"]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")

@@ -151,7 +151,11 @@ def novelty(age_seconds: Column) -> Column:
     return F.when(age_seconds <= 24 * 3600, "high").when(age_seconds <= 72 * 3600, "medium").otherwise("low")
 
 
+#: A symbol, in upper case, with or without the exchange's suffix.
+TICKER = r"^[A-Z0-9]{1,6}(\.JK)?$"
+
+
 def ticker(raw: Column) -> Column:
     """A symbol in upper case without the exchange suffix, or null."""
     u = F.upper(F.trim(raw))
-    return F.when(u.rlike(r"^[A-Z0-9]{1,6}(\.JK)?$"), F.regexp_replace(u, r"\.JK$", ""))
+    return F.when(u.rlike(TICKER), F.regexp_replace(u, r"\.JK$", ""))

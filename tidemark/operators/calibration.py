@@ -154,6 +154,20 @@ def report(rows: DataFrame, keys: list[str]) -> DataFrame:
     return scores(judged, keys).join(coefficients(judged, keys), keys, "left") if keys else scores(judged, keys).join(coefficients(judged, keys), how="left")
 
 
+def row_probabilities(rows: DataFrame, field: str = "probabilities") -> DataFrame:
+    """Rows with p_up, p_flat and p_down from ``field``, a struct or map of UP, FLAT and DOWN.
+
+    Where ``probabilities`` itself is asked for and a row has none, those inside its ``prediction`` are taken instead.
+    """
+    given = [F.col(field)] if field in rows.columns else []
+    if field == "probabilities" and "prediction" in rows.columns:
+        given.append(F.col("prediction.probabilities"))
+    if not given:
+        raise ValueError(f"rows have no {field}")
+    found = F.coalesce(*given)
+    return rows.withColumns({p: found[c].cast("double") for p, c in zip(P, CLASSES, strict=True)})
+
+
 def sourced(members: DataFrame, source: Callable[[DataFrame, DataFrame], DataFrame], splits: tuple[str, ...] = ("validation", "test")) -> DataFrame:
     """Rows of the splits with the probabilities that a function gives them from (train rows, rows without outcomes)."""
     rows = members.where(F.col("split").isin(*splits) & F.col("kept"))

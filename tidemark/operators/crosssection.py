@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +76,13 @@ def peer_relative(rows: DataFrame) -> DataFrame:
     return rows.join(sums, "sector", "left").withColumn("peer_relative", F.col("ret") - peers).drop("s", "n")
 
 
-def strength(start: DataFrame, end: DataFrame, benchmark: str, sectors: DataFrame) -> DataFrame:
-    """One row per symbol: return, sector, and strength against benchmark, sector peers and sector mean."""
+def strength(start: DataFrame, end: DataFrame, benchmark: str, sectors: DataFrame, start_at: datetime | None = None, end_at: datetime | None = None) -> DataFrame:
+    """One row per symbol: return, sector, and strength against benchmark, sector peers and sector mean.
+
+    Where the checkpoints' times are given, the end must be later than the start.
+    """
+    if start_at is not None and end_at is not None and not end_at > start_at:
+        raise ValueError("the end must be later than the start")
     rows = with_sector(paired_returns(start, end), sectors)
     both = peer_relative(benchmark_relative(rows, benchmark))
-    return both.join(F.broadcast(sector_returns(rows)), "sector", "left")
+    return both.join(sector_returns(rows), "sector", "left")

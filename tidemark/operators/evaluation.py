@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import CLASSES, classify, percent, ratio, round6
@@ -36,13 +36,37 @@ def market_class(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair", classify(change, F.col("threshold_pct")).alias("market_direction"))
 
 
+def without_repeats(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows``, whose reading stops with an error, naming the keys, if two have the same ``keys``; nulls are a key like others.
+
+    The check is a count within the partitions that a join or grouping by the keys needs anyway, in the pass that reads the rows.
+    """
+    times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    named = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    stop = F.raise_error(F.concat(F.lit(f"repeated {', '.join(keys)}: "), named))
+    return rows.withColumn("_times", times).where(F.when(F.col("_times") > 1, stop.cast("boolean")).otherwise(F.lit(True))).drop("_times")
+
+
+def counted(rows: DataFrame, observation: Observation, rejected: Column) -> DataFrame:
+    """``rows`` that are not ``rejected``, whose numbers (eligible, rejected, evaluated) the ``observation`` has after any pass over them.
+
+    The counts are made while the rows are read, without a job of their own.
+    """
+    is_bad = F.coalesce(rejected, F.lit(True))
+    told = rows.withColumn("_bad", is_bad).observe(observation, F.count(F.lit(1)).alias("eligible"), F.count_if("_bad").alias("rejected"), F.count_if(~F.col("_bad")).alias("evaluated"))
+    return told.where(~F.col("_bad")).drop("_bad")
+
+
 def settled(forecasts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Each forecast (pair, symbol, forecast, baseline, target_return_pct, threshold_pct) with its outcome's price.
 
+    A symbol that a pair or its checkpoint has twice stops the evaluation.
+
     state is missing (no outcome row), invalid (no class of the three, no positive baseline, no price or no target; an
     abstention is invalid) or evaluated.
     """
     right = outcomes.select("pair", "symbol", F.col("baseline").alias("realized_price"), F.lit(True).alias("found"))
+    forecasts, right = without_repeats(forecasts, "pair", "symbol"), without_repeats(right, "pair", "symbol")
     rows = forecasts.join(right, ["pair", "symbol"], "left")
     good = F.coalesce(F.col("forecast").isin(*CLASSES) & (F.col("baseline") > 0) & F.col("realized_price").isNotNull() & F.col("target_return_pct").isNotNull(), F.lit(False))
     state = F.when(F.col("found").isNull(), "missing").when(~good, "invalid").otherwise("evaluated")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import CLASSES, classify, finite, percent, round6
-from .evaluation import classification_metrics, confusion
+from .evaluation import classification_metrics, confusion, without_repeats
 
 GROUP_FIELDS = ("horizon", "regime", "sector", "liquidity", "confidence")
 
@@ -81,13 +81,15 @@ def _run(at: Column, plan: FoldPlan, count: int, low_seconds: float | None, high
     return F.when(low <= high, F.sequence(low, high.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def membership(rows: DataFrame, plan: FoldPlan, latest: datetime | None) -> DataFrame:
+def membership(rows: DataFrame, plan: FoldPlan, latest: datetime | None, unique: Sequence[str] = ()) -> DataFrame:
     """Each row (as_of, horizon_end or horizon_seconds) in each fold it falls into: columns fold, split, kept.
 
     Train: before the boundary less the purge, and settled by the boundary. Validation: half-open, and settled by the
     test's start. Test: half-open. A row that lies in a span but is not settled in time has kept = false. Boundaries are
-    evenly spaced, so a row's folds are reckoned from its time and exploded: nothing is joined or shuffled.
+    evenly spaced, so a row's folds are reckoned from its time and exploded: nothing is joined or shuffled. Rows that repeat
+    the columns ``unique``, such as id, or symbol and as_of, stop the evaluation; this check does shuffle.
     """
+    rows = without_repeats(rows, *unique) if unique else rows
     count = len(plan.boundaries(latest))
     test = plan.validation_seconds + plan.embargo_seconds
     t = F.col("as_of")

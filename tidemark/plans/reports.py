@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import bars as B
-from ..operators import calibration, charts, comparison, contract, evaluation, folds, health, models, policy, regime_reports, sentiment
+from ..operators import calibration, charts, comparison, contract, evaluation, folds, health, models, nested, policy, regime_reports, sentiment
 from ..sources import snapshots
 from . import forecasts as FC
 from . import tables as T
@@ -469,3 +469,30 @@ def sentiment_report(spark, d):
     arrays = {name: rows.where(n % 5 == i).drop("layer") for i, name in enumerate(("company", "sector", "peer", "indonesia_market"))}
     layers, _ = sentiment.report(arrays, F.lit("2100-01-01").cast("timestamp"))
     return layers.select("layer", "status", "article_count", "positive", "negative", "neutral", "tone", "impact", "novelty")
+
+
+# ---- nested reports
+
+#: Nested reports of events as text: names that repeat at several levels, other spellings of one name, lists, nulls.
+_NESTED = """'{"as_of": "' || event_type || '", "Data-Quality": {"status": "' || (event_id % 3) || '", "Stale": ' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END || ', "items": [{"price": ' || (event_id % 7) || '.5}, 4, {"data quality": "{none}", "PRICE": ' || (event_id % 11) || '}]}, "asOf": ' || CASE WHEN event_id % 5 = 0 THEN '{"value": [1, [2, "x"]], "as_of": "inner"}' ELSE '"later"' END || ', "value": ' || user_id || '}'"""
+
+
+@query(f"""WITH nd AS (SELECT event_id AS doc, {_NESTED} AS text FROM events), tr AS (SELECT doc, t.* FROM nd, json_tree(nd.text) t),
+sc AS (SELECT doc, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS name, id, CASE WHEN type <> 'NULL' THEN atom ->> '$' END AS value FROM tr WHERE type NOT IN ('OBJECT', 'ARRAY'))
+SELECT doc, name, arg_max_null(value, id) AS value FROM sc GROUP BY doc, name""")
+def flattened_reports(spark, d):
+    """Scalars of nested reports by name, the last of a name wins."""
+    rows = T.table(spark, d, "events").select(F.col("event_id").alias("doc"), F.expr(_NESTED).alias("text"))
+    return nested.flattened(rows)
+
+
+@query(f"""WITH x AS (SELECT event_id, event_id % 4 AS k, (event_id % 10) / 10.0::DOUBLE AS p FROM events)
+SELECT event_id, CASE WHEN k IN (0, 1) THEN p WHEN k = 2 THEN 0.25::DOUBLE END AS p_up, CASE WHEN k IN (0, 1) THEN (1 - p) / 2 WHEN k = 2 THEN 0.5::DOUBLE END AS p_flat, CASE WHEN k IN (0, 1) THEN (1 - p) / 2 WHEN k = 2 THEN 0.25::DOUBLE END AS p_down FROM x""")
+def row_probabilities(spark, d):
+    """Probabilities of a row itself, or else of the prediction that it holds."""
+    k, p = F.col("event_id") % 4, (F.col("event_id") % 10) / 10.0
+    three = lambda a, b, c: F.create_map(F.lit("UP"), a, F.lit("FLAT"), b, F.lit("DOWN"), c)
+    own = F.when(k < 2, three(p, (1 - p) / 2, (1 - p) / 2))
+    held = F.when(k > 0, F.struct(F.when(k < 3, three(F.lit(0.25), F.lit(0.5), F.lit(0.25))).alias("probabilities")))
+    rows = T.table(spark, d, "events").select("event_id", own.alias("probabilities"), held.alias("prediction"))
+    return calibration.row_probabilities(rows).select("event_id", *calibration.P)
