@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import __main__ as command
 from tidemark.functions import values as V
 from tidemark.operators import calibration, charts, comparison, contract, crosssection, evaluation, folds, health, nested, regime_reports, sentiment
-from tidemark.sources import quotes, shared, snapshots
+from tidemark.sources import published, quotes, shared, snapshots
 
 T0 = datetime(2026, 1, 5)
 
@@ -259,3 +259,30 @@ def test_charts_are_asked_for_by_filters_and_few_at_once(spark, tmp_path, monkey
     assert charts.bars(loaded().where(F.col("symbol").isin("S1", "S2") & (F.col("range") == "5d"))).count() == 2
     assert loaded().count() == 0 and [r.error for r in loaded().where("symbol = 'no such'").collect()] == ["symbol"]
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    spark.dataSource.register(published.PublishedSource)
+    path = str(tmp_path / "report")
+    rows = spark.range(50).select("id", F.struct(F.lit("z").alias("b"), (F.col("id") / 4).alias("a")).alias("s"), F.array("id").alias("l"), F.when(F.col("id") > 3, F.lit("é")).alias("t")).repartition(3)
+    save = lambda df: df.write.format("tidemark_archive").mode("append").save(path)
+    load = lambda: spark.read.format("tidemark_archive").load(path)
+    save(rows)
+    first = published.manifest_of(path)
+    assert first["rows"] == 50 and sorted(map(str, load().collect())) == sorted(map(str, rows.collect()))
+    line = next(open(f"{path}/{p['name']}").readline() for p in first["parts"] if p["rows"])
+    assert line.startswith('{"id":') and '"s":{"a":' in line
+    for bad in (F.when(F.col("id") == 49, F.raise_error("stop").cast("double")).otherwise(0.0), F.when(F.col("id") == 49, float("nan")).otherwise(0.0)):
+        with pytest.raises(Exception, match="stop|JSON"):
+            save(spark.range(50).repartition(3).select("id", bad.alias("x")))
+        assert published.manifest_of(path) == first and load().count() == 50
+    save(spark.range(2).select(F.col("id").alias("n")))
+    assert [r.n for r in load().orderBy("n").collect()] == [0, 1]
+    save(spark.range(0).select(F.col("id").alias("n")))
+    assert load().count() == 0 and load().columns == ["n"]
+    save(rows)
+    part = next(p for p in published.manifest_of(path)["parts"] if p["rows"])
+    with open(f"{path}/{part['name']}", "a") as f:
+        f.write("{}\n")
+    with pytest.raises(Exception, match="not what was published"):
+        load().collect()

@@ -221,7 +221,7 @@ tm AS (SELECT fold, lab.*, horizon_end <= b AS kept FROM lab JOIN fx ON as_of <
 
 
 def _states(spark, d, plan):
-    rows = T.labelled(spark, d)
+    rows = FC.labelled(spark, d)
     latest, names = FC.latest_of(rows), ["step", "span"]
     s = checkpointed(states.train_states(states.steps(rows, plan, latest, names, "target"), plan, latest))
     alone = checkpointed(states.train_states(states.steps(rows, plan, latest, ["step"], "target"), plan, latest))

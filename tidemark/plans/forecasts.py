@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import round6
 from ..operators import ablation, calibration, evaluation, folds, models, policy
+from ..sources.shared import written
 from . import tables as T
 from .market import rounded
 
@@ -49,8 +50,13 @@ def latest_of(rows):
     return rows.agg(F.max("as_of")).first()[0]
 
 
+def labelled(spark, d):
+    """Labelled rows as a table in the shared folder: events are read and windowed once, whatever a query makes of the rows."""
+    return written(T.labelled(spark, d), "labelled")
+
+
 def members(spark, d):
-    rows = T.labelled(spark, d)
+    rows = labelled(spark, d)
     return folds.membership(rows, PLAN, latest_of(rows))
 
 

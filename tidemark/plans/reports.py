@@ -128,7 +128,7 @@ _N = lambda s, kept: f"count(*) FILTER (split = '{s}' AND {kept})"
 
 @query(f"WITH {_EXP} SELECT fold, {_N('train', 'kept')} AS train_count, {_N('validation', 'kept')} AS validation_count, {_N('test', 'kept')} AS test_count, {_N('train', 'NOT kept')} AS purged_train_count, {_N('validation', 'NOT kept')} AS purged_validation_count FROM xm GROUP BY 1")
 def wf_expanding_counts(spark, d):
-    rows = T.labelled(spark, d)
+    rows = FC.labelled(spark, d)
     return folds.fold_counts(folds.membership(rows, EXPANDING, FC.latest_of(rows)))
 
 
