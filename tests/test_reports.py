@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import __main__ as command
 from tidemark.functions import values as V
 from tidemark.operators import calibration, charts, comparison, contract, crosssection, evaluation, folds, health, nested, regime_reports, sentiment
-from tidemark.sources import published, quotes, shared, snapshots
+from tidemark.sources import feeds, published, quotes, shared, snapshots
 
 T0 = datetime(2026, 1, 5)
 
@@ -286,3 +286,19 @@ def test_versions_are_published_whole(spark, tmp_path):
         f.write("{}\n")
     with pytest.raises(Exception, match="not what was published"):
         load().collect()
+
+
+def test_feeds_by_the_xml_reader(spark):
+    item = lambda t, u="https://a/b", more="": f"<item><title>{t}</title><link>{u}</link>{more}</item>"
+    whole = "<rss xmlns:m='http://m'><channel><title>f</title>{}</channel></rss>"
+    texts = {
+        "a": whole.format(item("<![CDATA[<i>x</i> & y]]>", more="<m:title>no</m:title><source url='u'> P  Q </source><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate>") + item("two &amp;&#32;\n three", more="<source>R</source><pubDate>soon</pubDate>") + item("no link", "http://a") + item(" ")),
+        "b": whole.format("".join(item(f"t{i}", more=f"<pubDate>{i + 1} Jan 2024 00:00:00 +0100</pubDate>") for i in range(12))),
+        "broken": whole.format(item("x"))[:-9], "none": None, "empty": whole.format(""), "other": "<html><body/></html>", "text": "plain",
+    }
+    df = spark.createDataFrame(list(texts.items()), "feed string, xml string")
+    assert {r.feed: r.status for r in feeds.parsed_feeds(df).collect()} == {"a": "available", "b": "available", "broken": "broken", "none": "missing", "empty": "empty", "other": "broken", "text": "broken"}
+    got = [(r.feed, r._ord, r.title, r.publisher, r.published_at) for r in feeds.feed_items(df).orderBy("feed", "_ord").collect()]
+    assert got[:2] == [("a", 0, "<i>x</i> & y", "P Q", datetime(2024, 1, 2, 3, 4, 5)), ("a", 1, "two & three", "R", None)]
+    assert [r[:3] for r in got[2:]] == [("b", i, f"t{i}") for i in range(8)] and got[2][4] == datetime(2023, 12, 31, 23)
+    assert [(r.feed, r.title) for r in feeds.newest(feeds.feed_items(df), 3).collect()] == [("b", "t7"), ("b", "t6"), ("b", "t5")]

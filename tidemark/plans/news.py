@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import sentiment
-from ..sources.feeds import page_titles, rss_items
+from ..sources.feeds import feed_items, newest, page_titles, parsed_feeds, rss_items
 from . import tables as T
 
 QUERIES, SQL = {}, {}
@@ -141,3 +141,44 @@ def rss_feed_items(spark, d):
     link = F.concat(F.when(F.col("page_id") % 3 == 0, "http").otherwise("https"), F.lit("://news.example.org/"), n)
     xml = F.concat(F.lit("<rss><channel><title>x</title><item><title><![CDATA[Item "), n, F.lit(" &amp; more]]></title><link>"), link, F.lit("</link></item></channel></rss>"))
     return rss_items(T.table(spark, d, "pages").select((F.col("page_id") % 7).alias("feed"), xml.alias("xml"))).select("feed", "title", "url")
+
+
+def _feeds(spark, d):
+    """A feed of ten items for each ten pages, by their numbers: CDATA, entities, namespaces, links that don't count, and feeds that break off."""
+    n = F.col("page_id")
+    text = lambda v: v.cast("string")
+    title = F.when(n % 2 == 0, F.concat(F.lit("<![CDATA[<b>Item "), text(n), F.lit(" & more]]>"))).otherwise(F.concat(F.lit("  Item&#32;"), text(n), F.lit(" &amp;\n more ")))
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + (n * 7919 % 5000) * 60), "dd MMM yyyy HH:mm:ss")
+    item = F.concat(
+        F.lit("<item><media:title>no</media:title><title>"), title, F.lit("</title><link>"), F.when(n % 7 == 0, "http").otherwise("https"), F.lit("://news.example.org/"), text(n), F.lit("</link>"),
+        F.when(n % 3 == 0, F.concat(F.lit("<source url='x'>Paper "), text(n % 4), F.lit("</source>"))).otherwise(F.lit("")), F.lit("<pubDate>Mon, "), at, F.lit(" GMT</pubDate></item>"),
+    )
+    feeds = T.table(spark, d, "pages").select(F.floor(n / 10).alias("feed"), n.alias("n"), item.alias("item")).groupBy("feed").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
+    head = F.lit("<rss xmlns:media='http://x/media' version='2.0'><channel><title>f</title>")
+    body = F.array_join(F.transform("items", lambda i: i["item"]), "")
+    tail = F.when(F.col("feed") % 4 == 3, "</channel>").otherwise("</channel></rss>")
+    xml = F.when(F.col("feed") % 5 == 4, None).when(F.col("feed") % 9 == 8, F.concat(head, F.lit("</channel></rss>"))).otherwise(F.concat(head, body, tail))
+    return feeds.select("feed", xml.alias("xml"))
+
+
+_FEEDS = """pg AS (SELECT page_id AS n, page_id // 10 AS feed, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS o FROM pages),
+st AS (SELECT DISTINCT feed, CASE WHEN feed % 5 = 4 THEN 'missing' WHEN feed % 9 = 8 THEN 'empty' WHEN feed % 4 = 3 THEN 'broken' ELSE 'available' END AS status FROM pg),
+fi AS (SELECT feed, o AS _ord, CASE WHEN n % 2 = 0 THEN '<b>Item ' ELSE 'Item ' END || n || ' & more' AS title, 'https://news.example.org/' || n AS url, CASE WHEN n % 3 = 0 THEN 'Paper ' || (n % 4) END AS publisher,
+ to_timestamp(1704067200 + (n * 7919 % 5000) * 60)::TIMESTAMP AS published_at FROM pg JOIN st USING (feed) WHERE status = 'available' AND o < 8 AND n % 7 <> 0)"""
+
+
+@query(f"WITH {_FEEDS} SELECT feed, status, CASE WHEN status = 'available' THEN (SELECT count(*) FROM pg WHERE pg.feed = st.feed) ELSE 0 END AS n FROM st")
+def feed_status(spark, d):
+    return parsed_feeds(_feeds(spark, d)).select("feed", "status", F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("bigint").alias("n"))
+
+
+@query(f"WITH {_FEEDS} SELECT feed, _ord, title, url, publisher, published_at FROM fi")
+def feed_items_parsed(spark, d):
+    """Feeds by the XML reader: the first eight items of each."""
+    return feed_items(_feeds(spark, d)).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_FEEDS} SELECT feed, title, published_at FROM fi ORDER BY published_at DESC, feed, _ord LIMIT 6")
+def feed_newest(spark, d):
+    """The six newest items of all feeds."""
+    return newest(feed_items(_feeds(spark, d))).select("feed", "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
