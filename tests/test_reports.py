@@ -17,6 +17,7 @@ from tidemark import __main__ as command
 from tidemark.functions import values as V
 from tidemark.operators import calibration, charts, comparison, contract, crosssection, evaluation, folds, health, nested, regime_reports, sentiment
 from tidemark.sources import feeds, published, quotes, shared, snapshots
+from tidemark.streaming import ticks, verification
 
 T0 = datetime(2026, 1, 5)
 
@@ -302,3 +303,28 @@ def test_feeds_by_the_xml_reader(spark):
     assert got[:2] == [("a", 0, "<i>x</i> & y", "P Q", datetime(2024, 1, 2, 3, 4, 5)), ("a", 1, "two & three", "R", None)]
     assert [r[:3] for r in got[2:]] == [("b", i, f"t{i}") for i in range(8)] and got[2][4] == datetime(2023, 12, 31, 23)
     assert [(r.feed, r.title) for r in feeds.newest(feeds.feed_items(df), 3).collect()] == [("b", "t7"), ("b", "t6"), ("b", "t5")]
+
+
+def test_forecasts_wait_for_their_checkpoints_over_a_restart(spark, tmp_path):
+    day = lambda n: datetime(2024, 1, 1 + n)
+    f_schema = "pair timestamp_ntz, symbol string, forecast string, baseline double, target_return_pct double, threshold_pct double, at timestamp_ntz"
+    add = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    forecast = lambda n, s: (day(n), s, "UP", 10.0, 1.0, 1.0, day(n))
+    outcome = lambda n, s: (day(n), s, 11.0, day(n + 1))
+    stream = lambda name: spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{name}").schema).parquet(f"{tmp_path}/{name}")
+
+    def run():
+        with verification.rocksdb(spark):
+            ticks.run_to_table(verification.waiting(stream("f"), stream("o"), 2 * 86_400), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        return {(r.pair.day - 1, r.symbol): r.state for r in verification.verdicts(spark.read.parquet(f"{tmp_path}/out")).collect()}
+
+    add("f", [forecast(0, "A"), forecast(0, "B"), forecast(1, "A")], f_schema)
+    add("o", [outcome(0, "A"), outcome(1, "C")], "pair timestamp_ntz, symbol string, baseline double, at timestamp_ntz")
+    assert run() == {(0, "A"): "evaluated"}  # B's time is not up; C's outcome came before its forecast
+    add("f", [(*forecast(1, "C")[:6], day(2)), forecast(0, "D")], f_schema)  # D is behind the watermark
+    add("o", [outcome(1, "A")], "pair timestamp_ntz, symbol string, baseline double, at timestamp_ntz")
+    assert run() == {(0, "A"): "evaluated", (1, "A"): "evaluated", (1, "C"): "evaluated"}
+    add("f", [forecast(9, "A")], f_schema)
+    assert run() == {(0, "A"): "evaluated", (1, "A"): "evaluated", (1, "C"): "evaluated", (0, "B"): "missing"}
+    add("f", [forecast(20, "Z")], f_schema)
+    assert run()[9, "A"] == "missing"

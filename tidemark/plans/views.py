@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import contract, folds, health, views
 from ..sources.shared import shared_path
 from ..streaming import ticks as streams
+from ..streaming import verification
+from . import forecasts as FC
 from . import tables as T
 from .market import rounded
 
@@ -181,3 +183,16 @@ def stream_dedup(spark, d):
     """Every event comes twice."""
     out = _streamed(spark, d, lambda t: streams.first_of_each(t.unionByName(t), ["event_id"]))
     return out.agg(F.count(F.lit(1)).alias("rows_out"), F.countDistinct("event_id").alias("events_out"))
+
+
+@query(f"{FC._SNAP} SELECT pair, symbol, forecast, target AS target_return_pct, state, round(realized, 6) AS realized_return_pct, actual, round(abs(target - realized), 6) AS target_absolute_error_pct FROM ev WHERE state <> 'missing' OR pair + INTERVAL 2 DAY <= (SELECT max(t) - INTERVAL 1 HOUR FROM dy)")
+def stream_verification(spark, d):
+    """Daily forecasts and their checkpoints as streams: what is settled, and what was missing two days later."""
+    forecasts, outcomes = FC._snapshots(spark, d)
+    place = shared_path(spark, "stream")
+    forecasts.withColumn("at", F.col("pair")).write.parquet(f"{place}/forecasts")
+    outcomes.withColumn("at", F.col("pair") + F.expr("interval 1 day")).write.parquet(f"{place}/outcomes")
+    stream = lambda name: spark.readStream.schema(spark.read.parquet(f"{place}/{name}").schema).parquet(f"{place}/{name}")
+    with verification.rocksdb(spark):
+        streams.run_to_table(verification.waiting(stream("forecasts"), stream("outcomes"), 2 * FC.DAY), f"{place}/table", f"{place}/checkpoint")
+    return rounded(verification.verdicts(spark.read.parquet(f"{place}/table")))
