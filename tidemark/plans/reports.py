@@ -10,6 +10,7 @@ from ..operators import bars as B
 from ..operators import calibration, charts, comparison, contract, evaluation, folds, health, models, nested, policy, regime_reports, sentiment
 from ..sources import snapshots
 from . import forecasts as FC
+from . import news as N
 from . import tables as T
 from .market import rounded
 
@@ -462,9 +463,13 @@ def article_histograms(spark, d):
     return sentiment.histograms(rows).select("layer", F.array_join(found, ",").alias("event_types"))
 
 
-@query()
+_LAYERED = f"""WITH RECURSIVE {N._KEYED}, rp AS (SELECT * REPLACE (CASE page_id % 5 WHEN 0 THEN 'company' WHEN 3 THEN 'indonesia_market' ELSE 'sector' END AS layer, 'low' AS novelty,
+ page_id + CASE WHEN page_id % 5 = 2 THEN 1000000000000 ELSE 0 END AS page_id) FROM ar WHERE page_id % 5 < 4), {N.walk_sql('rp')}"""
+
+
+@query(f"{_LAYERED} {N.layers_sql('kp', "('company'), ('sector'), ('indonesia_market'), ('global')")}")
 def sentiment_report(spark, d):
-    """Pages as company, sector, peer and market articles. No SQL, as it stands on first-wins deduplication."""
+    """Pages as company, sector, peer and market articles; a peer's come after the sector's."""
     rows, n = T.articles(spark, d), F.col("_ord")
     arrays = {name: rows.where(n % 5 == i).drop("layer") for i, name in enumerate(("company", "sector", "peer", "indonesia_market"))}
     layers, _ = sentiment.report(arrays, F.lit("2100-01-01").cast("timestamp"))
