@@ -423,14 +423,14 @@ def test_first_wins_of_components_and_in_rounds(spark, walked):
     rows = [(rng.choice("abc"), i, rng.choice([None, *[f"u{k}" for k in range(150)]]), f"t{rng.randrange(150)}") for i in range(400)]
     rows += [("d", i, f"v{i}", f"s{i}") for i in range(20)]
     df = spark.createDataFrame(rows, "layer string, _ord bigint, url string, normalized_title string").withColumn("normalized_publisher", F.lit("p")).repartition(3)
-    assert sorted((r.layer, r._ord) for r in sentiment.first_wins(df, walked).collect()) == sorted(greedy(rows))
-    assert sentiment.first_wins(df.limit(0), walked).count() == 0
+    assert sorted((r.layer, r._ord) for r in sentiment.first_wins(df, walked, at_once=0).collect()) == sorted(greedy(rows))
+    assert sentiment.first_wins(df.limit(0), walked, at_once=0).count() == 0
 
 
 def test_a_long_chain_settles_in_few_rounds(spark):
     rows = [("x", i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(5000)]
     df = spark.createDataFrame(rows, "layer string, _ord bigint, url string, normalized_title string").withColumn("normalized_publisher", F.lit("p"))
-    got = sorted((r.layer, r._ord) for r in sentiment.first_wins(df).collect())
+    got = sorted((r.layer, r._ord) for r in sentiment.first_wins(df, at_once=0).collect())
     assert got == sorted(greedy(rows)) == [("x", i) for i in range(0, 5000, 2)]
     links = spark.range(5000).select(F.hash("id").cast("bigint").alias("a"), F.hash(F.col("id") + 1).cast("bigint").alias("b"))
     found = components(links, rounds=20)

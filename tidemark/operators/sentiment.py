@@ -43,13 +43,14 @@ def keys(articles: DataFrame) -> DataFrame:
 WALKED = 50_000
 
 
-def first_wins(articles: DataFrame, walked: int = WALKED, rounds: int = 1000) -> DataFrame:
+def first_wins(articles: DataFrame, walked: int = WALKED, rounds: int = 1000, at_once: int = WALKED) -> DataFrame:
     """Articles of each layer that repeat neither key of one kept before them, in order of ``_ord``.
 
     A dropped article's keys do not count, so the outcome depends on the order, but only among articles that keys tie
     together, directly or through others. Equal pairs of keys are one row; rows whose keys nobody shares are kept at once.
     The rest falls into components, whose rows meet in one task: it walks through all of its components in order, row by row,
-    with the keys of kept rows in two sets. Components of more than ``walked`` rows are settled by ``_in_rounds`` instead.
+    with the keys of kept rows in two sets. Components of more than ``walked`` rows are settled by ``_in_rounds`` instead. Up
+    to ``at_once`` tied rows in all are walked through as if they were one component.
     """
     k = keys(articles)
     firsts = k.groupBy("layer", "u", "has_url", "t").agg(F.min("_ord").alias("_ord"))
@@ -61,6 +62,9 @@ def first_wins(articles: DataFrame, walked: int = WALKED, rounds: int = 1000) ->
     told = checkpointed(with_url.join(shared.withColumnRenamed("key", "t").withColumnRenamed("shared", "t_shared"), "t", "left"))
     tied = F.coalesce("u_shared", "t_shared", F.lit(False))
     kept, rest = told.where(~tied).select("layer", "_ord"), told.where(tied).select("layer", "_ord", "u", "t")
+    if rest.count() <= at_once:
+        kept = kept.unionByName(_walked(rest.withColumn("root", F.lit(0))))
+        return articles.join(checkpointed(kept), ["layer", "_ord"], "left_semi")
     of_key = components(rest.select(F.coalesce("u", "t").alias("a"), F.col("t").alias("b")))
     placed = rest.join(of_key.withColumnRenamed("key", "t"), "t")
     sizes = checkpointed(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")))
