@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from . import folds, models
 
 KINDS = ("always_flat", "majority", "ridge", "logistic")
+# Other names of the kinds.
+ALIASES = {
+    "majority_train": "majority",
+    "ridge_regression": "ridge", "ridge_linear_regression": "ridge",
+    "logistic_regression": "logistic", "multinomial_logistic": "logistic", "multinomial_logistic_regression": "logistic",
+}
 
 
 def train_sets(members: DataFrame) -> DataFrame:
@@ -55,12 +61,13 @@ def _said(members: DataFrame, spec: dict, sets: DataFrame, splits: Sequence[str]
 def predictions(members: DataFrame, specs: Sequence[dict], splits: Sequence[str] = ("test",)) -> DataFrame:
     """Rows (position, model, fold, split, id, actual, predicted, regime) of every spec (label, kind, features, ...).
 
-    A kind is one of ``KINDS`` or a function as ``folds.predicted`` takes it. Labels name the models; two specs with one
+    A kind is one of ``KINDS``, by any of its names, or a function as ``folds.predicted`` takes it. Labels name the models; two specs with one
     label are an error.
     """
     labels = [s.get("label", s["kind"] if isinstance(s["kind"], str) else s["kind"].__name__) for s in specs]
     if not specs or len(set(labels)) < len(labels):
         raise ValueError("models need labels, each another one")
+    specs = [{**s, "kind": s["kind"] if callable(s["kind"]) else ALIASES.get(s["kind"], s["kind"])} for s in specs]
     if bad := [s["kind"] for s in specs if not (isinstance(s["kind"], Callable) or s["kind"] in KINDS)]:
         raise ValueError(f"unknown models: {bad}")
     sets, out = train_sets(members), None
