@@ -49,7 +49,8 @@ class Share:
         heard = [json.loads(m) for m in context.allGather(json.dumps(told))]
         self.keys = sorted({k for h in heard for k in h["keys"]})
         self._others = self._met(server, heard[0]["word"].encode(), len(tasks)) if own == 0 else []
-        self._first = None if own == 0 else self._joined(tasks[0].address.rsplit(":", 1)[0], heard[0], own)
+        hosts = [t.address.rsplit(":", 1)[0] for t in tasks]
+        self._first = None if own == 0 else self._joined("127.0.0.1" if hosts[own] == hosts[0] else hosts[0], heard[0], own)
         order = np.argsort(frame["_key"].to_numpy(), kind="stable")
         self.values = {c: frame[c].to_numpy()[order] for c in columns}
         places = np.searchsorted(frame["_key"].to_numpy()[order], self.keys) if len(frame) else np.zeros(len(self.keys), int)
