@@ -15,7 +15,7 @@ from tidemark.llm.bpe import SHORT, WordBpe, bpe_round_trip
 from tidemark.llm.packing import Packer, attention_cost, pack_documents
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_store import EliasFano, read_token_files, write_token_files
-from tidemark.llm.units import UnitIds
+from tidemark.llm.units import _ODD, LONG_SPACE, UnitIds
 
 from .fixtures import collected, empty, id_texts, nasty, ordered, rows, texts
 
@@ -75,6 +75,51 @@ def test_unit_ids_as_the_library(tiny, byte_ids, word_ids):
         assert got == [ids(t) for t in every]
 
 
+def mixed_texts(n):
+    rng = random.Random(5)
+    odd = [chr(c) for c in range(0x10000) if _ODD.match(chr(c))]
+    bits = [*odd, *" \t\n\r '!1aB", "  ", "   ", "\r\n", "'s", "'LL", "word", "É", "e\u0301", "漢", "😀", "<|", "<|endoftext|>"]
+    return ["".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(n)]
+
+
+def test_byte_level_texts_are_encoded_without_a_dictionary_of_units(byte_ids):
+    every = [t or "" for t in texts()] + mixed_texts(5000)
+    encoder = UnitIds(BYTE)
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(every)] == [byte_ids(t) for t in every]
+    assert not encoder.new and not encoder.old
+
+
+def test_byte_level_units_as_the_library(byte_ids):
+    encoder = UnitIds(BYTE)
+    for text in [t or "" for t in texts()] + mixed_texts(5000):
+        units = encoder.split(text)
+        ids = encoder.learn(units)
+        assert [i for u in units for i in np.frombuffer(ids[u], "<u4").tolist()] == byte_ids(text)
+
+
+def test_both_loops_cut_at_the_same_code_points(byte_ids):
+    encoder = UnitIds(BYTE)
+    for c in map(chr, [*range(0x3400), *range(0xA000, 0xD800), *range(0xE000, 0x20000)]):
+        text = f"a{c}1{c}!{c} {c}{c}  {c}\n{c}a"
+        assert encoder.loop(text) == byte_ids(text), hex(ord(c))
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "a", "a" + "\r\n" * 600_000, "\t" * 1_100_000, "a" + "\n" * LONG_SPACE + "b", " " * (LONG_SPACE - 1)])
+def test_very_long_white_space(byte_ids, text):
+    encoder, ids = UnitIds(BYTE), byte_ids(text)
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids
+    units = encoder.split(text)
+    known = encoder.learn(units)
+    assert [i for u in units for i in np.frombuffer(known[u], "<u4").tolist()] == ids
+
+
+def test_operators_on_very_long_white_space(spark, byte_ids):
+    known = [(1, "a" + " " * 1_100_000 + "b"), (2, "c")]
+    docs, n = spark.createDataFrame(known, "doc_id bigint, text string"), {i: len(byte_ids(t)) for i, t in known}
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, BYTE).collect()} == n
+    assert {r.doc_id: r.doc_tokens for r in pack_documents(docs, BYTE).collect()} == {i: k + 1 for i, k in n.items()}
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_each_token_is_one_token_of_its_own_and_ids_rise_with_merges(path):
     with open(path, encoding="utf-8") as f:

@@ -17,6 +17,10 @@ same vocabulary, which is five times as fast on words not seen before. Both loop
 in the order of the merges and (2) each token, encoded by itself, is one token: parts of a text that spell a token
 without a merge across its ends have gone through the same states as that token by itself, so the last two are the
 pair of its merge. ``tests/llm`` checks both conditions and compares the results.
+
+Byte-level texts are encoded whole by that loop: its own pattern cuts them, on every code point as the library does, and
+that costs less than to cut units in Python and look each one up. Only texts with a special token's string or with
+very long white space, on which the pattern's stack overflows, go to the library.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ import numpy as np
 _ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _RUN = re.compile(r"(\s{2,}(?=\s))")
 _THREE = re.compile(r"\s{3}")
+#: White space at which a text goes to the library; the pattern's stack holds a million steps.
+LONG_SPACE = 100_000
+_LONG = re.compile(r"\s(?<!\s\s)\s{%d}" % (LONG_SPACE - 1))
 
 
 def byte_level_units(text: str) -> list[str]:
@@ -62,6 +69,10 @@ def whole_text(text: str) -> list[str]:
     return [text] if text else []
 
 
+def long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and _LONG.search(text) is not None
+
+
 def splitter(config: dict) -> Callable[[str], list[str]]:
     """The unit splitter that a tokenizer's own description allows."""
     pre = config.get("pre_tokenizer") or {}
@@ -142,6 +153,7 @@ class UnitIds:
         self.by_library = re.compile(_ODD.pattern + (f"|{starts}" if starts else ""))
         self.special = [] if self.cut is whole_text else special
         self.special_at = re.compile(f"({starts})")
+        self.whole = self.cut is byte_level_units and self.loop is not None
         self.limit, self.new, self.old = limit, {}, {}
 
     def split(self, text: str) -> list[str]:
@@ -171,6 +183,8 @@ class UnitIds:
         if self.loop:
             loop, library = self.loop, self.by_library.search
             held = {u for u in units if library(u)} if library("\n".join(units)) else set()
+            if self.whole:
+                held |= {u for u in units if long_space(u)}
             for u in units - held if held else units:
                 yield u, loop(u)
             units = held
@@ -180,8 +194,16 @@ class UnitIds:
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 yield u, e.ids
 
+    def of_text(self, text: str) -> list[int]:
+        """The ids of a byte-level text, without units."""
+        if any(s in text for s in self.special) or long_space(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.loop(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
+        if self.whole:
+            return [array("I", self.of_text(t)).tobytes() for t in texts]
         out: list[bytes] = []
         for i in range(0, len(texts), 500):
             units = [self.split(t) for t in texts[i : i + 500]]
