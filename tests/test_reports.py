@@ -328,3 +328,13 @@ def test_forecasts_wait_for_their_checkpoints_over_a_restart(spark, tmp_path):
     assert run() == {(0, "A"): "evaluated", (1, "A"): "evaluated", (1, "C"): "evaluated", (0, "B"): "missing"}
     add("f", [forecast(20, "Z")], f_schema)
     assert run()[9, "A"] == "missing"
+
+
+def test_verification_calls_no_python_for_its_keys(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    spark.createDataFrame([(day, "A", "UP", 10.0, 1.0, 1.0, day)], "pair timestamp_ntz, symbol string, forecast string, baseline double, target_return_pct double, threshold_pct double, at timestamp_ntz").write.parquet(f"{tmp_path}/f")
+    spark.createDataFrame([(day, "A", 11.0, day)], "pair timestamp_ntz, symbol string, baseline double, at timestamp_ntz").write.parquet(f"{tmp_path}/o")
+    stream = lambda name: spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{name}").schema).parquet(f"{tmp_path}/{name}")
+    joined = verification.waiting(stream("f"), stream("o"), 2 * 86_400)
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "Join LeftOuter" in plan and not any(word in plan for word in ("TransformWithState", "Pandas", "Python", "PySpark"))

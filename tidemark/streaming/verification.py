@@ -1,8 +1,9 @@
 """Forecasts verified as data arrives: each waits in state for the checkpoint that settles it, or for its deadline.
 
 A key is a pair and a symbol. What comes first waits: a forecast until its outcome is there or the watermark has passed its
-deadline, an outcome as long, as one may overtake its forecast. What has come out is removed from the state, so state holds
-open forecasts alone. A pair has a symbol once on either side. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+deadline, an outcome as long, as one may overtake its forecast. It is one outer join of two streams, in the engine: no key
+costs a call of Python. State holds what may still be met, as many rows as come in ``wait_seconds``, and loses them when the
+watermark has passed them. A pair has a symbol once on either side. ``rocksdb`` sets what a session needs for it.
 """
 
 from __future__ import annotations
@@ -10,87 +11,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.evaluation import settled
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_FORECAST = "forecast string, baseline double, target_return_pct double, threshold_pct double"
-_JOINED = f"pair timestamp, symbol string, {_FORECAST}, realized_price double, found boolean"
-
-
-class _Waiting(StatefulProcessor):
-    """Joins a forecast with its outcome, once; alone when its time is up."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.forecast = handle.getValueState("forecast", _FORECAST)
-        self.outcome = handle.getValueState("outcome", "price double")
-
-    @staticmethod
-    def _row(key: tuple, forecast: tuple, price: float | None, found: bool) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *forecast, price, found)], columns=[c.split()[0] for c in _JOINED.split(", ")])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        forecast = price = deadline = None
-        for frame in rows:
-            for r in frame.itertuples():
-                deadline = r.deadline
-                if r.side == "forecast":
-                    forecast = (r.forecast, r.baseline, r.target_return_pct, r.threshold_pct)
-                else:
-                    price = (r.baseline,)
-        if forecast and price:  # nothing waits: the state isn't asked
-            yield self._row(key, forecast, *price, True)
-        elif forecast and (price := self.outcome.get()):
-            self.outcome.clear()
-            yield self._row(key, forecast, *price, True)
-        elif price and (forecast := self.forecast.get()):
-            self.forecast.clear()
-            yield self._row(key, forecast, *price, True)
-        else:
-            (self.forecast if forecast else self.outcome).update(forecast or price)
-            self.handle.registerTimer(int(deadline.timestamp() * 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if forecast := self.forecast.get():
-            self.forecast.clear()
-            yield self._row(key, forecast, None, False)
-        self.outcome.clear()
-
-    def close(self) -> None:
-        pass
+#: The state store, and that the newest row of either stream moves the watermark of both.
+NEEDED = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.multipleWatermarkPolicy": "max",
+}
 
 
 def waiting(forecasts: DataFrame, outcomes: DataFrame, wait_seconds: int, late: str = "1 hour") -> DataFrame:
     """Forecasts (pair, symbol, forecast, baseline, target_return_pct, threshold_pct, at) beside their outcome's price.
 
-    ``outcomes`` (pair, symbol, baseline, at) name the pair they settle. A forecast without one comes out when the watermark,
-    ``late`` behind the newest ``at``, is ``wait_seconds`` past it. Both are streams; ``at`` is when a row was made.
+    ``outcomes`` (pair, symbol, baseline, at) name the pair they settle. A forecast without one that was made within
+    ``wait_seconds`` of it comes out when the watermark, ``late`` behind the newest ``at``, is that far past it. Both are
+    streams; ``at`` is when a row was made.
     """
-    deadline = F.timestamp_seconds(F.unix_seconds(F.col("at").cast("timestamp")) + wait_seconds)
-    both = ["pair", "symbol", "side", "forecast", "baseline", "target_return_pct", "threshold_pct", "at", "deadline"]
-    of = lambda rows, side: rows.withColumns({"side": F.lit(side), "at": F.col("at").cast("timestamp"), "pair": F.col("pair").cast("timestamp"), "deadline": deadline})
-    left = of(forecasts, "forecast").select(*both)
-    none = {"forecast": F.lit(None).cast("string"), "target_return_pct": F.lit(None).cast("double"), "threshold_pct": F.lit(None).cast("double")}
-    right = of(outcomes, "outcome").withColumns(none).select(*both)
-    rows = left.unionByName(right).withWatermark("at", late)
-    return rows.groupBy("pair", "symbol").transformWithStateInPandas(_Waiting(), _JOINED, "Append", "EventTime")
+    times = lambda rows: rows.withColumns({c: F.col(c).cast("timestamp") for c in ("pair", "at")}).withWatermark("at", late)
+    left, right = times(forecasts).alias("f"), times(outcomes).alias("o")
+    wait = F.expr(f"interval {int(wait_seconds)} seconds")
+    same = (F.col("f.pair") == F.col("o.pair")) & (F.col("f.symbol") == F.col("o.symbol"))
+    near = (F.col("o.at") >= F.col("f.at") - wait) & (F.col("o.at") <= F.col("f.at") + wait)
+    given = [F.col(f"f.{c}").alias(c) for c in ("pair", "symbol", "forecast", "baseline", "target_return_pct", "threshold_pct")]
+    return left.join(right, same & near, "left").select(*given, F.col("o.baseline").alias("realized_price"), F.col("o.at").isNotNull().alias("found"))
 
 
 @contextmanager
-def rocksdb(spark: SparkSession):
-    """The session with the state store that this needs, and as it was afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
+def rocksdb(spark: SparkSession) -> Iterator[SparkSession]:
+    """The session with what this needs, and as it was afterwards."""
+    before = {name: spark.conf.get(name) for name in NEEDED}
     try:
+        for name, value in NEEDED.items():
+            spark.conf.set(name, value)
         yield spark
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def verdicts(joined: DataFrame) -> DataFrame:
