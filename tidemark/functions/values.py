@@ -67,6 +67,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as SQL has it on doubles: by 0 it is infinite, or NaN where a is 0 too."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(ratio(a, b))
+
+
 def round6(value: Column) -> Column:
     return F.round(value, 6)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.values import positive_windows, ratio
+from ..functions.values import positive_windows, quotient, ratio
 
 HORIZONS, WINDOWS, ATR, MOMENTUM = (1, 5, 20), (5, 20), 14, 5
 
@@ -17,24 +17,25 @@ def full(value: Column, over: Column, n: int, frame) -> Column:
     return F.when(F.count(value).over(frame) == n, over.over(frame))
 
 
-def _framed(rows: DataFrame, by: WindowSpec, horizons: list[int], windows: list[int], atr: int) -> DataFrame:
+def _framed(rows: DataFrame, by: WindowSpec, horizons: list[int], windows: list[int], atr: int, zeros: bool) -> DataFrame:
     """What bars know from the bars before them in frames of bounded length, in the partitions and order of ``by``."""
+    by_price = quotient if zeros else ratio
     frame = lambda n: by.rowsBetween(-(n - 1), 0)
     before = F.lag("close").over(by)
     high, low, close = F.col("high"), F.col("low"), F.col("close")
     out = rows.withColumns({
         "before": before,
-        "step": ratio(close, before) - 1,
+        "step": by_price(close, before) - 1,
         "true_range": F.when(before.isNotNull(), F.greatest(high - low, F.abs(high - before), F.abs(low - before))),
     } | {f"close_{n}": F.lag("close", n - 1).over(by) for n in sorted({*horizons, 1, MOMENTUM})}
       | {f"high_{n}": full(high, F.max("high"), n, frame(n)) for n in windows}
       | {f"low_{n}": full(low, F.min("low"), n, frame(n)) for n in windows})
     return out.withColumns(
         {
-            "gap": ratio(F.col("open"), F.col("before")) - 1,
-            "range": ratio(high - low, close),
+            "gap": by_price(F.col("open"), F.col("before")) - 1,
+            "range": by_price(high - low, close),
             "close_location": ratio(close - low, high - low),
-            f"average_true_range_{atr}": ratio(full(F.col("true_range"), F.avg("true_range"), atr, frame(atr)), close),
+            f"average_true_range_{atr}": by_price(full(F.col("true_range"), F.avg("true_range"), atr, frame(atr)), close),
         }
         | {f"volatility_{n}": full(F.col("step"), F.stddev_pop("step"), n, frame(n)) for n in windows}
     )
@@ -44,20 +45,23 @@ def _traded() -> Column:
     return F.when(F.col("volume") > 0, F.col("volume"))
 
 
-def trailing(bars: DataFrame, horizons: Iterable[int] = HORIZONS, windows: Iterable[int] = WINDOWS, atr: int = ATR) -> DataFrame:
-    """``bars`` with what each bar knows of itself and the bars before it: one shuffle, and one sort, by symbol."""
+def trailing(bars: DataFrame, horizons: Iterable[int] = HORIZONS, windows: Iterable[int] = WINDOWS, atr: int = ATR, zeros: bool = False) -> DataFrame:
+    """``bars`` with what each bar knows of itself and the bars before it: one shuffle, and one sort, by symbol.
+
+    What is divided by a price of 0 is null; with ``zeros``, infinite or NaN, as in SQL.
+    """
     horizons, windows = positive_windows(horizons, "horizons"), positive_windows(windows, "windows")
     by = Window.partitionBy("symbol").orderBy("bar_time")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     out = bars.withColumns({"bar_count": F.count(F.lit(1)).over(so_far), "mean_volume": F.avg(_traded()).over(so_far)})
-    return _framed(out, by, horizons, windows, atr)
+    return _framed(out, by, horizons, windows, atr, zeros)
 
 
 def _bucket(at: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (seconds * 1_000_000))
 
 
-def trailing_in_blocks(bars: DataFrame, horizons: Iterable[int] = HORIZONS, windows: Iterable[int] = WINDOWS, atr: int = ATR, bucket_seconds: int = 86_400, block_bars: int = 4096) -> DataFrame:
+def trailing_in_blocks(bars: DataFrame, horizons: Iterable[int] = HORIZONS, windows: Iterable[int] = WINDOWS, atr: int = ATR, bucket_seconds: int = 86_400, block_bars: int = 4096, zeros: bool = False) -> DataFrame:
     """``trailing`` for symbols of any size: no task needs all bars of a symbol.
 
     1. Bars are numbered within buckets of time of their symbol. Numbers of bars, and volumes, of the buckets before are
@@ -85,7 +89,7 @@ def trailing_in_blocks(bars: DataFrame, horizons: Iterable[int] = HORIZONS, wind
         *bars.columns, (place + 1).alias("bar_count"), ratio(F.col("_v0") + F.col("_v1"), F.col("_k0") + F.col("_k1")).alias("mean_volume"), block.alias("_own"),
         F.explode(F.when(at_end, F.array(block, block + 1)).otherwise(F.array(block))).alias("_block"),
     )
-    out = _framed(known, Window.partitionBy("symbol", "_block").orderBy("bar_time"), horizons, windows, atr)
+    out = _framed(known, Window.partitionBy("symbol", "_block").orderBy("bar_time"), horizons, windows, atr, zeros)
     return out.where(F.col("_block") == F.col("_own")).drop("_own", "_block")
 
 
@@ -124,23 +128,26 @@ def as_of_in_blocks(bars: DataFrame, quotes: DataFrame, columns: list[str], buck
     return held.select("symbol", F.col("at").alias("quote_time"), "price", "quote_volume", *[F.col(f"bar.`{c}`").alias(c) for c in columns])
 
 
-def features(bars: DataFrame, quotes: DataFrame, horizons: Iterable[int] = HORIZONS, windows: Iterable[int] = WINDOWS, atr: int = ATR, bucket_seconds: int | None = None) -> DataFrame:
+def features(bars: DataFrame, quotes: DataFrame, horizons: Iterable[int] = HORIZONS, windows: Iterable[int] = WINDOWS, atr: int = ATR, bucket_seconds: int | None = None, zeros: bool = False) -> DataFrame:
     """The feature vector of each quote, from the bars at or before it; one row per quote.
 
     With ``bucket_seconds``, symbols are split by time, as where one of them has a large share of all bars or quotes.
+    A quote whose price is not positive has no features; with ``zeros`` prices and volumes are taken as they are, and
+    what is divided by a price of 0 is infinite or NaN, as in SQL.
     """
     horizons, windows = list(horizons), list(windows)
-    known = trailing_in_blocks(bars, horizons, windows, atr, bucket_seconds) if bucket_seconds else trailing(bars, horizons, windows, atr)
+    known = trailing_in_blocks(bars, horizons, windows, atr, bucket_seconds, zeros=zeros) if bucket_seconds else trailing(bars, horizons, windows, atr, zeros)
     passed = ["gap", "range", "close_location", f"average_true_range_{atr}", *[f"volatility_{n}" for n in windows]]
     wanted = ["bar_time", "bar_count", "mean_volume", *passed, *[f"close_{n}" for n in sorted({*horizons, 1, MOMENTUM})], *[f"{k}_{n}" for k in ("high", "low") for n in windows]]
     rows = as_of_in_blocks(known, quotes, wanted, bucket_seconds) if bucket_seconds else as_of(known, quotes, wanted)
-    price = F.when(F.col("price") > 0, F.col("price"))
-    volume = F.when(price.isNotNull() & (F.col("quote_volume") >= 0), F.col("quote_volume"))
-    back = lambda n: ratio(price, F.col(f"close_{n}")) - 1
+    by_price = quotient if zeros else ratio
+    price = F.col("price") if zeros else F.when(F.col("price") > 0, F.col("price"))
+    volume = F.col("quote_volume") if zeros else F.when(price.isNotNull() & (F.col("quote_volume") >= 0), F.col("quote_volume"))
+    back = lambda n: by_price(price, F.col(f"close_{n}")) - 1
     return rows.select(
         "symbol", "quote_time", F.coalesce("bar_count", F.lit(0)).cast("bigint").alias("bar_count"), price.alias("price"),
         *[back(n).alias(f"return_{n}") for n in horizons], *passed,
-        *[(ratio(price, F.col(f"{k}_{n}")) - 1).alias(f"distance_to_{k}_{n}") for k in ("high", "low") for n in windows],
+        *[(by_price(price, F.col(f"{k}_{n}")) - 1).alias(f"distance_to_{k}_{n}") for k in ("high", "low") for n in windows],
         back(MOMENTUM).alias("momentum"), (-back(1)).alias("short_term_reversal"),
         ratio(volume, F.col("mean_volume")).alias("volume_ratio"), (price * volume).alias("turnover"),
         (back(1) * ratio(volume, F.col("mean_volume"))).alias("price_volume_interaction"),
