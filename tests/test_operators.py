@@ -537,3 +537,13 @@ def test_portfolio_with_a_missing_price_has_no_total(spark):
     rows = {r.symbol: r for r in views.portfolio(p, q).collect()}
     assert rows["A"].value == 2200 and rows["A"].pnl_pct == pytest.approx(10) and rows["A"].weight_pct is None and rows["B"].value is None
     assert views.whole(views.portfolio(p, q), []).first().value is None
+
+
+def test_rounding_as_in_sql(spark):
+    import duckdb
+
+    values = [8.0046875, -8.0046875, 1.0000005, 0.0078125, 2.5e-7, -5e-7, 1e300, 1.7e308, 0.0, 123456789.1234565, float("inf"), float("-inf"), float("nan"), None]
+    values += [round(i / 128 + i % 7, 7) for i in range(200)] + [a / b - 1 for a in (57.63, 12.34, 0.01) for b in (6.4, 12.8, 0.64, 3.2)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", V.round6(F.col("v")).alias("six"), V.rounded_to("v", 5).alias("five")).orderBy("i").collect()
+    want = duckdb.connect().execute("SELECT list_transform(?::DOUBLE[], lambda v: round(v, 6)), list_transform(?::DOUBLE[], lambda v: round(v, 5))", [values, values]).fetchone()
+    assert [[repr(r.six) for r in rows], [repr(r.five) for r in rows]] == [[repr(v) for v in w] for w in want]

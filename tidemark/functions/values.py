@@ -73,8 +73,15 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(ratio(a, b))
 
 
-def round6(value: Column) -> Column:
-    return F.round(value, 6)
+def rounded_to(value: Column | str, places: int) -> Column:
+    """A double to so many places as SQL rounds it: the scaled double, halves away from 0; decimal digits may tell another half."""
+    value, scale = F.col(value) if isinstance(value, str) else value, F.lit(10.0**places)
+    scaled = F.round(value * scale, 0) / scale
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(value)
+
+
+def round6(value: Column | str) -> Column:
+    return rounded_to(value, 6)
 
 
 def percent(part: Column, whole: Column) -> Column:
