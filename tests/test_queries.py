@@ -51,6 +51,7 @@ ZEROS = [
     "features_range_gap",
     "features_at_quotes",
     "features_at_quotes_in_blocks",
+    "live_movement",
 ]
 
 

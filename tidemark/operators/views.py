@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import ratio
+from ..functions.values import quotient, ratio
 
 LOT = 100
 
 
-def with_movement(forecasts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Forecasts (symbol, forecast, confidence, baseline, ...) with the live price, movement in percent and a status."""
+def with_movement(forecasts: DataFrame, quotes: DataFrame, zeros: bool = False) -> DataFrame:
+    """Forecasts (symbol, forecast, confidence, baseline, ...) with the live price, movement in percent and a status.
+
+    From a baseline of 0 there is no movement; with ``zeros`` it is infinite or NaN, as in SQL.
+    """
     rows = forecasts.join(quotes.select("symbol", F.col("price").alias("live"), *(["error"] if "error" in quotes.columns else [])), "symbol", "left")
-    move = F.lit(100.0) * ratio(F.col("live") - F.col("baseline"), F.col("baseline"))
+    change = F.lit(100.0) * (F.col("live") - F.col("baseline"))
+    move = quotient(change, F.col("baseline")) if zeros else ratio(change, F.col("baseline"))
     up, down = F.col("forecast") == "UP", F.col("forecast") == "DOWN"
     failed = F.col("error").isNotNull() if "error" in quotes.columns else F.lit(False)
     status = F.when(F.col("live").isNull(), F.when(failed, "Unavailable").otherwise("Pending")).when((up & (move > 0.1)) | (down & (move < -0.1)), "On track").when((up & (move < -0.1)) | (down & (move > 0.1)), "Counter")
