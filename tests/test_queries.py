@@ -52,6 +52,7 @@ ZEROS = [
     "features_at_quotes",
     "features_at_quotes_in_blocks",
     "live_movement",
+    "model_majority",
 ]
 
 

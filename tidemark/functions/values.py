@@ -16,6 +16,11 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
+def given(value: Column) -> Column:
+    """A double as it is: SQL's rule, by which only null is missing."""
+    return value.cast("double")
+
+
 def lenient_number(text: Column) -> Column:
     """A double from a string that is a plain decimal number; 'nan', 'inf', '12d' and booleans are null."""
     t = text.cast("string")
