@@ -53,6 +53,7 @@ ZEROS = [
     "features_at_quotes_in_blocks",
     "live_movement",
     "model_majority",
+    "ablation_deltas",
 ]
 
 

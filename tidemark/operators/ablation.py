@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import round6
+from ..functions.values import finite, round6
 from .folds import feature_votes, fold_metrics
 
 
@@ -20,14 +22,14 @@ def check_groups(experiments: list[dict]) -> None:
             raise ValueError(f"{e['name']}: feature groups must not be empty or overlap")
 
 
-def run(members: DataFrame, experiments: list[dict], splits=("validation", "test")) -> DataFrame:
+def run(members: DataFrame, experiments: list[dict], splits=("validation", "test"), known: Callable[[Column], Column] = finite) -> DataFrame:
     """Rows of the splits once for each experiment (position, experiment, predicted).
 
     An experiment is a name, groups of features, and optional thresholds and decision; all are evaluated in one pass
-    over the rows, as an array of answers.
+    over the rows, as an array of answers. A feature is missing where ``known`` is null.
     """
     check_groups(experiments)
-    answers = [F.struct(F.lit(i).alias("position"), F.lit(e["name"]).alias("experiment"), feature_votes([f for g in e["groups"].values() for f in g], e.get("thresholds"), e.get("decision", 0.0)).alias("predicted")) for i, e in enumerate(experiments)]
+    answers = [F.struct(F.lit(i).alias("position"), F.lit(e["name"]).alias("experiment"), feature_votes([f for g in e["groups"].values() for f in g], e.get("thresholds"), e.get("decision", 0.0), known).alias("predicted")) for i, e in enumerate(experiments)]
     return members.where(F.col("split").isin(*splits) & F.col("kept")).select("fold", "actual", F.inline(F.array(*answers)))
 
 

@@ -126,14 +126,14 @@ def train_state(members: DataFrame) -> DataFrame:
     return train.groupBy("fold").agg(best.alias("majority"), F.max_by("actual", F.struct("as_of", "id")).alias("last_direction"), *[n.alias(f"{c.lower()}_count") for c, n in counts.items()])
 
 
-def feature_votes(names: list[str], thresholds: dict[str, float] | None = None, decision: float = 0.0) -> Column:
-    """UP, FLAT or DOWN by the mean of the features' signs, each with its own dead band; null if a feature is missing."""
+def feature_votes(names: list[str], thresholds: dict[str, float] | None = None, decision: float = 0.0, known: Callable[[Column], Column] = finite) -> Column:
+    """UP, FLAT or DOWN by the mean of the features' signs, each with its own dead band; null if a feature is missing (``known`` is null)."""
     limits = thresholds or {}
     if unknown := set(limits) - set(names):
         raise ValueError(f"thresholds for unknown features: {sorted(unknown)}")
     signs = []
     for n in names:
-        v, limit = finite(F.col(n)), float(limits.get(n, 0.0))
+        v, limit = known(F.col(n)), float(limits.get(n, 0.0))
         signs.append(F.when(v > limit, 1).when(v < -limit, -1).when(v.isNotNull(), 0))
     return classify(sum(signs[1:], signs[0]) / len(signs), decision)
 
@@ -172,7 +172,7 @@ def predicted(members: DataFrame, predictor: str | Predictor, splits: tuple[str,
     if predictor == "always_flat":
         return rows.withColumn("predicted", F.lit("FLAT"))
     if predictor == "feature_sign":
-        return rows.withColumn("predicted", feature_votes(options["features"], options.get("thresholds"), options.get("decision", 0.0)))
+        return rows.withColumn("predicted", feature_votes(options["features"], options.get("thresholds"), options.get("decision", 0.0), options.get("known", finite)))
     column = {"majority_train": "majority", "previous_direction": "last_direction"}[predictor]
     state = train_state(members).select("fold", F.col(column).alias("said"))
     return rows.join(F.broadcast(state), "fold", "left").withColumn("predicted", F.coalesce("said", F.lit("FLAT"))).drop("said")
