@@ -54,6 +54,7 @@ ZEROS = [
     "live_movement",
     "model_majority",
     "ablation_deltas",
+    "model_ridge_1d",
 ]
 
 
