@@ -55,6 +55,7 @@ ZEROS = [
     "model_majority",
     "ablation_deltas",
     "model_ridge_1d",
+    "model_comparison",
 ]
 
 

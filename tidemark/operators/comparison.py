@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import finite
 from . import folds, models
 
 KINDS = ("always_flat", "majority", "ridge", "logistic")
@@ -29,7 +30,7 @@ def train_sets(members: DataFrame) -> DataFrame:
     return each.join(first, ["n", "h"]).select("fold", "fit_fold")
 
 
-def fitted(members: DataFrame, spec: dict, sets: DataFrame) -> DataFrame:
+def fitted(members: DataFrame, spec: dict, sets: DataFrame, known: Callable[[Column], Column] = finite) -> DataFrame:
     """The models of a spec, one for each distinct train set, given to every fold that has it."""
     kind, names = spec["kind"], spec.get("features", [])
     once = sets.where("fold = fit_fold").select("fold")
@@ -37,32 +38,32 @@ def fitted(members: DataFrame, spec: dict, sets: DataFrame) -> DataFrame:
     if kind == "majority":
         found = models.class_shares(train, ["fold"])
     elif kind == "ridge":
-        found = models.ridge(train, names, ["fold"], spec.get("target", "target"), spec.get("penalty", 0.01))
+        found = models.ridge(train, names, ["fold"], spec.get("target", "target"), spec.get("penalty", 0.01), known)
     else:
-        found = models.logistic(train, names, iterations=spec.get("iterations", 500))
+        found = models.logistic(train, names, iterations=spec.get("iterations", 500), known=known)
     return sets.join(found.withColumnRenamed("fold", "fit_fold"), "fit_fold").drop("fit_fold")
 
 
-def _said(members: DataFrame, spec: dict, sets: DataFrame, splits: Sequence[str]) -> DataFrame:
+def _said(members: DataFrame, spec: dict, sets: DataFrame, splits: Sequence[str], known: Callable[[Column], Column]) -> DataFrame:
     rows = members.where(F.col("split").isin(*splits) & F.col("kept"))
     kind = spec["kind"]
     if callable(kind):
         return folds.predicted(members, kind, tuple(splits))
     if kind == "always_flat":
         return rows.withColumn("predicted", F.lit("FLAT"))
-    found = fitted(members, spec, sets)
+    found = fitted(members, spec, sets, known)
     if kind == "majority":
         return rows.join(found.select("fold", F.col("direction").alias("predicted")), "fold", "left")
     if kind == "ridge":
-        return models.score_ridge(rows, found, spec["features"], ["fold"], spec.get("decision", 0.0))
-    return models.score_logistic(rows, found, spec["features"])
+        return models.score_ridge(rows, found, spec["features"], ["fold"], spec.get("decision", 0.0), known)
+    return models.score_logistic(rows, found, spec["features"], known=known)
 
 
-def predictions(members: DataFrame, specs: Sequence[dict], splits: Sequence[str] = ("test",)) -> DataFrame:
+def predictions(members: DataFrame, specs: Sequence[dict], splits: Sequence[str] = ("test",), known: Callable[[Column], Column] = finite) -> DataFrame:
     """Rows (position, model, fold, split, id, actual, predicted, regime) of every spec (label, kind, features, ...).
 
     A kind is one of ``KINDS``, by any of its names, or a function as ``folds.predicted`` takes it. Labels name the models; two specs with one
-    label are an error.
+    label are an error. A feature is missing where ``known`` is null.
     """
     labels = [s.get("label", s["kind"] if isinstance(s["kind"], str) else s["kind"].__name__) for s in specs]
     if not specs or len(set(labels)) < len(labels):
@@ -72,12 +73,12 @@ def predictions(members: DataFrame, specs: Sequence[dict], splits: Sequence[str]
         raise ValueError(f"unknown models: {bad}")
     sets, out = train_sets(members), None
     for i, (label, spec) in enumerate(zip(labels, specs, strict=True)):
-        said = _said(members, spec, sets, splits)
+        said = _said(members, spec, sets, splits, known)
         part = said.select(F.lit(i).alias("position"), F.lit(label).alias("model"), "fold", "split", "id", "actual", "predicted", "regime")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def compare(members: DataFrame, specs: Sequence[dict], splits: Sequence[str] = ("test",), by_fold: bool = False) -> DataFrame:
+def compare(members: DataFrame, specs: Sequence[dict], splits: Sequence[str] = ("test",), by_fold: bool = False, known: Callable[[Column], Column] = finite) -> DataFrame:
     """Metrics and coverage of every spec, of all folds together or by fold."""
-    return folds.fold_metrics(predictions(members, specs, splits), ["position", "model", *(["fold"] if by_fold else [])])
+    return folds.fold_metrics(predictions(members, specs, splits, known), ["position", "model", *(["fold"] if by_fold else [])])
