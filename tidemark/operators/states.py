@@ -3,7 +3,7 @@
 Boundaries are evenly spaced, so the folds that train on a row are a range: from the first boundary that lies behind both its
 time (with the purge) and the end of its horizon, up to the last whose train span still reaches back to it. A row adds its
 counts and sums to the state of the first fold of its range, and takes them away at the fold after its last; a fold's state is
-the sum of all steps up to it. So each row is summed twice at most, whatever the number of folds, in one grouped aggregate
+the sum of all steps up to it. What isn't finite is counted beside a sum, not added to it, so that it can leave again. So each row is summed twice at most, whatever the number of folds, in one grouped aggregate
 whose result has a row for each step; states of parts of the rows, or of later rows, merge by adding them up.
 """
 
@@ -19,6 +19,17 @@ from . import models
 from .folds import FoldPlan, horizon_end
 
 
+_UP, _DOWN = "_up", "_down"
+
+
+def _whole(name: str, columns: list[str]) -> Column:
+    """A sum with what isn't finite in it: infinite, or NaN."""
+    if name + _UP not in columns:
+        return F.col(name)
+    up, down = F.col(name + _UP) > 0, F.col(name + _DOWN) > 0
+    return F.when(up & down, float("nan")).when(up, float("inf")).when(down, float("-inf")).otherwise(F.col(name))
+
+
 def _ranges(rows: DataFrame, plan: FoldPlan, count: int) -> DataFrame:
     """``rows`` with _candidate (the first fold with the row before its boundary), _enter (and settled), and _leave."""
     step = int((plan.step_seconds or plan.test_seconds) * 1e6)
@@ -32,7 +43,7 @@ def _ranges(rows: DataFrame, plan: FoldPlan, count: int) -> DataFrame:
     return out.withColumn("_enter", F.greatest("_candidate", "_settled")).where("_candidate < _leave").drop("_at", "_end", "_settled")
 
 
-def steps(rows: DataFrame, plan: FoldPlan, latest: datetime | None, names: list[str] | None = None, target: str | None = None) -> DataFrame:
+def steps(rows: DataFrame, plan: FoldPlan, latest: datetime | None, names: list[str] | None = None, target: str | None = None, known: models.Known = finite) -> DataFrame:
     """What changes from each fold's train set to the next one's: fold, counts, sums and the last row that enters."""
     names, count = names or [], len(plan.boundaries(latest))
     held = _ranges(rows, plan, count)
@@ -44,19 +55,28 @@ def steps(rows: DataFrame, plan: FoldPlan, latest: datetime | None, names: list[
         event(inside, F.col("_enter"), 1, 0), event(inside & (F.col("_leave") < count), F.col("_leave"), -1, 0),
         event(late, F.col("_candidate"), 0, 1), event(late & (settled < count), settled, 0, -1),
     ))
-    known = models.vector(names).isNotNull() if names else F.lit(True)
-    fits = known & finite(F.col(target)).isNotNull() if target else F.lit(False)
+    fits = models.vector(names, known).isNotNull() if names else F.lit(True)
+    known, fits = fits, fits & known(F.col(target)).isNotNull() if target else F.lit(False)
     kept = [F.col(n).alias(f"_x{i}") for i, n in enumerate(names)] + [F.col(target).alias("_y") if target else F.lit(None).cast("double").alias("_y")]
     e = held.select("as_of", F.col("id").cast("string").alias("_id"), "actual", known.alias("_known"), fits.alias("_fits"), *kept, F.inline(events))
     total = lambda v, when=None: F.coalesce(F.sum(F.col("kept") * (v if when is None else F.when(when, v))), F.lit(0))
+    infinite = float("inf")
+
+    def spread(name: str, v: Column, when: Column) -> dict[str, Column]:
+        """The finite values' total, and how many are not finite: NaN counts as both infinities."""
+        counts = {f"{name}{_UP}": v >= infinite, f"{name}{_DOWN}": (v == -infinite) | F.isnan(v)}
+        return {name: total(finite(v), when)} | {c: total(one, when & odd) for c, odd in counts.items()}
+
     one, x, y = F.lit(1), [F.col(f"_x{i}") for i in range(len(names))], F.col("_y")
     sums = {"row_count": total(one), "purged_count": F.sum("purged"), "known_count": total(one, F.col("_known"))}
     sums |= {f"{c.lower()}_count": total(one, F.col("actual") == c) for c in CLASSES}
-    sums |= {f"k_{i}": total(v, F.col("_known")) for i, v in enumerate(x)} | {f"kk_{i}": total(v * v, F.col("_known")) for i, v in enumerate(x)}
+    values = [(f"k_{i}", v, F.col("_known")) for i, v in enumerate(x)] + [(f"kk_{i}", v * v, F.col("_known")) for i, v in enumerate(x)]
     if target:
-        sums |= {"n": total(one, F.col("_fits")), "y": total(y, F.col("_fits"))}
-        sums |= {f"x_{i}": total(v, F.col("_fits")) for i, v in enumerate(x)} | {f"xy_{i}": total(v * y, F.col("_fits")) for i, v in enumerate(x)}
-        sums |= {f"xx_{i}_{j}": total(x[i] * x[j], F.col("_fits")) for i in range(len(x)) for j in range(i, len(x))}
+        sums |= {"n": total(one, F.col("_fits"))}
+        values += [("y", y, F.col("_fits"))] + [(f"x_{i}", v, F.col("_fits")) for i, v in enumerate(x)] + [(f"xy_{i}", v * y, F.col("_fits")) for i, v in enumerate(x)]
+        values += [(f"xx_{i}_{j}", x[i] * x[j], F.col("_fits")) for i in range(len(x)) for j in range(i, len(x))]
+    for value in values:
+        sums |= spread(*value)
     newest = F.max(F.when(F.col("kept") == 1, F.struct("as_of", "_id", "actual"))).alias("newest")
     return e.groupBy("fold").agg(*[v.alias(n) for n, v in sums.items()], newest)
 
@@ -79,6 +99,7 @@ def train_states(changes: DataFrame, plan: FoldPlan, latest: datetime | None) ->
     running = [F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in sums]
     # The newest row so far is in every train set that isn't empty, as older ones leave first.
     out = out.select("fold", *running, F.max("newest").over(so_far).alias("newest"))
+    out = out.select("fold", *[_whole(c, sums).alias(c) for c in sums if not c.endswith((_UP, _DOWN))], "newest")
     return out.withColumn("last_direction", F.when(F.col("row_count") > 0, F.col("newest.actual"))).drop("newest")
 
 
@@ -92,7 +113,7 @@ def class_shares(states: DataFrame) -> DataFrame:
 def _spread(squares: Column, plain: Column, n: Column) -> Column:
     """Population deviation from sums; what rounding leaves of a deviation of 0 is none."""
     variance = squares / n - (plain / n) * (plain / n)
-    return F.when(variance > F.lit(1e-12) * (squares / n), F.sqrt(variance)).otherwise(1.0)
+    return F.when(F.isnan(variance) | (variance > F.lit(1e-12) * (squares / n)), F.sqrt(variance)).otherwise(1.0)
 
 
 def standardiser(states: DataFrame, names: list[str]) -> DataFrame:
