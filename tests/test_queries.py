@@ -59,6 +59,7 @@ ZEROS = [
     "model_comparison_by_fold",
     "model_comparison_by_other_names",
     "model_logistic_fit",
+    "model_logistic_documents",
     "expanding_train_states",
 ]
 
